@@ -1,42 +1,63 @@
-"""Student-t tail areas and quantiles for a handful of summary rows."""
+"""Student-t tail areas and quantiles for a handful of summary rows.
+
+The helpers are nested so that Spark ships them with the task; executors need no copy
+of this package.
+"""
 
 from __future__ import annotations
 
-from math import atan, lgamma, pi, sqrt
+from collections.abc import Callable
+from functools import cache
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F, types as T
+
+
+def helpers() -> tuple[Callable[[float, float], float], Callable[[float, float], float]]:
+    """(central_area, two_sided_quantile): P(|T| < t) and its inverse in t."""
+    from math import atan, exp, lgamma, pi, sqrt
+
+    import numpy as np
+
+    nodes, weights = np.polynomial.legendre.leggauss(120)
+
+    def central_area(t: float, df: float) -> float:
+        # quadrature after the substitution x = sqrt(df) * tan(angle)
+        top = atan(abs(t) / sqrt(df))
+        angle = (nodes + 1) * top / 2
+        scale = 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi)
+        return float(min(1.0, scale * top / 2 * np.sum(weights * np.cos(angle) ** (df - 1))))
+
+    def two_sided_quantile(confidence: float, df: float) -> float:
+        lo, hi = 0.0, 1.0
+        while central_area(hi, df) < confidence and hi < 1e6:
+            hi *= 2
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if central_area(mid, df) < confidence else (lo, mid)
+        return (lo + hi) / 2
+
+    return central_area, two_sided_quantile
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(120)
 
+@cache
+def _udfs() -> tuple[Callable[..., Column], Callable[..., Column]]:
+    central_area, two_sided_quantile = helpers()
 
-def central_area(t: float, df: float) -> float:
-    """P(|T| < t), by quadrature after the substitution x = sqrt(df) * tan(angle)."""
-    top = atan(abs(t) / sqrt(df))
-    angle = (_NODES + 1) * top / 2
-    scale = 2 * np.exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi)
-    return float(min(1.0, scale * top / 2 * np.sum(_WEIGHTS * np.cos(angle) ** (df - 1))))
+    def quantiles(confidence, df):
+        return pd.Series([two_sided_quantile(c, d) if d > 0 else None for c, d in zip(confidence, df)], dtype=float)
 
+    def p_values(t, df):
+        return pd.Series([1 - central_area(x, d) if d > 0 else None for x, d in zip(t, df)], dtype=float)
 
-def two_sided_quantile(confidence: float, df: float) -> float:
-    """t with P(|T| < t) = confidence."""
-    lo, hi = 0.0, 1.0
-    while central_area(hi, df) < confidence and hi < 1e6:
-        hi *= 2
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if central_area(mid, df) < confidence else (lo, mid)
-    return (lo + hi) / 2
+    for fn in (quantiles, p_values):
+        fn.__annotations__ = {"return": pd.Series, **{a: pd.Series for a in fn.__code__.co_varnames[:2]}}
+    return F.pandas_udf(quantiles, T.DoubleType()), F.pandas_udf(p_values, T.DoubleType())
 
 
-@F.pandas_udf("double")
-def t_quantile(confidence: pd.Series, df: pd.Series) -> pd.Series:
-    ok = df.notna() & (df > 0)
-    return pd.Series([two_sided_quantile(c, d) if k else None for c, d, k in zip(confidence, df, ok)], dtype=float)
+def t_quantile(confidence: Column, df: Column) -> Column:
+    return _udfs()[0](confidence, df)
 
 
-@F.pandas_udf("double")
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    ok = t.notna() & df.notna() & (df > 0)
-    return pd.Series([1 - central_area(x, d) if k else None for x, d, k in zip(t, df, ok)], dtype=float)
+def t_p_value(t: Column, df: Column) -> Column:
+    return _udfs()[1](t, df)

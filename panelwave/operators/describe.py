@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from panelwave.functions.columns import ratio
@@ -74,14 +75,14 @@ def kde(df: DataFrame, by: str, cols: Sequence[str], n: int = 512) -> DataFrame:
     is 0.9 * min(sd, IQR / 1.34) * n^(-1/5) per arm.  Every value adds its kernel to
     every grid point inside its own task, so only grid-sized sums are shuffled.
     """
-    rows = _long(df, by, cols)
+    rows = _long(df, by, cols).persist(StorageLevel.MEMORY_AND_DISK)
     spread = rows.groupBy("variable", "arm").agg(
         F.count("value").alias("n"),
         F.stddev_samp("value").alias("sd"),
         F.min("value").alias("lo"),
         F.max("value").alias("hi"),
     )
-    q = group_quantiles(rows, "value", (0.25, 0.75), ["variable", "arm"]).select(
+    q = group_quantiles(rows, "value", (0.25, 0.75), ["variable", "arm"], reuse=False).select(
         "variable", "arm", ((F.get("q", F.lit(1)) - F.get("q", F.lit(0))) / 1.34).alias("iqr")
     )
     ranges = spread.groupBy("variable").agg(F.min("lo").alias("from"), F.max("hi").alias("to"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwave.session import settle
@@ -29,16 +30,24 @@ def _interval(value: Column, cuts: Column, n_cuts: int) -> Column:
 
 
 def group_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    accuracy: int = 10_000,
+    reuse: bool = True,
 ) -> DataFrame:
     """Linear-interpolation quantiles (type 7) of the non-null values.
 
     Returns one row per group: the ``by`` columns, ``n`` and ``q`` (array in the order
-    of ``probs``).
+    of ``probs``).  The passes share a cached copy of the key and value columns; pass
+    ``reuse=False`` when reading the input again is cheap.
     """
     by = list(by)
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     rows = df.filter(F.col(value).isNotNull()).select(key.alias("k"), F.col(value).cast("double").alias("v"))
+    if reuse:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     margin = 2.0 / accuracy
     marks = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})

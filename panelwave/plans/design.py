@@ -132,7 +132,7 @@ def unit_paths(panel: DataFrame, spec: ModelSpec) -> DataFrame:
     complete = [F.col(f"v{j}_{t}").isNotNull() for j in range(len(spec.variables)) for t in spec.years]
     for test in complete:
         wide = wide.filter(test)
-    once = F.when(F.col("n_rows") == len(spec.years), True).otherwise(
+    once = F.when(F.col("n_rows") <= len(spec.years), True).otherwise(
         F.raise_error(F.lit("duplicate unit-year in the panel")).cast("boolean")
     )
     wide = wide.filter(once).filter((F.col("cohort") == 0) | (F.col("cohort") > lo))

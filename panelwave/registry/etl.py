@@ -241,15 +241,15 @@ def distinct_units(spark: SparkSession, sf: str) -> DataFrame:
       FROM did WHERE unit_id IN (SELECT unit_id FROM did WHERE start_year <= 2000 AND treated = 1)
       GROUP BY year, start_year, treated),
     q AS (SELECT quantile_cont(start_year, [0, 0.25, 0.5, 0.75, 1.0]) AS c FROM m)
-    SELECT year, start_year, treated, {r('mean_log', 'mean_log')}, {r('mean_level', 'mean_level', 3)},
-           {r('mean_per_capita', 'mean_per_capita', 3)},
+    SELECT year, start_year, treated, {r('mean_log', 'mean_log')}, {r('mean_level', 'mean_level')},
+           {r('mean_per_capita', 'mean_per_capita')},
            CASE WHEN start_year <= c[2] THEN 1 WHEN start_year <= c[3] THEN 2 WHEN start_year <= c[4] THEN 3
                 ELSE 4 END AS macro_group
     FROM m, q""",
 )
 def cohort_means(spark: SparkSession, sf: str) -> DataFrame:
     rows = Ds.cohort_means(seg_did(spark, sf), "y", "total", "n_cust", 2000).drop("macro_group_label")
-    return rounded(rounded(rows, ["mean_log"]), ["mean_level", "mean_per_capita"], 3)
+    return rounded(rows, ["mean_log", "mean_level", "mean_per_capita"])
 
 
 SUPPORT = ("y", "x1", "x2", "total")
