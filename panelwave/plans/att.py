@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelwave.functions.columns import keyed_multiplier
 from panelwave.plans.design import MEMBER_SCHEMA, ModelSpec, cell_members, keep, unit_paths
 from panelwave.plans.moments import gram
-from panelwave.session import settle
+from panelwave.session import local_table, settle
 
 
 def keyed_sums(df: DataFrame, vec: str, size: int, draws: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -59,7 +59,7 @@ class Effects:
 
     def cohorts(self) -> DataFrame:
         rows = [(c, k, k / self.n) for c, k in sorted(self.sizes.items())]
-        return self.spark.createDataFrame(rows, "cohort int, n_units long, pg double")
+        return local_table(self.spark, rows, "cohort int, n_units long, pg double")
 
     def influence(self) -> DataFrame:
         """(unit, g, t, psi) for the units of each cell; psi is 0 for all other units."""
@@ -94,7 +94,7 @@ class MomentEffects(Effects):
     def _members(self) -> DataFrame:
         """Per cell and member cohort: scale and mean of psi = scale * (dy - mean)."""
         rows = cell_members(list(self.sizes), self.spec)
-        members = self.spark.createDataFrame(rows, MEMBER_SCHEMA).filter("t <> b")
+        members = local_table(self.spark, rows, MEMBER_SCHEMA).filter("t <> b")
         side = F.when(F.col("d") == 1, self.n / F.col("n_treated")).otherwise(-self.n / F.col("n_control"))
         mean = F.when(F.col("d") == 1, F.col("m_treated")).otherwise(F.col("m_control"))
         stats = self.cells.filter("cell_status = 'ok'").drop("b")
@@ -171,7 +171,7 @@ def _cell_stats(moments: DataFrame, spec: ModelSpec, sizes: dict[int, int]) -> D
         ).alias("mm")
     )
     spark = moments.sparkSession
-    members = spark.createDataFrame(cell_members(list(sizes), spec), MEMBER_SCHEMA)
+    members = local_table(spark, cell_members(list(sizes), spec), MEMBER_SCHEMA)
     t, b = F.col("t") - lo + 1, F.col("b") - lo + 1
     at = lambda i, j: F.get("mm", i * p + j)
     rows = members.join(matrix, "cohort").select(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelwave.plans.att import Effects, cohort_counts, keyed_sums
 from panelwave.plans.design import MEMBER_SCHEMA, ModelSpec, cell_members, keep, unit_paths
 from panelwave.plans.moments import gram
-from panelwave.session import settle
+from panelwave.session import local_table, settle
 
 MAX_STEPS = 25
 P_CLIP = 1 - 1e-6
@@ -138,7 +138,7 @@ def fit_logit_cells(design: Design) -> dict[tuple[int, int, int], tuple[np.ndarr
             for c, g, b, h, d in sorted(members)
             if (g, b, h) in beta
         ]
-        data = design.rows(spark.createDataFrame(rows, schema))
+        data = design.rows(local_table(spark, rows, schema))
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-_dot(xs, "pi")))
         data = data.withColumn("p", p)
         weight = F.col("p") * (1 - F.col("p"))
@@ -174,7 +174,7 @@ def propensity_table(design: Design) -> DataFrame:
         intercept = float(pi[0] - sum(v * c for v, c in zip(slopes, design.centre)))
         rows.append((g, b, h, steps, True, intercept, slopes))
     schema = "g int, b int, horizon int, steps int, converged boolean, intercept double, coef array<double>"
-    return design.units.sparkSession.createDataFrame(rows, schema)
+    return local_table(design.units.sparkSession, rows, schema)
 
 
 PARAMS = (
@@ -278,7 +278,7 @@ def psi_column(design: Design, n: int) -> Column:
 def _cell_regressions(design: Design) -> dict[tuple[int, int], tuple]:
     """Per cell: counts, covariate sums of the treated, and the control regression."""
     k, xs, spark = design.k, design.xs, design.units.sparkSession
-    data = design.rows(spark.createDataFrame(design.members(), MEMBER_SCHEMA))
+    data = design.rows(local_table(spark, design.members(), MEMBER_SCHEMA))
     ctrl = F.col("d") == 0
     sums = data.groupBy("g", "t").agg(
         F.count_if(~ctrl).alias("n1"),
@@ -329,7 +329,7 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
 
     schema = MEMBER_SCHEMA + ", beta array<double>, pi array<double>"
     alive = [(*m, *start[m[1], m[2]]) for m in design.members() if status[m[1], m[2]] == "ok"]
-    data = design.rows(spark.createDataFrame(alive, schema))
+    data = design.rows(local_table(spark, alive, schema))
     resid, p, odds = _weights(design)
     xs = design.xs
     second = data.withColumns({"r": resid, "p": p, "w": odds}).groupBy("g", "t").agg(
@@ -367,7 +367,7 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
         params[key] = (*start[key], at, ac, bp, eta_t, eta_c, float(n1), w_c)
 
     live = [(*m, *params[m[1], m[2]]) for m in design.members() if (m[1], m[2]) in params]
-    member_params = spark.createDataFrame(live, f"{MEMBER_SCHEMA}, {PARAMS}")
+    member_params = local_table(spark, live, f"{MEMBER_SCHEMA}, {PARAMS}")
     effects = ScoreEffects(spec, design.units, design.sizes, None, design, member_params)
     squares = effects._psi().groupBy("g", "t").agg(
         (F.sqrt(F.sum(F.col("psi") * F.col("psi"))) / float(n)).alias("se")
@@ -383,7 +383,7 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
         if d == 0:
             reference[g, t] += design.sizes[c]
     rows = [(g, t, a, n1, reference[g, t] if n0 is None else n0, s) for g, t, a, n1, n0, s in rows]
-    base = spark.createDataFrame(
+    base = local_table(spark, 
         rows, "g int, t int, att double, n_treated long, n_control long, cell_status string"
     )
     effects.table = settle(

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwave.operators.reshape import event_time_names
 from panelwave.plans.moments import gram
-from panelwave.session import settle
+from panelwave.session import local_table, settle
 
 
 @dataclass
@@ -155,7 +155,7 @@ def event_study(
 def fit_table(panel: DataFrame, fit: TwowayFit) -> DataFrame:
     """(term, coef, se) of a fit; NULL for dropped terms."""
     rows = [(name, fit.coef.get(name), fit.se.get(name)) for name in fit.names]
-    return panel.sparkSession.createDataFrame(rows, "term string, coef double, se double")
+    return local_table(panel.sparkSession, rows, "term string, coef double, se double")
 
 
 def event_study_table(panel: DataFrame, fit: TwowayFit, n_periods: int = 15, alpha: float = 0.05) -> DataFrame:
@@ -165,7 +165,7 @@ def event_study_table(panel: DataFrame, fit: TwowayFit, n_periods: int = 15, alp
     rows = [
         (fit.coef.get(f"e{l}"), fit.se.get(f"e{l}"), l) for l in event_time_names(n_periods)
     ]
-    table = panel.sparkSession.createDataFrame(rows, "coefs double, ses double, time_of_exposure int")
+    table = local_table(panel.sparkSession, rows, "coefs double, ses double, time_of_exposure int")
     return table.withColumns(
         {
             "lo": F.col("coefs") - z * F.col("ses"),

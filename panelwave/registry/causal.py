@@ -19,7 +19,7 @@ EFFECT = ["att", "se"]
 
 
 def _seg_effects(spark: SparkSession, sf: str, **changes: object) -> Effects:
-    return att_gt(seg_did(spark, sf), seg_spec(**changes))
+    return att_gt(keep(seg_did(spark, sf)), seg_spec(**changes))
 
 
 def _cust_spec(**changes: object) -> ModelSpec:
@@ -93,7 +93,7 @@ def att_gt_notyettreated(spark: SparkSession, sf: str) -> DataFrame:
 )
 def att_gt_universal_base(spark: SparkSession, sf: str) -> DataFrame:
     """On customers; the effect one year before treatment is 0 by construction."""
-    return _att(att_gt(cust_did(spark, sf), _cust_spec(control="nevertreated", base="universal")))
+    return _att(att_gt(keep(cust_did(spark, sf)), _cust_spec(control="nevertreated", base="universal")))
 
 
 @query("att_gt_varying_base", Q.prep() + Q.members(base="varying") + Q.PLAIN + Q.att_select())
@@ -123,7 +123,7 @@ def att_gt_dr(spark: SparkSession, sf: str) -> DataFrame:
 def att_gt_dr_covariates(spark: SparkSession, sf: str) -> DataFrame:
     """Doubly robust with several continuous covariates, on customers."""
     spec = _cust_spec(covariates=("x1",), est="dr")
-    return rounded(att_gt(cust_did(spark, sf), spec).table, EFFECT)
+    return rounded(att_gt(keep(cust_did(spark, sf)), spec).table, EFFECT)
 
 
 @query(
@@ -167,7 +167,7 @@ def influence_function_dr(spark: SparkSession, sf: str) -> DataFrame:
 )
 def att_gt_se(spark: SparkSession, sf: str) -> DataFrame:
     """Standard errors from the influence values themselves, on customers."""
-    effects = att_gt(cust_did(spark, sf), _cust_spec())
+    effects = att_gt(keep(cust_did(spark, sf)), _cust_spec())
     psi = effects.influence().groupBy("g", "t").agg(
         (F.sqrt(F.sum(F.col("psi") * F.col("psi"))) / float(effects.n)).alias("se")
     )

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def get_session(app: str = "panelwave", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,13 +43,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/panelwave-{uuid.uuid4().hex}/{name}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a reduced table once and keep it.
+SMALL_ROWS = 100_000
 
-    After this the optimiser knows the true size of the table, so it broadcasts it
-    only when it lies under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles
-    it otherwise.  No broadcast hint is used anywhere in the package.
+
+def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Compute a reduced table once.
+
+    A table of at most ``max_rows`` rows becomes a local relation: the optimiser knows
+    its true size, so it broadcasts it if it lies under
+    ``spark.sql.autoBroadcastJoinThreshold``, and later plans carry none of its lineage.
+    A larger table stays distributed and cached, and joins shuffle it.  No broadcast
+    hint is used anywhere in the package.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows <= max_rows:
+        return df.sparkSession.createDataFrame(rows, schema=df.schema)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of driver-side values (parameters, cell lists).
+
+    It goes through Arrow, which makes it a local relation of known size; a table made
+    from Python rows has no size estimate and would never be broadcast by itself.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
+    target = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(target)
+    columns = list(zip(*rows)) if rows else [()] * len(target)
+    arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=target)
