@@ -10,6 +10,7 @@ follow from that table, whose size depends on the number of years alone.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -142,13 +143,17 @@ class MomentEffects(Effects):
             (F.sum(F.col("u") * F.col("c")) / float(self.n) ** 2).alias("v")
         )
 
-    def draw_sums(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
+    @cached_property
+    def _path_draws(self) -> DataFrame:
+        """Multiplier sums of the outcome paths by cohort; every aggregation uses them."""
         spec = self.spec
         z = self.units.select("unit", "cohort", _path().alias("z"))
-        sums = keyed_sums(z, "z", len(spec.years) + 1, spec.draws, spec.seed, ("cohort",))
+        return settle(keyed_sums(z, "z", len(spec.years) + 1, spec.draws, spec.seed, ("cohort",)))
+
+    def draw_sums(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
         load = settle(self._loadings(weights, shift))
         return (
-            sums.join(load, ["cohort", "idx"])
+            self._path_draws.join(load, ["cohort", "idx"])
             .groupBy("draw", "comp")
             .agg((F.sum(F.col("q") * F.col("c")) / float(self.n) ** 0.5).alias("r"))
         )

@@ -201,7 +201,8 @@ class ScoreEffects(Effects):
         """Per unit, the influence of each component as an array.
 
         A unit's cells are built and summed in the partition that holds the unit; the
-        design is already partitioned by unit, so no exchange is needed.
+        design is already partitioned by unit, so no exchange is needed.  The vectors are
+        kept, as errors and draws both read them.
         """
         names = [r["comp"] for r in weights.select("comp").distinct().orderBy("comp").collect()]
         # weights of one cell on all components, as an array in the order of ``names``
@@ -219,7 +220,7 @@ class ScoreEffects(Effects):
         vec = F.array(
             *[F.col(f"p{i}") + F.coalesce(F.get("h", F.lit(i)), F.lit(0.0)) for i in range(len(names))]
         )
-        return sums.select("unit", vec.alias("vec")), names
+        return keep(sums.select("unit", vec.alias("vec"))), names
 
     def variances(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
         vectors, names = self._component_vectors(weights, shift)

@@ -49,15 +49,16 @@ SMALL_ROWS = 100_000
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Compute a reduced table once.
 
-    A table of at most ``max_rows`` rows becomes a local relation: the optimiser knows
-    its true size, so it broadcasts it if it lies under
-    ``spark.sql.autoBroadcastJoinThreshold``, and later plans carry none of its lineage.
+    A table of at most ``max_rows`` rows becomes a local relation in one partition: the
+    optimiser knows its true size, so it broadcasts it if it lies under
+    ``spark.sql.autoBroadcastJoinThreshold``; later plans carry none of its lineage; and
+    work among such tables alone needs no exchange.
     A larger table stays distributed and cached, and joins shuffle it.  No broadcast
     hint is used anywhere in the package.
     """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(rows, schema=df.schema)
+        return df.sparkSession.createDataFrame(rows, schema=df.schema).coalesce(1)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -71,4 +72,4 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     arrow = to_arrow_schema(target)
     columns = list(zip(*rows)) if rows else [()] * len(target)
     arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
-    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=target)
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=target).coalesce(1)
