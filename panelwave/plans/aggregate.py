@@ -8,7 +8,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwave.plans.att import Effects
+from panelwave.plans.att import Combined, Effects
 from panelwave.session import settle
 
 KINDS = ("simple", "dynamic", "dynamic_balanced", "group", "calendar")
@@ -28,8 +28,7 @@ class Aggregate:
     effects: Effects
     table: DataFrame
     overall: DataFrame
-    weights: DataFrame
-    shift: DataFrame
+    combined: Combined
 
 
 def _kept_cells(effects: Effects, kind: str, balance_e: int) -> DataFrame:
@@ -129,19 +128,18 @@ def aggregate(effects: Effects, kind: str, balance_e: int | None = None) -> Aggr
     """
     spec = effects.spec
     weights, shift = component_weights(effects, kind, balance_e)
-    weights, shift = settle(weights), settle(shift)
+    combined = effects.combine(weights, shift)
     point = (
         weights.join(effects.table.select("g", "t", "att"), ["g", "t"])
         .groupBy("comp")
         .agg(F.sum(F.col("w") * F.col("att")).alias("att"))
     )
-    variance = effects.variances(weights, shift)
-    errors = variance.select("comp", F.when(F.col("v") > 1e-20, F.sqrt("v")).alias("se"))
+    errors = combined.variances().select("comp", F.when(F.col("v") > 1e-20, F.sqrt("v")).alias("se"))
     z = z_value(spec.alpha)
     crit = F.lit(z)
     members = kind != "simple"
     if spec.bootstrap or (spec.cband and members):
-        draws = settle(effects.draw_sums(weights, shift))
+        draws = settle(combined.draw_sums())
         if spec.bootstrap:
             _, scale = simultaneous_crit(draws, spec.alpha)
             root_n = float(effects.n) ** 0.5
@@ -160,13 +158,13 @@ def aggregate(effects: Effects, kind: str, balance_e: int | None = None) -> Aggr
     overall = both.filter(F.col("comp") == OVERALL).select(
         "att", "se", (F.col("att") - z * F.col("se")).alias("lo"), (F.col("att") + z * F.col("se")).alias("hi")
     )
-    return Aggregate(kind, effects, table, overall, weights, shift)
+    return Aggregate(kind, effects, table, overall, combined)
 
 
 def bootstrap_table(effects: Effects, kind: str) -> DataFrame:
     """(egt, se_bootstrap) of an aggregation's components, the overall effect as NULL."""
-    weights, shift = component_weights(effects, kind)
-    _, scale = simultaneous_crit(effects.draw_sums(settle(weights), settle(shift)), effects.spec.alpha)
+    combined = effects.combine(*component_weights(effects, kind))
+    _, scale = simultaneous_crit(settle(combined.draw_sums()), effects.spec.alpha)
     egt = F.when(F.col("comp") != OVERALL, F.col("comp")).cast("int")
     se = F.when(F.col("sigma") > 1e-12, F.col("sigma") / float(effects.n) ** 0.5)
     return scale.select(egt.alias("egt"), se.alias("se_bootstrap"))

@@ -66,16 +66,24 @@ class Effects:
         """(unit, g, t, psi) for the units of each cell; psi is 0 for all other units."""
         raise NotImplementedError
 
-    def variances(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
-        """(comp, v): sum of squared component influence divided by n^2."""
+    def combine(self, weights: DataFrame, shift: DataFrame) -> Combined:
+        """The components of an aggregation, ready for their second moments and draws."""
         raise NotImplementedError
 
-    def covariances(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
+
+class Combined:
+    """Influence of a set of components."""
+
+    def variances(self) -> DataFrame:
+        """(comp, v): sum of squared influence divided by n^2."""
+        raise NotImplementedError
+
+    def covariances(self) -> DataFrame:
         """(comp1, comp2, v): the same for all pairs of components."""
         raise NotImplementedError
 
-    def draw_sums(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
-        """(draw, comp, r): multiplier sums of the component influence over sqrt(n)."""
+    def draw_sums(self) -> DataFrame:
+        """(draw, comp, r): multiplier sums of the influence over sqrt(n)."""
         raise NotImplementedError
 
 
@@ -124,40 +132,49 @@ class MomentEffects(Effects):
         constant = shift.select("comp", "cohort", F.lit(0).alias("idx"), F.col("h").alias("c"))
         return weighted.unionByName(constant).groupBy("comp", "cohort", "idx").agg(F.sum("c").alias("c"))
 
-    def _half(self, load: DataFrame) -> DataFrame:
-        left = load.join(self.moments, (load["cohort"] == self.moments["cohort"]) & (load["idx"] == self.moments["i"]))
-        return left.groupBy("comp", load["cohort"].alias("cohort"), F.col("j").alias("idx")).agg(
-            F.sum(F.col("c") * F.col("m")).alias("u")
-        )
-
-    def variances(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
-        load = settle(self._loadings(weights, shift))
-        both = self._half(load).join(load, ["comp", "cohort", "idx"])
-        return both.groupBy("comp").agg((F.sum(F.col("u") * F.col("c")) / float(self.n) ** 2).alias("v"))
-
-    def covariances(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
-        load = settle(self._loadings(weights, shift))
-        half = self._half(load).withColumnRenamed("comp", "comp1")
-        both = half.join(load.withColumnRenamed("comp", "comp2"), ["cohort", "idx"])
-        return both.groupBy("comp1", "comp2").agg(
-            (F.sum(F.col("u") * F.col("c")) / float(self.n) ** 2).alias("v")
-        )
-
     @cached_property
-    def _path_draws(self) -> DataFrame:
+    def path_draws(self) -> DataFrame:
         """Multiplier sums of the outcome paths by cohort; every aggregation uses them."""
         spec = self.spec
         z = self.units.select("unit", "cohort", _path().alias("z"))
         return settle(keyed_sums(z, "z", len(spec.years) + 1, spec.draws, spec.seed, ("cohort",)))
 
-    def draw_sums(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
-        load = settle(self._loadings(weights, shift))
-        return (
-            self._path_draws.join(load, ["cohort", "idx"])
-            .groupBy("draw", "comp")
-            .agg((F.sum(F.col("q") * F.col("c")) / float(self.n) ** 0.5).alias("r"))
+    def combine(self, weights: DataFrame, shift: DataFrame) -> Combined:
+        return Loadings(self, settle(self._loadings(weights, shift)))
+
+
+@dataclass
+class Loadings(Combined):
+    """Components as coefficients (comp, cohort, idx, c) on (1, y_1, ..., y_T)."""
+
+    effects: MomentEffects
+    load: DataFrame
+
+    def _half(self) -> DataFrame:
+        """Coefficients times the cohort's moment matrix: (comp, cohort, idx, u)."""
+        load, moments = self.load, self.effects.moments
+        left = load.join(moments, (load["cohort"] == moments["cohort"]) & (load["idx"] == moments["i"]))
+        return left.groupBy("comp", load["cohort"].alias("cohort"), F.col("j").alias("idx")).agg(
+            F.sum(F.col("c") * F.col("m")).alias("u")
         )
 
+    def variances(self) -> DataFrame:
+        both = self._half().join(self.load, ["comp", "cohort", "idx"])
+        return both.groupBy("comp").agg(self._over_n2())
+
+    def covariances(self) -> DataFrame:
+        half = self._half().withColumnRenamed("comp", "comp1")
+        both = half.join(self.load.withColumnRenamed("comp", "comp2"), ["cohort", "idx"])
+        return both.groupBy("comp1", "comp2").agg(self._over_n2())
+
+    def _over_n2(self) -> F.Column:
+        return (F.sum(F.col("u") * F.col("c")) / float(self.effects.n) ** 2).alias("v")
+
+    def draw_sums(self) -> DataFrame:
+        rows = self.effects.path_draws.join(self.load, ["cohort", "idx"])
+        total = F.sum(F.col("q") * F.col("c")) / float(self.effects.n) ** 0.5
+        return rows.groupBy("draw", "comp").agg(total.alias("r"))
+
 
 def _path() -> F.Column:
     """(1, y_1 - y_1, ..., y_T - y_1).  Only differences within a unit matter, and small

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwave.plans.att import Effects, cohort_counts, keyed_sums
+from panelwave.plans.att import Combined, Effects, att_gt_moments, cohort_counts, keyed_sums
 from panelwave.plans.design import MEMBER_SCHEMA, ModelSpec, cell_members, keep, unit_paths
 from panelwave.plans.moments import gram
 from panelwave.session import local_table, settle
@@ -197,21 +197,18 @@ class ScoreEffects(Effects):
     def influence(self) -> DataFrame:
         return self._psi().drop("cohort")
 
-    def _component_vectors(self, weights: DataFrame, shift: DataFrame) -> tuple[DataFrame, list[str]]:
+    def combine(self, weights: DataFrame, shift: DataFrame) -> Combined:
         """Per unit, the influence of each component as an array.
 
         A unit's cells are built and summed in the partition that holds the unit; the
         design is already partitioned by unit, so no exchange is needed.  The vectors are
         kept, as errors and draws both read them.
         """
-        names = [r["comp"] for r in weights.select("comp").distinct().orderBy("comp").collect()]
-        # weights of one cell on all components, as an array in the order of ``names``
-        w = weights.groupBy("g", "t").agg(
-            F.array(*[F.sum(F.when(F.col("comp") == c, F.col("w")).otherwise(0.0)) for c in names]).alias("w")
-        )
-        h = shift.groupBy("cohort").agg(
-            F.array(*[F.sum(F.when(F.col("comp") == c, F.col("h")).otherwise(0.0)) for c in names]).alias("h")
-        )
+        weights, shift = settle(weights), settle(shift)
+        names = [row["comp"] for row in weights.select("comp").distinct().orderBy("comp").collect()]
+        pick = lambda c, v: F.sum(F.when(F.col("comp") == c, F.col(v)).otherwise(0.0))
+        w = weights.groupBy("g", "t").agg(F.array(*[pick(c, "w") for c in names]).alias("w"))
+        h = shift.groupBy("cohort").agg(F.array(*[pick(c, "h") for c in names]).alias("h"))
         psi = self._psi().join(settle(w), ["g", "t"])
         sums = psi.groupBy("unit", "cohort").agg(
             *[F.sum(F.col("psi") * F.get("w", F.lit(i))).alias(f"p{i}") for i in range(len(names))]
@@ -220,36 +217,37 @@ class ScoreEffects(Effects):
         vec = F.array(
             *[F.col(f"p{i}") + F.coalesce(F.get("h", F.lit(i)), F.lit(0.0)) for i in range(len(names))]
         )
-        return keep(sums.select("unit", vec.alias("vec"))), names
-
-    def variances(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
-        vectors, names = self._component_vectors(weights, shift)
-        sums = [
-            F.struct(
-                F.lit(c).alias("comp"),
-                (F.sum(F.get("vec", F.lit(i)) * F.get("vec", F.lit(i))) / float(self.n) ** 2).alias("v"),
-            )
-            for i, c in enumerate(names)
-        ]
-        return vectors.agg(F.array(*sums).alias("s")).select(F.inline("s"))
-
-    def covariances(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
-        vectors, names = self._component_vectors(weights, shift)
-        labels = F.array(*[F.lit(c) for c in names])
-        return gram(vectors, "vec").select(
-            F.get(labels, F.col("i")).alias("comp1"),
-            F.get(labels, F.col("j")).alias("comp2"),
-            (F.col("m") / float(self.n) ** 2).alias("v"),
-        )
+        return UnitScores(self, keep(sums.select("unit", vec.alias("vec"))), names)
 
-    def draw_sums(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
-        vectors, names = self._component_vectors(weights, shift)
-        sums = keyed_sums(vectors, "vec", len(names), self.spec.draws, self.spec.seed)
-        labels = F.array(*[F.lit(c) for c in names])
-        return sums.select(
-            "draw", F.get(labels, F.col("idx")).alias("comp"), (F.col("q") / float(self.n) ** 0.5).alias("r")
+
+@dataclass
+class UnitScores(Combined):
+    """Component influence per unit: (unit, vec) with vec in the order of ``names``."""
+
+    effects: ScoreEffects
+    vectors: DataFrame
+    names: list[str]
+
+    def _name(self, position: str) -> Column:
+        return F.get(F.array(*[F.lit(c) for c in self.names]), F.col(position))
+
+    def variances(self) -> DataFrame:
+        n2 = float(self.effects.n) ** 2
+        square = lambda i: F.sum(F.get("vec", F.lit(i)) * F.get("vec", F.lit(i))) / n2
+        sums = [F.struct(F.lit(c).alias("comp"), square(i).alias("v")) for i, c in enumerate(self.names)]
+        return self.vectors.agg(F.array(*sums).alias("s")).select(F.inline("s"))
+
+    def covariances(self) -> DataFrame:
+        n2 = float(self.effects.n) ** 2
+        return gram(self.vectors, "vec").select(
+            self._name("i").alias("comp1"), self._name("j").alias("comp2"), (F.col("m") / n2).alias("v")
         )
 
+    def draw_sums(self) -> DataFrame:
+        spec = self.effects.spec
+        sums = keyed_sums(self.vectors, "vec", len(self.names), spec.draws, spec.seed)
+        return sums.select("draw", self._name("idx").alias("comp"), (F.col("q") / float(self.effects.n) ** 0.5).alias("r"))
+
 
 def _weights(design: Design) -> tuple[Column, Column, Column]:
     """(residual, propensity, control weight) of a member row, from its cell's parameters."""
@@ -397,6 +395,4 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
 
 def att_gt(panel: DataFrame, spec: ModelSpec) -> Effects:
     """Group-time effects for any specification."""
-    from panelwave.plans.att import att_gt_moments
-
     return att_gt_covariates(panel, spec) if spec.covariates else att_gt_moments(panel, spec)

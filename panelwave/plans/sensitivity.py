@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from panelwave.plans.aggregate import OVERALL, Aggregate, z_value
+from panelwave.session import settle
 
 
 def _check(agg: Aggregate) -> None:
@@ -28,12 +29,12 @@ def _check(agg: Aggregate) -> None:
 def event_cov(agg: Aggregate) -> DataFrame:
     """(e1, e2, v): covariance of the event-time effects, without the reference e = -1."""
     _check(agg)
-    inner = F.col("comp") != OVERALL
-    cov = agg.effects.covariances(agg.weights.filter(inner), agg.shift.filter(inner))
-    return (
-        cov.select(F.col("comp1").cast("int").alias("e1"), F.col("comp2").cast("int").alias("e2"), "v")
-        .filter((F.col("e1") != -1) & (F.col("e2") != -1))
+    inner = (F.col("comp1") != OVERALL) & (F.col("comp2") != OVERALL)
+    cov = agg.combined.covariances().filter(inner)
+    rows = cov.select(
+        F.col("comp1").try_cast("int").alias("e1"), F.col("comp2").try_cast("int").alias("e2"), "v"
     )
+    return settle(rows.filter((F.col("e1") != -1) & (F.col("e2") != -1)))
 
 
 def _betas(agg: Aggregate) -> DataFrame:
