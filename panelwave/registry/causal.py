@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwave.operators.frames import stack
 from panelwave.plans import eventstudy as E, sensitivity as S, tables as T
-from panelwave.plans.aggregate import Aggregate, aggregate, bootstrap_table
+from panelwave.plans.aggregate import KINDS, Aggregate, aggregate, bootstrap_table
 from panelwave.plans.att import Effects, did_2x2 as two_by_two
 from panelwave.plans.covariates import att_gt, build_design, propensity_table
 from panelwave.plans.design import ModelSpec, keep, prepare
@@ -260,13 +260,16 @@ def _re(x: str, name: str) -> str:
     return f"round_even({x}, 3) + 0.0 AS {name}"
 
 
-def _summary_sql(kind: str) -> str:
+def _summary_sql(kind: str, body: str = PLAIN) -> str:
+    none = "SELECT 0 AS k, CAST(NULL AS BIGINT) AS number_units WHERE FALSE"
     counts = {
+        "dynamic": none,
+        "dynamic_balanced": none,
         "group": "SELECT cohort AS k, count(*) AS number_units FROM prep WHERE year = 2000 AND cohort <> 0 GROUP BY cohort",
         "calendar": "SELECT year AS k, count(*) AS number_units FROM prep WHERE cohort <> 0 AND cohort <= year GROUP BY year",
     }[kind]
     return (
-        PLAIN + Q.components(kind) + BOOT_SQL + Q.ERRORS
+        body + Q.components(kind) + BOOT_SQL + Q.ERRORS
         + f""", counts AS ({counts}),
         s AS (SELECT CAST(comp AS INTEGER) AS event_time, '{kind}' AS aggregation, {_re('att', 'estimate_att')},
               {_re('se', 'std_error')}, {_re('att - crit * se', 'lower_bound')}, {_re('att + crit * se', 'upper_bound')}
@@ -378,16 +381,38 @@ def alternate_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return stack(*frames)
 
 
-@query("fit_model")
+@query(
+    "fit_model",
+    " UNION ALL BY NAME ".join(
+        f"SELECT * FROM ({_summary_sql(k, DR)})" for k in ("dynamic", "dynamic_balanced", "group", "calendar")
+    ),
+)
 def fit_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Prepare, doubly robust effects with two covariates, all aggregations, all tables."""
+    """Prepare, doubly robust effects with a 0/1 covariate, all aggregations, all tables."""
+    rows = fit(keep(seg_did(spark, sf)), seg_spec(covariates=("b",))).stacked()
+    cols = ["estimate_att", "std_error", "lower_bound", "upper_bound"]
+    return rows.withColumns({c: F.col(c) + F.lit(0.0) for c in cols})
+
+
+@query("fit_model_continuous")
+def fit_model_continuous(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with two covariates, one of them continuous."""
     return fit(keep(seg_did(spark, sf)), seg_spec(covariates=("x1", "b"))).stacked()
 
 
-@query("fit_model_customers")
+@query(
+    "fit_model_customers",
+    " UNION ALL ".join(
+        f"""SELECT * FROM ({Q.prep(source='cust') + Q.members() + Q.PLAIN + Q.components(k) + Q.ERRORS}
+        SELECT {r('att', 'att')}, {r('se', 'se')}, {r(f'att - {Q.Z975} * se', 'lo')}, {r(f'att + {Q.Z975} * se', 'hi')},
+               {_interval_sql(1, 3, '')} AS label, '{k}' AS aggregation FROM agg WHERE comp = 'overall')"""
+        for k in KINDS
+    ),
+)
 def fit_model_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Overall effects of the five aggregations on the customer panel."""
-    return fit(cust_did(spark, sf), _cust_spec()).overalls()
+    rows = fit(keep(cust_did(spark, sf)), _cust_spec(cband=False)).overalls()
+    return rounded(rows, ["att", "se", "lo", "hi"])
 
 
 # ---------------------------------------------------------------- event study, sensitivity
