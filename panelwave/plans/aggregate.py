@@ -3,11 +3,13 @@ cohort shares, and simultaneous bands."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from panelwave.operators.frames import stack
 from panelwave.plans.att import Combined, Effects
 from panelwave.session import settle
 
@@ -28,7 +30,17 @@ class Aggregate:
     effects: Effects
     table: DataFrame
     overall: DataFrame
-    combined: Combined
+    combined: Combined | None
+    balance_e: int | None
+
+    def covariances(self) -> DataFrame:
+        """(comp1, comp2, v) of the components, among them the overall effect."""
+        combined = self.combined
+        if combined is None:
+            combined = self.effects.combine(*component_weights(self.effects, self.kind, self.balance_e))
+        cov = combined.covariances()
+        last = lambda c: F.element_at(F.split(F.col(c), "[|]"), -1)
+        return cov.select(last("comp1").alias("comp1"), last("comp2").alias("comp2"), "v")
 
 
 def _kept_cells(effects: Effects, kind: str, balance_e: int) -> DataFrame:
@@ -55,7 +67,6 @@ def component_weights(effects: Effects, kind: str, balance_e: int | None = None)
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}, not {kind!r}")
     cells = _kept_cells(effects, kind, effects.spec.balance_e if balance_e is None else balance_e)
-    cells = settle(cells)
     comp = {
         "simple": F.lit(OVERALL),
         "dynamic": F.col("e").cast("string"),
@@ -103,68 +114,95 @@ def _group_weights(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return within.unionByName(overall), shift
 
 
-def simultaneous_crit(draws: DataFrame, alpha: float) -> tuple[Column, DataFrame]:
-    """Critical value of a simultaneous band as a scalar, and the bootstrap scale per
-    component (comp, sigma), from rows (draw, comp, r)."""
+def _qualified(frames: dict[str, DataFrame]) -> DataFrame:
+    """Component tables of several aggregations in one, as "kind|component"."""
+    name = lambda kind: F.concat(F.lit(f"{kind}|"), F.col("comp"))
+    return stack(*[df.withColumn("comp", name(kind)) for kind, df in frames.items()])
+
+
+def _split() -> tuple[F.Column, F.Column]:
+    parts = F.split(F.col("comp"), "[|]")
+    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+
+
+def _draw_scale(draws: DataFrame) -> DataFrame:
+    """(comp, sigma): robust spread of the multiplier sums of each component."""
     iqr_to_sd = NormalDist().inv_cdf(0.75) - NormalDist().inv_cdf(0.25)
-    scale = draws.groupBy("comp").agg(
-        ((F.percentile("r", F.lit(0.75)) - F.percentile("r", F.lit(0.25))) / iqr_to_sd).alias("sigma")
-    )
-    scale = settle(scale)
-    largest = (
-        draws.join(scale.filter("sigma > 1e-12"), "comp")
-        .groupBy("draw")
-        .agg(F.max(F.abs(F.col("r") / F.col("sigma"))).alias("m"))
-    )
-    return largest.agg(F.percentile("m", F.lit(1 - alpha))).scalar(), scale
+    spread = F.percentile("r", F.lit(0.75)) - F.percentile("r", F.lit(0.25))  # one value per draw
+    return draws.groupBy("comp").agg((spread / iqr_to_sd).alias("sigma"))
 
 
-def aggregate(effects: Effects, kind: str, balance_e: int | None = None) -> Aggregate:
-    """One of the five aggregations with its table and overall effect.
+def _band_crit(draws: DataFrame, scale: DataFrame, alpha: float) -> DataFrame:
+    """(kind, crit): critical value of a simultaneous band over the components of a kind."""
+    kind, part = _split()
+    parts = draws.join(scale.filter("sigma > 1e-12"), "comp").filter(part != OVERALL)
+    largest = parts.groupBy(kind.alias("kind"), "draw").agg(F.max(F.abs(F.col("r") / F.col("sigma"))).alias("m"))
+    return largest.groupBy("kind").agg(F.percentile("m", F.lit(1 - alpha)).alias("crit"))
 
-    Standard errors are analytic, or come from the bootstrap if the specification asks
-    for it.  With ``cband`` the critical value of the table is that of a simultaneous
-    band, also when the standard errors are analytic.
+
+def aggregate_all(
+    effects: Effects, kinds: Sequence[str] = KINDS, balance_e: int | None = None
+) -> dict[str, Aggregate]:
+    """Several aggregations with their tables and overall effects.
+
+    The components of all of them share one pass over the units for the standard errors
+    and one for the bootstrap draws.  Standard errors are analytic, or come from the
+    bootstrap if the specification asks for it.  With ``cband`` the critical value of a
+    table is that of a simultaneous band, also when the standard errors are analytic.
     """
     spec = effects.spec
-    weights, shift = component_weights(effects, kind, balance_e)
+    parts = {kind: component_weights(effects, kind, balance_e) for kind in kinds}
+    weights = _qualified({kind: w for kind, (w, _) in parts.items()})
+    shift = _qualified({kind: h for kind, (_, h) in parts.items()})
     combined = effects.combine(weights, shift)
     point = (
         weights.join(effects.table.select("g", "t", "att"), ["g", "t"])
         .groupBy("comp")
         .agg(F.sum(F.col("w") * F.col("att")).alias("att"))
     )
-    errors = combined.variances().select("comp", F.when(F.col("v") > 1e-20, F.sqrt("v")).alias("se"))
     z = z_value(spec.alpha)
-    crit = F.lit(z)
-    members = kind != "simple"
-    if spec.bootstrap or (spec.cband and members):
+    banded = spec.cband and any(kind != "simple" for kind in kinds)
+    if spec.bootstrap or banded:
         draws = settle(combined.draw_sums())
-        if spec.bootstrap:
-            _, scale = simultaneous_crit(draws, spec.alpha)
-            root_n = float(effects.n) ** 0.5
-            errors = scale.select("comp", F.when(F.col("sigma") > 1e-12, F.col("sigma") / root_n).alias("se"))
-        if spec.cband and members:
-            crit, _ = simultaneous_crit(draws.filter(F.col("comp") != OVERALL), spec.alpha)
-    both = settle(point.join(errors, "comp", "left"))
-    egt = F.col("comp").cast("int").alias("egt") if members else F.lit(None).cast("int").alias("egt")
-    rows = both.filter(F.col("comp") != OVERALL) if members else both
-    table = rows.select(egt, "att", "se", crit.alias("crit")).withColumns(
-        {
-            "lo": F.col("att") - F.col("crit") * F.col("se"),
-            "hi": F.col("att") + F.col("crit") * F.col("se"),
-        }
-    )
-    overall = both.filter(F.col("comp") == OVERALL).select(
-        "att", "se", (F.col("att") - z * F.col("se")).alias("lo"), (F.col("att") + z * F.col("se")).alias("hi")
-    )
-    return Aggregate(kind, effects, table, overall, combined)
+        scale = settle(_draw_scale(draws))
+    if spec.bootstrap:
+        se = F.when(F.col("sigma") > 1e-12, F.col("sigma") / float(effects.n) ** 0.5)
+        errors = scale.select("comp", se.alias("se"))
+    else:
+        errors = combined.variances().select("comp", F.when(F.col("v") > 1e-20, F.sqrt("v")).alias("se"))
+    kind, part = _split()
+    rows = point.join(errors, "comp", "left").select(kind.alias("kind"), part.alias("comp"), "att", "se")
+    if banded:
+        rows = rows.join(_band_crit(draws, scale, spec.alpha), "kind", "left")
+    else:
+        rows = rows.withColumn("crit", F.lit(None).cast("double"))
+    rows = settle(rows.withColumn("crit", F.coalesce(F.col("crit"), F.lit(z))))
+    return {
+        kind: _aggregate(effects, kind, rows.filter(F.col("kind") == kind), combined if len(parts) == 1 else None, balance_e)
+        for kind in kinds
+    }
+
+
+def _aggregate(
+    effects: Effects, kind: str, rows: DataFrame, combined: Combined | None, balance_e: int | None
+) -> Aggregate:
+    z = z_value(effects.spec.alpha)
+    bounds = lambda m: [(F.col("att") - m * F.col("se")).alias("lo"), (F.col("att") + m * F.col("se")).alias("hi")]
+    inner = rows if kind == "simple" else rows.filter(F.col("comp") != OVERALL)
+    egt = F.when(F.col("comp") != OVERALL, F.col("comp")).cast("int").alias("egt")
+    table = inner.select(egt, "att", "se", "crit", *bounds(F.col("crit")))
+    overall = rows.filter(F.col("comp") == OVERALL).select("att", "se", *bounds(F.lit(z)))
+    return Aggregate(kind, effects, table, overall, combined, balance_e)
+
+
+def aggregate(effects: Effects, kind: str, balance_e: int | None = None) -> Aggregate:
+    """One of the five aggregations."""
+    return aggregate_all(effects, (kind,), balance_e)[kind]
 
 
 def bootstrap_table(effects: Effects, kind: str) -> DataFrame:
     """(egt, se_bootstrap) of an aggregation's components, the overall effect as NULL."""
-    combined = effects.combine(*component_weights(effects, kind))
-    _, scale = simultaneous_crit(settle(combined.draw_sums()), effects.spec.alpha)
+    scale = _draw_scale(effects.combine(*component_weights(effects, kind)).draw_sums())
     egt = F.when(F.col("comp") != OVERALL, F.col("comp")).cast("int")
     se = F.when(F.col("sigma") > 1e-12, F.col("sigma") / float(effects.n) ** 0.5)
     return scale.select(egt.alias("egt"), se.alias("se_bootstrap"))

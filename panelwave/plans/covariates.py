@@ -209,11 +209,11 @@ class ScoreEffects(Effects):
         pick = lambda c, v: F.sum(F.when(F.col("comp") == c, F.col(v)).otherwise(0.0))
         w = weights.groupBy("g", "t").agg(F.array(*[pick(c, "w") for c in names]).alias("w"))
         h = shift.groupBy("cohort").agg(F.array(*[pick(c, "h") for c in names]).alias("h"))
-        psi = self._psi().join(settle(w), ["g", "t"])
+        psi = self._psi().join(w, ["g", "t"])
         sums = psi.groupBy("unit", "cohort").agg(
             *[F.sum(F.col("psi") * F.get("w", F.lit(i))).alias(f"p{i}") for i in range(len(names))]
         )
-        sums = sums.join(settle(h), "cohort", "left")
+        sums = sums.join(h, "cohort", "left")
         vec = F.array(
             *[F.col(f"p{i}") + F.coalesce(F.get("h", F.lit(i)), F.lit(0.0)) for i in range(len(names))]
         )

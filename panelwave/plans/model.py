@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelwave.operators import rollups
 from panelwave.operators.frames import stack
 from panelwave.plans import tables
-from panelwave.plans.aggregate import KINDS, Aggregate, aggregate
+from panelwave.plans.aggregate import Aggregate, aggregate_all
 from panelwave.plans.att import Effects
 from panelwave.plans.covariates import att_gt
 from panelwave.plans.design import ModelSpec, Prepared, keep, prepare
@@ -46,7 +46,7 @@ def fit(panel: DataFrame, spec: ModelSpec) -> ModelResult:
             spec.unit, spec.time, F.coalesce(F.col(spec.cohort), F.lit(0)).alias(spec.cohort)
         )
     )
-    aggregates = {kind: aggregate(effects, kind) for kind in KINDS}
+    aggregates = aggregate_all(effects)
     summaries = {
         kind: tables.summary_table(agg, rows) for kind, agg in aggregates.items() if kind != "simple"
     }
@@ -66,5 +66,6 @@ def covariate_set_sweep(
     for covariates in covariate_sets:
         effects = att_gt(panel, spec.but(covariates=tuple(covariates), cband=False))
         label = tables.covariate_label(tuple(covariates), dict(labels or {}))
-        rows += [tables.comparison_row(aggregate(effects, kind), label, spec.digits) for kind in kinds]
+        parts = aggregate_all(effects, kinds)
+        rows += [tables.comparison_row(parts[kind], label, spec.digits) for kind in kinds]
     return stack(*rows).orderBy(F.col("aggregation").desc(), "covariates")

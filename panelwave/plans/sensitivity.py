@@ -30,7 +30,7 @@ def event_cov(agg: Aggregate) -> DataFrame:
     """(e1, e2, v): covariance of the event-time effects, without the reference e = -1."""
     _check(agg)
     inner = (F.col("comp1") != OVERALL) & (F.col("comp2") != OVERALL)
-    cov = agg.combined.covariances().filter(inner)
+    cov = agg.covariances().filter(inner)
     rows = cov.select(
         F.col("comp1").try_cast("int").alias("e1"), F.col("comp2").try_cast("int").alias("e2"), "v"
     )

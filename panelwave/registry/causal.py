@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwave.operators.frames import stack
 from panelwave.plans import eventstudy as E, sensitivity as S, tables as T
-from panelwave.plans.aggregate import KINDS, Aggregate, aggregate, bootstrap_table
+from panelwave.plans.aggregate import KINDS, Aggregate, aggregate, aggregate_all, bootstrap_table
 from panelwave.plans.att import Effects, did_2x2 as two_by_two
 from panelwave.plans.covariates import att_gt, build_design, propensity_table
 from panelwave.plans.design import ModelSpec, keep, prepare
@@ -334,7 +334,8 @@ KINDS3 = ("group", "dynamic", "calendar")
 )
 def overall_ci_comparison(spark: SparkSession, sf: str) -> DataFrame:
     effects = _seg_effects(spark, sf, cband=False)
-    return stack(*[T.comparison_row(aggregate(effects, k), "Intercept only") for k in KINDS3])
+    parts = aggregate_all(effects, KINDS3)
+    return stack(*[T.comparison_row(parts[k], "Intercept only") for k in KINDS3])
 
 
 @query(
