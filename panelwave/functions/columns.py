@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, functions as F
 
 # Accented lower-case letters and the plain letter each one becomes.
@@ -94,13 +96,15 @@ def code_rank(c: Column | str, labels: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), col(c))
 
 
-def keyed_multiplier(seed: int, draw: Column, key: Column | str) -> Column:
+def keyed_multiplier(prefix: Column, key: Column) -> Column:
     """Two-point multiplier with mean 0 and variance 1 (Mammen), taken from a hash of
-    (seed, draw, key).  The value belongs to the key, so it does not depend on how
-    the rows are partitioned and a recomputed task gets it again."""
+    ``prefix`` ("seed|draw|") and ``key``, both text.  The value belongs to the key, so it
+    does not depend on how the rows are partitioned and a recomputed task gets it again.
+
+    The first 32 bits of the hash are a uniform number; hex digits of equal length sort
+    like the numbers they stand for, so the text is compared as it is.
+    """
     root5 = 5.0**0.5
-    text = F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), col(key).cast("string"))
-    uniform = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
-    low = F.lit((1 - root5) / 2)
-    high = F.lit((1 + root5) / 2)
-    return F.when(uniform < (root5 + 1) / (2 * root5), low).otherwise(high)
+    cut = f"{ceil((root5 + 1) / (2 * root5) * 2**32):08x}"
+    low = F.substring(F.md5(F.concat(prefix, key)), 1, 8) < cut
+    return F.when(low, (1 - root5) / 2).otherwise((1 + root5) / 2)

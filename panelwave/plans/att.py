@@ -26,10 +26,11 @@ def keyed_sums(df: DataFrame, vec: str, size: int, draws: int, seed: int, by: tu
     Each unit meets each draw inside its task; a task passes on at most ``draws`` rows
     per ``by`` group.
     """
-    rows = df.select(*by, "unit", vec).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    v = keyed_multiplier(seed, F.col("draw"), "unit")
+    draw = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
+    rows = df.select(*by, F.col("unit").cast("string").alias("key"), vec, draw)
+    prefix = F.concat(F.lit(f"{seed}|"), F.col("draw").cast("string"), F.lit("|"))
     sums = (
-        rows.withColumn("__v", v)
+        rows.select(*by, "draw", vec, keyed_multiplier(prefix, F.col("key")).alias("__v"))
         .groupBy(*by, "draw")
         .agg(F.array(*[F.sum(F.col("__v") * F.get(vec, F.lit(k))) for k in range(size)]).alias("q"))
     )

@@ -11,6 +11,7 @@ from panelwave.operators import (
     quantiles as Q,
     rollups as A,
 )
+from panelwave.plans.design import keep
 from panelwave.registry.catalog import query, r, rounded, table
 from panelwave.registry.panels import (
     CUST_CTE,
@@ -66,7 +67,7 @@ SHIPPED_CTE = """shipped AS (SELECT unit_id, CAST(year(l_shipdate) AS INTEGER) A
     LEFT JOIN seg s2 ON s2.unit_id = g.unit_id AND s2.year = g.year""",
 )
 def build_panel(spark: SparkSession, sf: str) -> DataFrame:
-    units, panel = seg_units(spark, sf), seg_panel(spark, sf)
+    units, panel = keep(seg_units(spark, sf)), keep(seg_panel(spark, sf))
     years = F.explode(F.sequence(F.lit(1995), F.lit(2002)))
     spine = units.select("unit_id", years.alias("year"), (F.col("unit_id") + 100000).alias("unit6"))
     by_code = panel.select((F.col("unit_id") + 100000).alias("code"), "year", "n_cust", "total")
