@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwave.llm.common import table
+from panelwave.llm.hyperminhash import near_duplicates
 from panelwave.llm.line_clean import clean_lines
 from panelwave.llm.seed_extend import remove_repeats
 
@@ -27,3 +28,8 @@ def op1_line_first_cleaning(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_seed_and_extend(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(table(spark, sf, "documents"), with_text=False).drop("kept_text")
+
+
+@query
+def op8_hyperminhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
