@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwave.llm.common import table
+from panelwave.llm.complement_pack import pack
+from panelwave.llm.cube_mix import mix_sources
 from panelwave.llm.hyperminhash import near_duplicates
 from panelwave.llm.line_clean import clean_lines
 from panelwave.llm.seed_extend import remove_repeats
@@ -33,3 +36,13 @@ def op10_seed_and_extend(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_hyperminhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op3_exact_complement_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op6_cube_method_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(table(spark, sf, "documents"))
