@@ -6,14 +6,13 @@ method settles those probabilities at 0 or 1 so that the taken documents and the
 their expected totals: three open documents at a time, the vector of their probabilities moves
 along the null space of the two balance equations until one of them is settled (flight phase).
 Chunks of a source fly independently and leave at most two open documents each; those are pooled
-and fly again, until a source has one chunk, whose last two are landed by trying all outcomes.
+and fly again, until a source has one chunk.  There a dozen documents of spread sizes stay behind
+and are landed together with the last open ones by trying all outcomes.
 Chunks are bounded, so a source with any share of the rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -66,18 +65,30 @@ def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.n
 
 
 def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Settle the last open documents with the least error in words, then in documents."""
+    """Settle the open documents (few) by trying all outcomes: the one nearest to their expected
+    words, where a document too many or too few counts like some words."""
     open_ = np.flatnonzero((prob > 0) & (prob < 1))
-    want, number = (prob * size)[open_].sum(), prob[open_].sum()
-    best = min(
-        product((0.0, 1.0), repeat=len(open_)),
-        key=lambda x: (round(abs(float(np.dot(x, size[open_])) - want), 6), abs(sum(x) - number), x),
-    )
+    if not len(open_):
+        return prob
+    tried = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    words = np.abs(tried @ size[open_] - (prob * size)[open_].sum())
+    count = np.abs(tried.sum(1) - prob[open_].sum())
     out = prob.copy()
-    out[open_] = best
+    out[open_] = tried[np.argmin(np.round(words + 0.02 * size[open_].mean() * count, 6))]
     return out
 
 
+def settle_last(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, reserve: int = 12) -> np.ndarray:
+    """Flight of a last chunk (sorted by size) without a reserve of documents of spread sizes,
+    then the landing of that reserve with what the flight left open."""
+    open_ = np.flatnonzero((prob > 0) & (prob < 1))
+    kept = np.unique(np.linspace(0, len(open_) - 1, min(reserve, len(open_))).astype(int)) if len(open_) else open_
+    flies = np.delete(open_, kept)
+    out = prob.copy()
+    out[flies] = flight(prob[flies], size[flies], rng)
+    return land(out, size)
+
+
 def mix_sources(
     docs: DataFrame,
     text: str = "text",
@@ -124,13 +135,12 @@ def mix_sources(
 
     def fly(group: pa.Table) -> pa.Table:
         size, h = np.asarray(group["size"]), np.asarray(group["h"])
-        order = np.lexsort((h, -size))  # small documents last, so the open rest is small
+        order = np.lexsort((h, size))
         group = group.take(pa.array(order))
         prob, size = np.asarray(group["open"]), size[order].astype(float)
         key = [seed, int(group["nth"][0].as_py()), int(group["chunk"][0].as_py()), int(group["level"][0].as_py())]
-        prob = flight(prob, size, np.random.default_rng(key))
-        if group["last"][0].as_py():
-            prob = land(prob, size)
+        settle = settle_last if group["last"][0].as_py() else flight
+        prob = settle(prob, size, np.random.default_rng(key))
         copies = np.asarray(group["copies"]) + (prob == 1)
         group = group.set_column(group.schema.get_field_index("copies"), "copies", pa.array(copies.astype(np.int32)))
         open_ = np.where(prob < 1, prob, 0.0)
