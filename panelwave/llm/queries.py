@@ -13,6 +13,7 @@ from panelwave.llm.cube_mix import mix_sources
 from panelwave.llm.hyperminhash import near_duplicates
 from panelwave.llm.line_clean import clean_lines
 from panelwave.llm.seed_extend import remove_repeats
+from panelwave.llm.zstd_toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +47,9 @@ def op3_exact_complement_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_cube_method_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents"))
+
+
+@query
+def op4_compression_distance_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf, "labels")))
