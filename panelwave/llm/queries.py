@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelwave.llm import blob_ledger
 from panelwave.llm.common import table
 from panelwave.llm.complement_pack import pack
 from panelwave.llm.cube_mix import mix_sources
@@ -53,3 +54,12 @@ def op6_cube_method_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def op4_compression_distance_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf, "labels")))
+
+
+@query
+def op9_blob_ledger_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    findings, _ = blob_ledger.find_secrets(table(spark, sf, "documents"))
+    return blob_ledger.summary(findings)
+
+
+ORACLES["op9_blob_ledger_secrets"] = blob_ledger.oracle()
