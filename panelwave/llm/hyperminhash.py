@@ -209,8 +209,9 @@ def near_duplicates(
     size: int = 3,
     percent: int = 85,
     block_bytes: int = 2 << 20,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
+    """Per row of ``docs``: doc_id, n_shingles, component_id and kept (and the columns ``carry``).
 
     Two documents are linked if their shingle sets share at least ``percent`` % of their union;
     component_id is the smallest doc_id that links reach, ``kept`` marks the row that carries it.
@@ -220,7 +221,10 @@ def near_duplicates(
     kept if they stand alone.  An empty table gives an empty result.  Only the two named columns
     are read.
     """
+    if clash := set(carry) & {"doc_id", "text", "n", "f1", "f2", "regs", "n_shingles", "component_id", "kept"}:
+        raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    carried = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`") for c in carry])
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def sign(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -229,13 +233,14 @@ def near_duplicates(
         regs = registers(row, value, part.num_rows)
         count = np.diff(offset)
         packed = [r.tobytes() if c else None for r, c in zip(regs, count)]
-        names = ["doc_id", "n", "f1", "f2", "regs"]
+        names = ["doc_id", "n", "f1", "f2", "regs", *carry]
         arrays = [part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(packed, pa.binary())]
+        arrays += [part.column(c) for c in carry]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    signed = stored(
-        rows.mapInArrow(by_slices(sign, "text"), f"doc_id {id_type}, n long, f1 long, f2 long, regs binary"), "signed"
-    )
+    schema = f"doc_id {id_type}, n long, f1 long, f2 long, regs binary"
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    signed = stored(carried.mapInArrow(by_slices(sign, "text"), schema), "signed")
     classes = stored(
         signed.where("n > 0")
         .groupBy("f1", "f2")
@@ -297,11 +302,13 @@ def near_duplicates(
     named_class = named_class.withColumn("label", F.coalesce("label", "cid"))
     least = named_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = named_class.join(least, "label").select("f1", "f2", "component_id")
-    empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    linked = signed.where("n > 0").select("doc_id", "n", "f1", "f2").join(by_class, ["f1", "f2"]).select("doc_id", "n", "component_id")
+    empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), *carry)
+    linked = signed.where("n > 0").select("doc_id", "n", "f1", "f2", *carry)
+    linked = linked.join(by_class, ["f1", "f2"]).select("doc_id", "n", "component_id", *carry)
     return linked.unionByName(empty).select(
         F.col("doc_id").alias(doc_id),
         F.col("n").alias("n_shingles"),
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        *carry,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwave.llm import blob_ledger
 from panelwave.llm.common import table
@@ -16,6 +16,7 @@ from panelwave.llm.line_clean import clean_lines
 from panelwave.llm.rabitq import neighbours
 from panelwave.llm import reply_tree
 from panelwave.llm.seed_extend import remove_repeats
+from panelwave.llm.site_quality import fit_quality, judge
 from panelwave.llm.zstd_toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,4 +82,10 @@ def op5_reply_tree_formatting(spark: SparkSession, sf: str) -> DataFrame:
     return reply_tree.read_back(formatted).drop("path")
 
 
+@query
+def op7_site_shrinkage_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return judge(docs, fit_quality(docs, table(spark, sf, "labels")), F.col("source"), F.col("lang"))
+
+
 ORACLES["op9_blob_ledger_secrets"] = blob_ledger.oracle()
