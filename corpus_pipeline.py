@@ -1,15 +1,94 @@
-"""Documents to packed training sequences: the stages of the corpus pipeline."""
+"""Documents to packed training sequences: the stages of the corpus pipeline.
+
+Decisions are joined back by the document's id and a hash of its text, null-safe, so rows that
+repeat an id or lack one keep their own decision.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from panelwave.llm import blob_ledger
+from panelwave.llm.common import stored
+from panelwave.llm.complement_pack import pack
+from panelwave.llm.cube_mix import mix_sources
+from panelwave.llm.hyperminhash import near_duplicates
+from panelwave.llm.site_quality import fit_quality, judge
+
+KEY = "__text_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def _matches(docs: DataFrame, decided: DataFrame) -> Column:
+    return (docs[KEY] == decided["k"]) & docs["doc_id"].eqNullSafe(decided["id"])
+
+
+def _decided(result: DataFrame) -> DataFrame:
+    return result.select(F.col("doc_id").alias("id"), F.col(KEY).alias("k"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the site-aware classifier rejects go."""
+    columns, docs = docs.columns, _keyed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    result = judge(docs, fit_quality(docs, labels), F.col("source"), F.col("lang"), carry=(KEY,))
+    kept = _decided(result.where("kept")).distinct()
+    return docs.join(kept, _matches(docs, kept), "left_semi").select(*columns)
+
+
+def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays; repeated rows leave one row."""
+    columns, docs = docs.columns, _keyed(docs)
+    result = near_duplicates(docs, carry=(KEY,))
+    kept = _decided(result.where("kept")).distinct()
+    left = docs.join(kept, _matches(docs, kept), "left_semi")
+    return left.dropDuplicates(["doc_id", KEY]).select(*columns)
+
+
+def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret found is replaced by a mark; n_chars follows the new text."""
+    findings, _ = blob_ledger.find_secrets(docs)
+    hits = findings.where(F.size("found") > 0).select(F.col("blob").alias("hit_blob"), "found").distinct()
+    blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    hit = F.col("found").isNotNull()
+    marked = docs.join(hits, blob == hits["hit_blob"], "left")
+    text = F.when(hit, blob_ledger.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
+    marked = marked.withColumn("text", text)
+    length = F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return marked.withColumn("n_chars", length).select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix to target weights takes it."""
+    columns, docs = docs.columns, _keyed(docs)
+    result = mix_sources(docs, carry=(KEY,))
+    taken = result.groupBy(F.col("doc_id").alias("id"), F.col(KEY).alias("k")).agg(F.sum("copies").cast("int").alias("__copies"))
+    once = docs.dropDuplicates(["doc_id", KEY])
+    joined = once.join(taken.where("__copies > 0"), _matches(once, taken))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of at most 2048 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicate_removal", near_duplicate_removal),
+    ("secret_removal", secret_removal),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
