@@ -1,0 +1,36 @@
+from __future__ import annotations
+
+import corpus_pipeline
+from panelwave.llm.common import stored
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SF), name)
+        assert docs.columns == columns
+        after = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert after and after <= before
+        if name == "near_duplicate_removal":
+            assert docs.count() == len(after)
+        before = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("piece = 0").count() == docs.count()
+    assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+def test_odd_rows(spark, odd):
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stored(stage(spark, docs, SF), name)
+        assert out.columns == odd.columns
+        if name == "near_duplicate_removal":  # 2, 3 and 9 are near copies, 10 is repeated
+            assert sorted(r.doc_id or -1 for r in out.collect()) == [-1, 1, 4, 5, 6, 7, 8, 10, 11, 12]
+        docs = out
+    assert docs.where("text like '%hunter22%' or text like '%abcdef0123%'").count() == 0
+    empty = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
