@@ -24,11 +24,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _matches(docs: DataFrame, decided: DataFrame) -> Column:
-    return (docs[KEY] == decided["k"]) & docs["doc_id"].eqNullSafe(decided["id"])
+    return (docs[KEY] == decided["__k"]) & docs["doc_id"].eqNullSafe(decided["__id"])
 
 
 def _decided(result: DataFrame) -> DataFrame:
-    return result.select(F.col("doc_id").alias("id"), F.col(KEY).alias("k"))
+    return result.select(F.col("doc_id").alias("__id"), F.col(KEY).alias("__k"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,11 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found is replaced by a mark; n_chars follows the new text."""
     findings, _ = blob_ledger.find_secrets(docs)
-    hits = findings.where(F.size("found") > 0).select(F.col("blob").alias("hit_blob"), "found").distinct()
+    hits = findings.where(F.size("found") > 0).select(F.col("blob").alias("__blob"), F.col("found").alias("__found")).distinct()
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    hit = F.col("found").isNotNull()
-    marked = docs.join(hits, blob == hits["hit_blob"], "left")
-    text = F.when(hit, blob_ledger.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
+    hit = F.col("__found").isNotNull()
+    marked = docs.join(hits, blob == hits["__blob"], "left")
+    text = F.when(hit, blob_ledger.redacted(F.col("text"), F.col("__found"))).otherwise(F.col("text"))
     marked = marked.withColumn("text", text)
     length = F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return marked.withColumn("n_chars", length).select(*docs.columns)
@@ -66,7 +66,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Each document as often as the mix to target weights takes it."""
     columns, docs = docs.columns, _keyed(docs)
     result = mix_sources(docs, carry=(KEY,))
-    taken = result.groupBy(F.col("doc_id").alias("id"), F.col(KEY).alias("k")).agg(F.sum("copies").cast("int").alias("__copies"))
+    taken = result.groupBy(F.col("doc_id").alias("__id"), F.col(KEY).alias("__k")).agg(F.sum("copies").cast("int").alias("__copies"))
     once = docs.dropDuplicates(["doc_id", KEY])
     joined = once.join(taken.where("__copies > 0"), _matches(once, taken))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
