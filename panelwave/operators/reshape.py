@@ -19,19 +19,24 @@ def to_long(
 def to_wide(
     df: DataFrame, keys: Sequence[str], names: str, values: str, levels: Sequence[str]
 ) -> DataFrame:
-    """One column per level.  The levels are declared, so no extra job looks for them."""
-    return df.groupBy(*keys).pivot(names, list(levels)).agg(F.first(values, ignorenulls=True))
+    """One column per level.  The levels are declared, so no extra job looks for them.  A key
+    with two values for a level stops the job."""
+    value, count = F.max(values), F.count(values)
+    once = F.when(count <= 1, value).otherwise(F.raise_error(F.lit("two values for one key and level")).cast(df.schema[values].dataType))
+    return df.groupBy(*keys).pivot(names, list(levels)).agg(once)
 
 
 def complete(df: DataFrame, unit: str, year: str, defaults: dict[str, object]) -> DataFrame:
     """All observed years for all observed units; absent measures take the default.
 
-    The few distinct years come in as one array, which each unit explodes, so the
-    grid is made without a join.  The measures then join on the full key.
+    The range of years is one array, which each unit explodes, and years that do not
+    occur are taken out by a semi join; no list of values is gathered in a task.  Years are
+    whole numbers or dates.  The measures then join on the full key.
     """
-    years = df.agg(F.array_sort(F.collect_set(year))).scalar()
+    span = df.agg(F.sequence(F.min(year), F.max(year))).scalar()
     units = df.select(unit).filter(F.col(unit).isNotNull()).distinct()
-    grid = units.select(unit, F.explode(years).alias(year))
+    seen = df.select(year).filter(F.col(year).isNotNull()).distinct()
+    grid = units.select(unit, F.explode(span).alias(year)).join(seen, year, "left_semi").select(unit, year)
     return grid.join(df, [unit, year], "left").fillna(defaults)
 
 

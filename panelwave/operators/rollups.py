@@ -37,6 +37,17 @@ def coverage(df: DataFrame, year: str = "year") -> DataFrame:
     return df.groupBy(year).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def distinct_years(year: Column, lo: int, hi: int) -> Column:
+    """Aggregate: how many different years of the window occur.  Years are bits of a few
+    words, so rows combine map-side without a distinct aggregation."""
+    total: Column = F.lit(0)
+    for start in range(lo, hi + 1, 62):
+        inside = year.between(start, min(start + 61, hi))
+        bit = F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), (year - start).cast("int")))
+        total = total + F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0))
+    return total
+
+
 def unbalanced(
     df: DataFrame,
     cols: Sequence[str],
@@ -48,13 +59,17 @@ def unbalanced(
 ) -> DataFrame:
     """Units that lack a value of any of ``cols`` in some year of the window.
 
-    Every unit of the table is judged, also one with no value at all.  With
+    A year counts once, however often the unit-year occurs.  Every unit of the table is
+    judged, also one with no value at all.  With
     ``compat=True`` a unit without a single value of a column is not listed for
     that column.
     """
     window = F.col(year).between(lo, hi)
     years = hi - lo + 1
-    counts = [F.count(F.when(window, F.col(c))).alias(f"__n{i}") for i, c in enumerate(cols)]
+    counts = [
+        distinct_years(F.when(window & F.col(c).isNotNull(), F.col(year)), lo, hi).alias(f"__n{i}")
+        for i, c in enumerate(cols)
+    ]
     grouped = df.groupBy(unit).agg(*counts)
     bad: Column = F.lit(False)
     for i in range(len(cols)):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwave.operators.frames import stack
 from panelwave.plans.att import Combined, Effects
-from panelwave.session import settle
+from panelwave.session import local_table, settle
 
 KINDS = ("simple", "dynamic", "dynamic_balanced", "group", "calendar")
 OVERALL = "overall"
@@ -43,8 +43,32 @@ class Aggregate:
         return cov.select(last("comp1").alias("comp1"), last("comp2").alias("comp2"), "v")
 
 
+def _enters(g: int, t: int, kind: str, period: tuple[int, int], balance_e: int) -> bool:
+    """Whether a cell belongs to an aggregation."""
+    lo, hi = period
+    if kind == "dynamic_balanced":
+        return hi - g >= balance_e and balance_e - (hi - lo) <= t - g <= balance_e
+    return kind == "dynamic" or t >= g
+
+
+def lost_cells(effects: Effects, kind: str, balance_e: int) -> list[tuple[int, int, int, str]]:
+    """Cells of an aggregation that have no estimate.
+
+    A cell without any control unit has nothing to be compared with and is not an effect
+    of the design.  Any other one stops the aggregation unless the specification says
+    ``drop_bad_cells``; the remaining weights would otherwise be taken for all units.
+    """
+    lost = [c for c in effects.bad_cells if _enters(c[0], c[1], kind, effects.spec.period, balance_e)]
+    failed = [c for c in lost if c[3] != "no_control"]
+    if failed and not effects.spec.drop_bad_cells:
+        listed = ", ".join(f"(g={g}, t={t}: {status})" for g, t, _, status in failed[:20])
+        raise ValueError(f"{len(failed)} cells without an estimate: {listed}; drop_bad_cells=True leaves them out")
+    return lost
+
+
 def _kept_cells(effects: Effects, kind: str, balance_e: int) -> DataFrame:
     """Usable cells of an aggregation with event time ``e`` and cohort share ``pg``."""
+    lost_cells(effects, kind, balance_e)
     lo, hi = effects.spec.period
     shares = effects.cohorts().select(F.col("cohort").alias("g"), "pg")
     cells = effects.table.filter("cell_status = 'ok'").select("g", "t", "att").join(shares, "g")
@@ -192,9 +216,39 @@ def _aggregate(
     egt = F.when(F.col("comp") != OVERALL, F.col("comp")).cast("int").alias("egt")
     table = inner.select(egt, "att", "se", "crit", *bounds(F.col("crit")))
     overall = rows.filter(F.col("comp") == OVERALL).select("att", "se", *bounds(F.lit(z)))
+    if effects.spec.drop_bad_cells:
+        table, overall = _with_losses(effects, kind, table, overall, balance_e)
     return Aggregate(kind, effects, table, overall, combined, balance_e)
 
 
+def _with_losses(
+    effects: Effects, kind: str, table: DataFrame, overall: DataFrame, balance_e: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """Adds n_cells_dropped and n_treated_dropped: cells left out of a component, and treated
+    units of the cohorts they belong to.  A component that lost all its cells has a row without
+    an effect."""
+    lost = lost_cells(effects, kind, effects.spec.balance_e if balance_e is None else balance_e)
+    part = {"dynamic": lambda g, t: t - g, "dynamic_balanced": lambda g, t: t - g, "group": lambda g, t: g, "calendar": lambda g, t: t}
+    place = part.get(kind, lambda g, t: None)
+    by: dict[int | None, dict[int, list[int]]] = {}
+    for g, t, n, _ in lost:
+        cells = by.setdefault(place(g, t), {}).setdefault(g, [0, 0])
+        cells[0] += 1
+        cells[1] = max(cells[1], n)
+    rows = [(k, sum(c for c, _ in v.values()), sum(n for _, n in v.values())) for k, v in by.items()]
+    losses = local_table(effects.spark, rows, "egt int, n_cells_dropped long, n_treated_dropped long")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    counted = [zero("n_cells_dropped"), zero("n_treated_dropped")]
+    same = table["egt"].eqNullSafe(losses["egt"])
+    table = table.join(losses, same, "full").select(
+        F.coalesce(table["egt"], losses["egt"]).alias("egt"), *[table[c] for c in table.columns[1:]], *counted
+    )
+    treated = {g: max(n for a, _, n, _ in lost if a == g) for g, *_ in lost}
+    return table, overall.withColumns(
+        {"n_cells_dropped": F.lit(len(lost)).cast("long"), "n_treated_dropped": F.lit(sum(treated.values())).cast("long")}
+    )
+
+
 def aggregate(effects: Effects, kind: str, balance_e: int | None = None) -> Aggregate:
     """One of the five aggregations."""
     return aggregate_all(effects, (kind,), balance_e)[kind]

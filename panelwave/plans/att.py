@@ -63,6 +63,12 @@ class Effects:
         rows = [(c, k, k / self.n) for c, k in sorted(self.sizes.items())]
         return local_table(self.spark, rows, "cohort int, n_units long, pg double")
 
+    @cached_property
+    def bad_cells(self) -> list[tuple[int, int, int, str]]:
+        """(g, t, n_treated, cell_status) of the cells without an estimate."""
+        rows = self.table.filter("cell_status <> 'ok'").select("g", "t", "n_treated", "cell_status").collect()
+        return sorted((r["g"], r["t"], r["n_treated"] or 0, r["cell_status"]) for r in rows)
+
     def influence(self) -> DataFrame:
         """(unit, g, t, psi) for the units of each cell; psi is 0 for all other units."""
         raise NotImplementedError
@@ -88,12 +94,9 @@ class Combined:
         raise NotImplementedError
 
 
-def cohort_counts(units: DataFrame, limit: int = 2000) -> dict[int, int]:
-    """Units per cohort.  Cohorts are calendar years, so there are few of them."""
-    rows = units.groupBy("cohort").agg(F.count(F.lit(1)).alias("n")).take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} cohorts; the cohort column must hold start years")
-    return {r["cohort"]: r["n"] for r in rows}
+def cohort_counts(units: DataFrame) -> dict[int, int]:
+    """Units per cohort of a design; it has a cohort per year of the window and two more at most."""
+    return {r["cohort"]: r["n"] for r in units.groupBy("cohort").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 @dataclass
@@ -236,9 +239,7 @@ def att_gt_moments(panel: DataFrame, spec: ModelSpec) -> MomentEffects:
     """Group-time effects without covariates, for either control group and base period."""
     units = keep(unit_paths(panel, spec.but(covariates=())))
     moments = settle(gram(units.select("cohort", _path().alias("z")), "z", ("cohort",)))
-    sizes = {
-        r["cohort"]: int(r["m"]) for r in moments.filter("i = 0 and j = 0").select("cohort", "m").take(2000)
-    }
+    sizes = {r["cohort"]: int(r["m"]) for r in moments.filter("i = 0 and j = 0").select("cohort", "m").collect()}
     cells = settle(_cell_stats(moments, spec, sizes).withColumn("cell_status", status_column(spec)))
     ok = F.col("cell_status") == "ok"
     table = cells.select(

@@ -20,7 +20,6 @@ from panelwave.plans.design import MEMBER_SCHEMA, ModelSpec, cell_members, keep,
 from panelwave.plans.moments import gram
 from panelwave.session import local_table, settle
 
-MAX_STEPS = 25
 P_CLIP = 1 - 1e-6
 
 
@@ -109,12 +108,18 @@ def build_design(panel: DataFrame, spec: ModelSpec) -> Design:
     return Design(spec, units, cohort_counts(units), centre, spread, dropped)
 
 
-def fit_logit_cells(design: Design) -> dict[tuple[int, int, int], tuple[np.ndarray | None, int]]:
+#: Coefficients (on standardised covariates) beyond this size mean that the arms are separated.
+SEPARATED = 50.0
+
+
+def fit_logit_cells(design: Design) -> dict[tuple[int, int, int], tuple[np.ndarray | None, int, str]]:
     """Logistic regressions of treatment on the covariates, all comparisons at once.
 
     A comparison is (g, base year, horizon); cells that share one share the fit.  Each
-    Newton step is one aggregation of gradients and Hessians.  Returns coefficients
-    (standardised scale; None when the arms are separated) and the number of steps.
+    Newton step is one aggregation of likelihoods, gradients and Hessians; a step that
+    lowers the likelihood is halved.  Returns coefficients (standardised scale; None
+    without a fit), the number of passes and ``ok``, ``no_control``, ``separated``,
+    ``singular_hessian`` or ``not_converged``.
     """
     k, xs = design.k, design.xs
     members = {(c, g, b, h, d) for c, g, t, b, h, d in design.members()}
@@ -123,14 +128,14 @@ def fit_logit_cells(design: Design) -> dict[tuple[int, int, int], tuple[np.ndarr
     for c, g, b, h, d in members:
         counts = size.setdefault((g, b, h), [0, 0])
         counts[d] += design.sizes[c]
-    beta, done = {}, {}
+    beta, done, last, limit = {}, {}, {}, design.spec.newton_steps
     for key, (n0, n1) in size.items():
         if n0 and n1:
             beta[key] = np.concatenate([[np.log(n1 / n0)], np.zeros(k - 1)])
         else:
-            done[key] = (None, 0)
+            done[key] = (None, 0, "no_control")
     schema = "cohort int, g int, t int, b int, horizon int, d int, pi array<double>"
-    for step in range(1, MAX_STEPS + 1):
+    for step in range(1, limit + 1):
         if not beta:
             break
         rows = [
@@ -139,34 +144,48 @@ def fit_logit_cells(design: Design) -> dict[tuple[int, int, int], tuple[np.ndarr
             if (g, b, h) in beta
         ]
         data = design.rows(local_table(spark, rows, schema))
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-_dot(xs, "pi")))
-        data = data.withColumn("p", p)
+        eta = _dot(xs, "pi")
+        data = data.withColumns({"p": F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)), "eta": eta})
+        soft = F.greatest(F.col("eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta")))
         weight = F.col("p") * (1 - F.col("p"))
         sums = data.groupBy("g", "b", "horizon").agg(
+            F.sum(F.col("d") * F.col("eta") - soft).alias("likelihood"),
             *[F.sum((F.col("d") - F.col("p")) * xs[i]).alias(f"s{i}") for i in range(k)],
             *[F.sum(weight * xs[i] * xs[j]).alias(f"h{i}_{j}") for i, j in _upper(k)],
         )
         for r in sums.collect():
             key = (r["g"], r["b"], r["horizon"])
+            now = r["likelihood"]
+            if key in last and now < last[key][1] - 1e-9 * abs(last[key][1]):
+                before, value, move = last[key]
+                last[key] = (before, value, move / 2)
+                beta[key] = before + move / 2
+                if np.max(np.abs(move)) < design.spec.newton_tolerance:
+                    beta.pop(key)
+                    done[key] = (before, step, "ok")
+                continue
             grad = np.array([r[f"s{i}"] for i in range(k)])
             hess = _symmetric([r[f"h{i}_{j}"] for i, j in _upper(k)], k)
             move = _solve(hess, grad)
-            if move is None or np.max(np.abs(beta[key] + move)) > 1e3:
-                done[key] = (None, step)
+            if move is None or np.max(np.abs(beta[key] + move)) > SEPARATED:
+                # a likelihood near its bound 0 has no finite maximum
+                apart = move is not None or now > -1e-3 * sum(size[key])
+                done[key] = (None, step, "separated" if apart else "singular_hessian")
                 del beta[key]
                 continue
+            last[key] = (beta[key], now, move)
             beta[key] = beta[key] + move
-            if np.max(np.abs(move)) < 1e-9:
-                done[key] = (beta.pop(key), step)
+            if np.max(np.abs(move)) < design.spec.newton_tolerance:
+                done[key] = (beta.pop(key), step, "ok")
     for key in beta:
-        done[key] = (None, MAX_STEPS)
+        done[key] = (None, limit, "not_converged")
     return done
 
 
 def propensity_table(design: Design) -> DataFrame:
     """(g, b, horizon, steps, converged, intercept, coef): fits on the covariates' own scale."""
     rows = []
-    for (g, b, h), (pi, steps) in sorted(fit_logit_cells(design).items()):
+    for (g, b, h), (pi, steps, _) in sorted(fit_logit_cells(design).items()):
         if pi is None:
             rows.append((g, b, h, steps, False, None, None))
             continue
@@ -311,7 +330,7 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
         if (g, t) in start:
             continue
         n1, n0, beta, xx, tx = cells.get((g, t), (0, 0, None, None, None))
-        pi = fits.get((g, b, h), (None, 0))[0]
+        pi, _, fitted = fits.get((g, b, h), (None, 0, "no_control"))
         if not n0:
             status[g, t] = "no_control"
         elif n1 < spec.min_treated:
@@ -319,7 +338,7 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
         elif est != "ipw" and beta is None:
             status[g, t] = "singular"
         elif est != "reg" and pi is None:
-            status[g, t] = "overlap"
+            status[g, t] = fitted
         else:
             status[g, t] = "ok"
         use = [float(v) for v in beta] if est != "ipw" and beta is not None else zero
@@ -335,7 +354,7 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
         F.sum(F.when(F.col("d") == 1, F.col("r"))).alias("rt"),
         F.sum("w").alias("w"),
         F.sum(F.col("w") * F.col("r")).alias("wr"),
-        F.max("p").alias("p_max"),
+        F.count_if(F.col("p") >= design.spec.overlap_limit).alias("at_limit"),
         *[F.sum(F.col("w") * xs[i]).alias(f"wx{i}") for i in range(k)],
         *[F.sum(F.col("w") * F.col("r") * xs[i]).alias(f"wrx{i}") for i in range(k)],
         *[F.sum(F.col("p") * (1 - F.col("p")) * xs[i] * xs[j]).alias(f"h{i}_{j}") for i, j in _upper(k)],
@@ -346,8 +365,8 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
         n1, n0, beta, xx, tx = cells[key]
         eta_t, eta_c, w_c, at, ac, bp = r["rt"] / n1, 0.0, 1.0, zero, zero, zero
         if est != "reg":
-            if r["p_max"] >= spec.overlap_limit or r["w"] <= 0:
-                status[key] = "overlap"
+            if r["at_limit"] or r["w"] <= 0:
+                status[key] = f"overlap: {r['at_limit']} units at the limit"
                 continue
             w_c, eta_c = r["w"], r["wr"] / r["w"]
             wx = np.array([r[f"wx{i}"] for i in range(k)])
@@ -355,7 +374,7 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
             hess = _symmetric([r[f"h{i}_{j}"] for i, j in _upper(k)], k)
             slope = _solve(hess, wrx - eta_c * wx)
             if slope is None:
-                status[key] = "overlap"
+                status[key] = "singular_hessian"
                 continue
             bp = [float(v) for v in slope]
             if est == "dr":

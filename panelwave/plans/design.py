@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwave.operators import joins, rollups
 from panelwave.session import settle
@@ -42,6 +42,9 @@ class ModelSpec:
     seed: int = 2024
     min_treated: int = 1
     overlap_limit: float = 0.999
+    newton_steps: int = 60
+    newton_tolerance: float = 1e-9
+    drop_bad_cells: bool = False
     late_as_never: bool = True
 
     def __post_init__(self) -> None:
@@ -94,19 +97,34 @@ def prepare(panel: DataFrame, spec: ModelSpec, compat: bool = False) -> Prepared
     bad = rollups.unbalanced(
         panel, spec.variables, *spec.period, unit=spec.unit, year=spec.time, compat=compat
     )
-    rows = rollups_window(panel, spec).join(bad, spec.unit, "left_anti")
+    window = rollups_window(panel, spec)
+    units = window.groupBy(spec.unit).agg(
+        F.max(spec.region).alias("region") if spec.only_regions else F.lit(None).alias("region"),
+        F.count(spec.time).alias("n_rows"),
+        rollups.distinct_years(F.col(spec.time), *spec.period).alias("n_years"),
+    )
+    units = units.filter(_once(F.col("n_rows") <= F.col("n_years")))
     if spec.only_regions:
-        rows = rows.join(_regions(panel, spec), spec.region, "left_semi")
+        units = units.join(_regions(panel, spec).withColumnRenamed(spec.region, "region"), "region", "left_semi")
+    rows = window.join(bad, spec.unit, "left_anti").join(units.select(spec.unit), spec.unit, "left_semi")
     return Prepared(rows, bad, joins.audit_excluded(panel, bad, spec.unit, spec.treated))
 
 
+def _once(fine: Column) -> Column:
+    return F.when(fine, True).otherwise(
+        F.raise_error(F.lit("duplicate unit-year in the panel")).cast("boolean")
+    )
+
+
 def unit_paths(panel: DataFrame, spec: ModelSpec) -> DataFrame:
     """The balanced design: ``unit, cohort, y, x`` with ``y[i]`` the outcome and
     ``x[j][i]`` covariate ``j`` in year ``lo + i``.
 
     The same units as in ``prepare``, minus those already treated in the first period,
     which no comparison can use.  Cohorts that start after the window count as never
-    treated, coded 0, unless ``late_as_never`` is off.  Every year is picked by a
+    treated, coded 0; with ``late_as_never`` off they form one cohort, coded ``hi + 1``, as
+    they are alike in every comparison.  So there are never more cohorts than years and
+    two.  Every year is picked by a
     conditional maximum, so Spark combines rows map-side; a unit-year that occurs
     twice stops the job.
     """
@@ -118,29 +136,27 @@ def unit_paths(panel: DataFrame, spec: ModelSpec) -> DataFrame:
         for j, v in enumerate(spec.variables)
         for t in spec.years
     ]
-    present = F.col(spec.outcome).isNotNull()
     wide = (
         rollups_window(panel, spec)
         .groupBy(spec.unit)
         .agg(
             F.max(start).alias("cohort"),
             F.max(spec.region).alias("region") if spec.only_regions else F.lit(None).alias("region"),
-            F.count(F.when(present, 1)).alias("n_rows"),
+            F.count(year).alias("n_rows"),
+            rollups.distinct_years(year, lo, hi).alias("n_years"),
             *values,
         )
     )
+    wide = wide.filter(_once(F.col("n_rows") <= F.col("n_years")))
     complete = [F.col(f"v{j}_{t}").isNotNull() for j in range(len(spec.variables)) for t in spec.years]
     for test in complete:
         wide = wide.filter(test)
-    once = F.when(F.col("n_rows") <= len(spec.years), True).otherwise(
-        F.raise_error(F.lit("duplicate unit-year in the panel")).cast("boolean")
-    )
-    wide = wide.filter(once).filter((F.col("cohort") == 0) | (F.col("cohort") > lo))
+    wide = wide.filter((F.col("cohort") == 0) | (F.col("cohort") > lo))
     if spec.only_regions:
         regions = _regions(panel, spec).withColumnRenamed(spec.region, "region")
         wide = wide.join(regions, "region", "left_semi")
     paths = [F.array(*[f"v{j}_{t}" for t in spec.years]) for j in range(len(spec.variables))]
-    late = F.when(F.col("cohort") > hi, 0).otherwise(F.col("cohort")) if spec.late_as_never else F.col("cohort")
+    late = F.when(F.col("cohort") > hi, 0 if spec.late_as_never else hi + 1).otherwise(F.col("cohort"))
     return wide.select(
         F.col(spec.unit).alias("unit"),
         late.alias("cohort"),

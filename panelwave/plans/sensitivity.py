@@ -26,6 +26,14 @@ def _check(agg: Aggregate) -> None:
         raise ValueError("sensitivity needs a universal base period")
 
 
+def _needs(agg: Aggregate, e: int, steps: bool) -> None:
+    """Stop unless the event times that a method uses are there."""
+    have = {r["egt"] for r in agg.table.filter("att IS NOT NULL").select("egt").collect()}
+    wanted = {e, -1, -2} if not steps else {e, -1, -2} | set(range(min(have, default=0), 0))
+    if missing := sorted(wanted - have):
+        raise ValueError(f"no effect at event times {missing}; have {sorted(have)}")
+
+
 def event_cov(agg: Aggregate) -> DataFrame:
     """(e1, e2, v): covariance of the event-time effects, without the reference e = -1."""
     _check(agg)
@@ -59,6 +67,7 @@ def smoothness_sweep(
 ) -> DataFrame:
     """(m, estimate, bias, lo, hi) for every bound M on the bend of the trend."""
     z = z_value(agg.effects.spec.alpha if alpha is None else alpha)
+    _needs(agg, e, steps=False)
     cov = event_cov(agg) if cov is None else cov
     slope = float(e + 1)
     pick = lambda at: F.max(F.when(F.col("e") == at, F.col("att")))
@@ -84,6 +93,7 @@ def relative_magnitude_sweep(
 ) -> DataFrame:
     """(m, estimate, bias, lo, hi) for every positive multiple Mbar; 0 is left out."""
     z = z_value(agg.effects.spec.alpha if alpha is None else alpha)
+    _needs(agg, e, steps=True)
     cov = event_cov(agg) if cov is None else cov
     betas = _betas(agg)
     pre = betas.filter(F.col("e") < 0)

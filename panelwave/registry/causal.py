@@ -106,17 +106,17 @@ def att_gt_varying_base(spark: SparkSession, sf: str) -> DataFrame:
     Q.prep(covariate="x1") + Q.members() + Q.REG + Q.att_select(),
 )
 def att_gt_reg(spark: SparkSession, sf: str) -> DataFrame:
-    return _att(_seg_effects(spark, sf, covariates=("x1",), est="reg")).filter("t <> g - 1")
+    return _att(_seg_effects(spark, sf, covariates=("x1",), est="reg"))
 
 
 @query("att_gt_ipw", Q.prep(covariate="b") + Q.members() + Q.IPW01 + Q.att_select())
 def att_gt_ipw(spark: SparkSession, sf: str) -> DataFrame:
-    return _att(_seg_effects(spark, sf, covariates=("b",), est="ipw")).filter("t <> g - 1")
+    return _att(_seg_effects(spark, sf, covariates=("b",), est="ipw"))
 
 
-@query("att_gt_dr", Q.prep(covariate="b") + Q.members() + Q.DR01 + Q.att_select() + " WHERE est.t <> est.b")
+@query("att_gt_dr", Q.prep(covariate="b") + Q.members() + Q.DR01 + Q.att_select())
 def att_gt_dr(spark: SparkSession, sf: str) -> DataFrame:
-    return _att(_seg_effects(spark, sf, covariates=("b",), est="dr")).filter("t <> g - 1")
+    return _att(_seg_effects(spark, sf, covariates=("b",), est="dr"))
 
 
 @query("att_gt_dr_covariates")

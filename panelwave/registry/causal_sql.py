@@ -90,10 +90,13 @@ est AS (SELECT g, t, b, att, n1, n0 FROM st JOIN eta USING (g, t)
 
 
 def att_select() -> str:
-    return f"""
+    """Effects of all cells, the reference cells t = b with their counts among them."""
+    return f""",
+cell AS (SELECT g, t, b, att, n1, n0 FROM est WHERE t <> b
+         UNION ALL SELECT g, t, any_value(b), 0, sum(d), sum(1 - d) FROM memb WHERE t = b GROUP BY g, t)
 SELECT est.g, est.t, {r('att', 'att')},
        {r('CASE WHEN est.t <> est.b THEN se END', 'se')}, CAST(n1 AS BIGINT) AS n_treated, CAST(n0 AS BIGINT) AS n_control
-FROM est LEFT JOIN (SELECT g, t, sqrt(sum(psi * psi)) / max(n) AS se FROM psi, nn GROUP BY g, t) s
+FROM cell est LEFT JOIN (SELECT g, t, sqrt(sum(psi * psi)) / max(n) AS se FROM psi, nn GROUP BY g, t) s
   ON s.g = est.g AND s.t = est.t"""
 
 

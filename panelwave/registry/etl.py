@@ -85,16 +85,17 @@ def build_panel(spark: SparkSession, sf: str) -> DataFrame:
     "join_on_renamed_key",
     """WITH t AS (SELECT o_custkey AS code, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n_orders
                   FROM orders GROUP BY o_custkey, year(o_orderdate))
-       SELECT c_custkey AS unit_id, 1996 AS year, n_orders FROM customer
-       LEFT JOIN t ON t.code = c_custkey AND t.year = 1996""",
+       SELECT c_custkey AS unit_id, y.year, n_orders FROM customer CROSS JOIN (SELECT DISTINCT year FROM t) y
+       LEFT JOIN t ON t.code = c_custkey AND t.year = y.year""",
 )
 def join_on_renamed_key(spark: SparkSession, sf: str) -> DataFrame:
-    spine = table(spark, sf, "customer").select(F.col("c_custkey").alias("unit_id"), F.lit(1996).alias("year"))
     years = (
         table(spark, sf, "orders")
         .groupBy(F.col("o_custkey").alias("code"), F.year("o_orderdate").alias("year"))
         .agg(F.count(F.lit(1)).alias("n_orders"))
     )
+    span = years.agg(F.sequence(F.min("year"), F.max("year"))).scalar()
+    spine = table(spark, sf, "customer").select(F.col("c_custkey").alias("unit_id"), F.explode(span).alias("year"))
     return J.attach(spine, J.JoinSpec(years, {"unit_id": "code", "year": "year"}))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -29,10 +30,12 @@ def get_session(app: str = "panelwave", master: str | None = None, **conf: str)
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors can reach: the one the cluster names in
-    ``spark.checkpoint.dir``.  A temporary folder is made only where that setting
-    is absent, which is the case in single-machine tests."""
+    ``spark.checkpoint.dir``.  Where that setting is absent, a single-machine session
+    gets a temporary folder and any other one an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="panelwave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

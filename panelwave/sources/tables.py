@@ -10,11 +10,24 @@ from panelwave.operators.frames import stack
 
 
 def read_typed(
-    spark: SparkSession, path: str, schema: T.StructType | str, rename: Mapping[str, str] | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str, rename: Mapping[str, str] | None = None,
+    mode: str = "PERMISSIVE",
 ) -> DataFrame:
     """UTF-8 CSV with a header and a declared schema; ``rename`` maps source to target
-    names and selects exactly those columns."""
-    df = spark.read.csv(path, header=True, schema=schema, enforceSchema=True)
+    names and selects exactly those columns.
+
+    Columns are found by the names in the header of ``path``, in whatever order they stand;
+    a declared column that the header lacks is an error.  Text that does not fit its
+    type becomes NULL, or stops the job with ``mode="FAILFAST"``.
+    """
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    header = spark.read.csv(path, header=True).columns
+    if missing := [f.name for f in declared if f.name not in header]:
+        raise ValueError(f"{path} has no columns {missing}; its header is {header}")
+    types = {f.name: f.dataType for f in declared}
+    ordered = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    df = spark.read.csv(path, header=True, schema=ordered, enforceSchema=False, mode=mode)
+    df = df.select(*[f"`{f.name}`" for f in declared])
     if not rename:
         return df
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in rename.items()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelwave.plans import eventstudy, sensitivity
 from panelwave.plans.aggregate import KINDS, aggregate, z_value
 from panelwave.plans.covariates import att_gt, build_design, propensity_table
-from panelwave.plans.design import ModelSpec, prepare
+from panelwave.plans.design import ModelSpec, prepare, unit_paths
 from panelwave.plans.model import fit
 
 SPEC = ModelSpec(outcome="y", period=(1, 6), control="notyettreated", only_regions=False, balance_e=2, cband=False)
@@ -234,3 +234,57 @@ def test_prepare_counts_distinct_units_and_fit_runs(panel):
     assert result.stacked().count() > 10
     overall = result.overalls().filter("aggregation = 'simple'").first()
     assert overall.hi - overall.lo == pytest.approx(2 * z_value(0.05) * overall.se)
+
+
+def test_many_late_cohorts_form_one(spark):
+    """With ``late_as_never`` off, start years after the window are alike and none is lost."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(2500):
+        start = 4 if i < 60 else 1000 + i
+        for t in range(1, 7):
+            rows.append((i, 1, t, start, int(t >= start), float(rng.normal() + (t >= start)), float(i % 7)))
+    df = spark.createDataFrame(rows, "unit_id long, region long, year int, start_year int, treated int, y double, x double")
+    spec = ModelSpec(outcome="y", period=(1, 6), control="notyettreated", late_as_never=False)
+    plain = att_gt(df, spec)
+    assert plain.n == 2500 and {r.n_control for r in plain.table.collect()} == {2440}
+    assert att_gt(df, spec.but(covariates=("x",))).n == 2500
+
+
+def test_lost_cells_stop_an_aggregation(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(160):
+        cohort = 3 if i < 40 else 4 if i < 80 else None
+        x = 50.0 + rng.normal() if cohort == 4 else rng.normal()
+        for t in range(1, 7):
+            on = int(cohort is not None and t >= cohort)
+            effect = {3: 1.0, 4: 5.0}.get(cohort, 0.0) * on
+            rows.append((i, 1, t, cohort, on, float(rng.normal() * 0.1 + effect), float(x)))
+    df = spark.createDataFrame(rows, "unit_id long, region long, year int, start_year int, treated int, y double, x double")
+    spec = ModelSpec(outcome="y", period=(1, 6), covariates=("x",), cband=False)
+    effects = att_gt(df, spec)
+    assert {r.cell_status for r in effects.table.filter("g = 4 and t <> 3").collect()} <= {"separated", "not_converged", "singular_hessian"}
+    with pytest.raises(ValueError, match="g=4"):
+        aggregate(effects, "simple")
+    lossy = aggregate(att_gt(df, spec.but(drop_bad_cells=True)), "group")
+    overall = lossy.overall.first()
+    assert abs(overall.att - 1.0) < 0.2 and overall.n_treated_dropped == 40 and overall.n_cells_dropped == 3
+    assert {r.egt: (r.n_cells_dropped, r.att is None) for r in lossy.table.collect()} == {3: (0, False), 4: (3, True)}
+
+
+def test_duplicate_unit_years_stop_both_designs(spark):
+    rows = [(1, 1, t, 3, 1.0) for t in (1, 1, 2)] + [(2, 1, t, 0, 1.0) for t in (1, 2, 3)]
+    df = spark.createDataFrame([(*r[:4], int(r[2] >= 3 and r[3] > 0), r[4]) for r in rows], "unit_id long, region long, year int, start_year int, treated int, y double")
+    spec = ModelSpec(outcome="y", period=(1, 3), only_regions=False)
+    for built in (prepare(df, spec).panel, unit_paths(df, spec)):
+        with pytest.raises(Exception, match="duplicate unit-year"):
+            built.collect()
+
+
+def test_sensitivity_needs_its_event_times(spark, panel):
+    spec = ModelSpec(outcome="y", period=(2, 6), cband=False)
+    agg = aggregate(att_gt(panel.filter("coalesce(start_year, 0) in (0, 3)"), spec), "dynamic")
+    for kind in ("smoothness", "relative_magnitude"):
+        with pytest.raises(ValueError, match="event times"):
+            sensitivity.sensitivity(agg, kind, 0, (0.0, 0.5))

@@ -218,3 +218,17 @@ def test_settle_keeps_large_tables_distributed(spark):
     big = settle(spark.range(50), max_rows=10)
     assert big.count() == 50 and big.storageLevel.useMemory
     assert settle(spark.range(5), max_rows=10).rdd.getNumPartitions() == 1
+
+
+def test_read_typed_goes_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("b,extra,a\n1,x,2\n")
+    row = tables.read_typed(spark, str(tmp_path / "t.csv"), "a int, b int").first()
+    assert (row.a, row.b) == (2, 1)
+    with pytest.raises(ValueError, match="has no columns"):
+        tables.read_typed(spark, str(tmp_path / "t.csv"), "a int, c int")
+
+
+def test_two_values_for_a_key_stop_the_pivot(spark):
+    df = spark.createDataFrame([(1, "p", 1.0), (1, "p", 2.0)], "k int, n string, v double")
+    with pytest.raises(Exception, match="two values"):
+        reshape.to_wide(df, ["k"], "n", "v", ["p"]).collect()
