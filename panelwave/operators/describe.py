@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelwave.functions.columns import ratio
 from panelwave.functions.student import t_p_value, t_quantile
 from panelwave.operators.quantiles import group_quantiles, quantile_bucket
-from panelwave.session import settle
+from panelwave.session import persisted, settle
 
 
 def _long(df: DataFrame, by: str, cols: Sequence[str]) -> DataFrame:
@@ -87,7 +87,7 @@ def kde(df: DataFrame, by: str, cols: Sequence[str], n: int = 512) -> DataFrame:
     )
     ranges = spread.groupBy("variable").agg(F.min("lo").alias("from"), F.max("hi").alias("to"))
     narrow = F.least(F.col("sd"), F.when(F.col("iqr") > 0, F.col("iqr")))
-    stats = settle(
+    stats = persisted(
         spread.join(q, ["variable", "arm"])
         .join(ranges, "variable")
         .select("variable", "arm", "n", "from", "to", (0.9 * narrow * F.pow("n", F.lit(-0.2))).alias("bw"))

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelwave.session import settle
 
 
 def unique_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -93,10 +92,10 @@ def keep_treated_regions(
 ) -> DataFrame:
     """Keep regions with a treated unit-year in ``source`` (default: the table itself).
 
-    The region list is computed first; being far smaller than the panel it is
-    normally broadcast, so a region that holds much of the panel causes no skew.
+    The region list is far smaller than the panel, so adaptive execution normally
+    broadcasts it, and a region that holds much of the panel causes no skew.
     """
-    regions = settle(treated_regions(source if source is not None else df, region, treated))
+    regions = treated_regions(source if source is not None else df, region, treated)
     return df.join(regions, region, "left_semi")
 
 

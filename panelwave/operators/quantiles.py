@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwave.session import settle
+from panelwave.session import persisted
 
 
 def _interval(value: Column, cuts: Column, n_cuts: int) -> Column:
@@ -51,7 +51,7 @@ def group_quantiles(
 
     margin = 2.0 / accuracy
     marks = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
-    sketch = settle(
+    sketch = persisted(
         rows.groupBy("k").agg(
             F.count("v").alias("n"), F.percentile_approx("v", marks, accuracy).alias("cuts")
         )
@@ -60,7 +60,7 @@ def group_quantiles(
         "k", "v", _interval(F.col("v"), F.col("cuts"), len(marks)).alias("part")
     )
     running = Window.partitionBy("k").orderBy("part")
-    parts = settle(
+    parts = persisted(
         placed.groupBy("k", "part")
         .agg(F.count(F.lit(1)).alias("size"))
         .withColumn("before", F.sum("size").over(running) - F.col("size"))
@@ -74,7 +74,7 @@ def group_quantiles(
         "k", "i", F.posexplode(F.array(F.floor("h"), F.ceil("h"))).alias("side", "rank")
     )
     inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size"))
-    targets = settle(
+    targets = persisted(
         sides.join(parts, "k")
         .filter(inside)
         .select("k", "part", "i", "side", (F.col("rank") - F.col("before")).alias("rank"))
@@ -134,7 +134,7 @@ def iqr_outliers(
 
     Adds ``upper``, ``lower``, ``iqr`` and ``outlier`` (1/0, NULL for a missing value).
     """
-    q = settle(group_quantiles(df, col, (0.25, 0.75), [by]))
+    q = persisted(group_quantiles(df, col, (0.25, 0.75), [by]))
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     fences = q.select(
         F.col(by),

@@ -13,7 +13,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwave.operators import joins, rollups
-from panelwave.session import settle
 
 
 @dataclass(frozen=True)
@@ -84,7 +83,7 @@ class Prepared:
 
 def _regions(panel: DataFrame, spec: ModelSpec) -> DataFrame:
     source = rollups_window(panel, spec) if spec.regions_within_period else panel
-    return settle(joins.treated_regions(source, spec.region, spec.treated))
+    return joins.treated_regions(source, spec.region, spec.treated)
 
 
 def rollups_window(panel: DataFrame, spec: ModelSpec) -> DataFrame:

@@ -34,6 +34,16 @@ def rounded(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in cols})
 
 
+def bin_label(number: str, cuts: str, bins: int = 4) -> str:
+    """SQL text of a bin's label, from its number and the list of cut points."""
+    plain = lambda x: f"regexp_replace(regexp_replace(printf('%.4f', CAST({x} AS DOUBLE)), '0+$', ''), '\\.$', '')"
+    cases = " ".join(
+        f"WHEN {i} THEN '{'[' if i == 1 else '('}' || {plain(f'{cuts}[{i}]')} || ', ' || {plain(f'{cuts}[{i + 1}]')} || ']'"
+        for i in range(1, bins + 1)
+    )
+    return f"CASE {number} {cases} END"
+
+
 def r(expr: str, name: str, digits: int = 6) -> str:
     """The same rounding in SQL."""
     return f"round({expr}, {digits}) + 0.0 AS {name}"

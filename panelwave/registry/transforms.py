@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwave.functions import columns as C
 from panelwave.operators import deflate as D, frames as O, quantiles as Q, reshape as R
-from panelwave.registry.catalog import query, r, rounded, table
+from panelwave.registry.catalog import bin_label, query, r, rounded, table
 from panelwave.registry.panels import SEG_CTE, seg_panel
 
 SEG = f"WITH {SEG_CTE}"
@@ -211,13 +211,14 @@ def drop_null_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "bucket_by_quantile",
-    """WITH q AS (SELECT quantile_cont(o_totalprice, [0, 0.25, 0.5, 0.75, 1.0]) AS c FROM orders)
-       SELECT o_orderkey, CASE WHEN o_totalprice <= c[2] THEN 1 WHEN o_totalprice <= c[3] THEN 2
-              WHEN o_totalprice <= c[4] THEN 3 ELSE 4 END AS bucket FROM orders, q""",
+    f"""WITH q AS (SELECT quantile_cont(o_totalprice, [0, 0.25, 0.5, 0.75, 1.0]) AS c FROM orders),
+       b AS (SELECT o_orderkey, c, CASE WHEN o_totalprice <= c[2] THEN 1 WHEN o_totalprice <= c[3] THEN 2
+              WHEN o_totalprice <= c[4] THEN 3 ELSE 4 END AS bucket FROM orders, q)
+       SELECT o_orderkey, bucket, {bin_label('bucket', 'c')} AS bucket_label FROM b""",
 )
 def bucket_by_quantile(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return Q.quantile_bucket(rows, "o_totalprice").select("o_orderkey", "bucket")
+    return Q.quantile_bucket(rows, "o_totalprice").select("o_orderkey", "bucket", "bucket_label")
 
 
 # Display labels of the order status, in display order.

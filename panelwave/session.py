@@ -46,22 +46,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/panelwave-{uuid.uuid4().hex}/{name}"
 
 
-SMALL_ROWS = 100_000
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once whose size parameters bound: cells, weights, draws, cohorts.
 
+    It becomes a local relation in one partition: the optimiser knows its true size, later
+    plans carry none of its lineage, and work among such tables needs no exchange.  Tables
+    that grow with the data are for ``persisted``.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema).coalesce(1)
 
-def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Compute a reduced table once.
 
-    A table of at most ``max_rows`` rows becomes a local relation in one partition: the
-    optimiser knows its true size, so it broadcasts it if it lies under
-    ``spark.sql.autoBroadcastJoinThreshold``; later plans carry none of its lineage; and
-    work among such tables alone needs no exchange.
-    A larger table stays distributed and cached, and joins shuffle it.  No broadcast
-    hint is used anywhere in the package.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(rows, schema=df.schema).coalesce(1)
+def persisted(df: DataFrame) -> DataFrame:
+    """Compute a table once and keep it distributed; it spills to disk, and a lost block is
+    computed again from its inputs."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelwave.functions import columns as C
 from panelwave.functions.student import helpers
 from panelwave.operators import describe, frames, joins, quantiles, reshape, rollups
-from panelwave.session import scratch_path, settle
+from panelwave.session import persisted, scratch_path, settle
 from panelwave.sources import tables
 
 
@@ -214,10 +214,12 @@ def test_sources(spark):
         tables.union_yearly(spark, {2003: path}, ["only"], fmt="parquet")
 
 
-def test_settle_keeps_large_tables_distributed(spark):
-    big = settle(spark.range(50), max_rows=10)
-    assert big.count() == 50 and big.storageLevel.useMemory
-    assert settle(spark.range(5), max_rows=10).rdd.getNumPartitions() == 1
+def test_settled_tables_are_local(spark):
+    small = settle(spark.range(50))
+    assert small.count() == 50 and small.rdd.getNumPartitions() == 1
+    big = persisted(spark.range(50))
+    assert big.storageLevel.useMemory and big.rdd.getNumPartitions() > 1
+    big.unpersist()
 
 
 def test_read_typed_goes_by_name(spark, tmp_path):
