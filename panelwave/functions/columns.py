@@ -96,15 +96,20 @@ def code_rank(c: Column | str, labels: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), col(c))
 
 
-def keyed_multiplier(prefix: Column, key: Column) -> Column:
-    """Two-point multiplier with mean 0 and variance 1 (Mammen), taken from a hash of
-    ``prefix`` ("seed|draw|") and ``key``, both text.  The value belongs to the key, so it
-    does not depend on how the rows are partitioned and a recomputed task gets it again.
+#: Multipliers that one hash of 128 bits gives.
+PER_HASH = 4
 
-    The first 32 bits of the hash are a uniform number; hex digits of equal length sort
+
+def keyed_multipliers(prefix: Column, key: Column) -> list[Column]:
+    """Two-point multipliers with mean 0 and variance 1 (Mammen), taken from a hash of
+    ``prefix`` ("seed|block|") and ``key``, both text.  The values belong to the key, so they
+    do not depend on how the rows are partitioned and a recomputed task gets them again.
+
+    Each 32 bits of the hash are a uniform number; hex digits of equal length sort
     like the numbers they stand for, so the text is compared as it is.
     """
     root5 = 5.0**0.5
     cut = f"{ceil((root5 + 1) / (2 * root5) * 2**32):08x}"
-    low = F.substring(F.md5(F.concat(prefix, key)), 1, 8) < cut
-    return F.when(low, (1 - root5) / 2).otherwise((1 + root5) / 2)
+    digits = F.md5(F.concat(prefix, key))
+    low = [F.substring(digits, 8 * i + 1, 8) < cut for i in range(PER_HASH)]
+    return [F.when(x, (1 - root5) / 2).otherwise((1 + root5) / 2) for x in low]

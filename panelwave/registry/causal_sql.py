@@ -175,7 +175,7 @@ def draws(n_draws: int, seed: int) -> str:
     root5 = "sqrt(5.0)"
     return f""",
 vv AS (SELECT unit_id, draw, CASE WHEN u < ({root5} + 1) / (2 * {root5}) THEN (1 - {root5}) / 2 ELSE (1 + {root5}) / 2 END AS v
-       FROM (SELECT unit_id, draw, CAST('0x' || substr(md5('{seed}|' || draw || '|' || unit_id), 1, 8) AS BIGINT) / 4294967296.0 AS u
+       FROM (SELECT unit_id, draw, CAST('0x' || substr(md5('{seed}|' || ((draw - 1) // 4) || '|' || unit_id), CAST(8 * ((draw - 1) % 4) + 1 AS BIGINT), 8) AS BIGINT) / 4294967296.0 AS u
              FROM people CROSS JOIN (SELECT range AS draw FROM range(1, {n_draws + 1})))),
 rr AS (SELECT draw, comp, sum(vv.v * infl.v) / sqrt(max(n)) AS r FROM vv JOIN infl USING (unit_id), nn GROUP BY draw, comp),
 sg AS (SELECT comp, (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) / 1.3489795003921634 AS sigma FROM rr GROUP BY comp),
