@@ -33,7 +33,7 @@ def texts_of(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
-def cut(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Row slices of a batch with about ``limit`` bytes of ``column`` each (one row at least)."""
     if not batch.num_rows:
         return
@@ -46,7 +46,7 @@ def cut(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa
 
 
 def by_slices(
-    fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str, limit: int = 4 << 20
+    fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str, limit: int = 1 << 20
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for ``mapInArrow`` that hands ``fn`` slices of bounded text."""
 
