@@ -232,6 +232,25 @@ def multiplier_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bootstrap_table(_seg_effects(spark, sf), "dynamic"), ["se_bootstrap"])
 
 
+CUSTOMERS = Q.prep(source="cust") + Q.members() + Q.PLAIN
+
+
+@query("aggte_dynamic_customers", CUSTOMERS + Q.components("dynamic") + Q.aggregate_select("dynamic"))
+def aggte_dynamic_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """The dynamic aggregation with a unit per customer, so its work grows with the tables."""
+    return _both(aggregate(att_gt(keep(cust_did(spark, sf)), _cust_spec(cband=False)), "dynamic"))
+
+
+@query(
+    "multiplier_bootstrap_customers",
+    CUSTOMERS + Q.components("dynamic") + BOOT_SQL
+    + f""" SELECT CAST(CASE WHEN comp <> 'overall' THEN comp END AS INTEGER) AS egt,
+           {r('CASE WHEN sigma > 1e-12 THEN sigma / sqrt(n) END', 'se_bootstrap')} FROM sg, nn""",
+)
+def multiplier_bootstrap_customers(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(bootstrap_table(att_gt(keep(cust_did(spark, sf)), _cust_spec()), "dynamic"), ["se_bootstrap"])
+
+
 @query(
     "multiplier_bootstrap_dr",
     DR + Q.components("group") + BOOT_SQL
