@@ -119,11 +119,13 @@ def att_gt_dr(spark: SparkSession, sf: str) -> DataFrame:
     return _att(_seg_effects(spark, sf, covariates=("b",), est="dr"))
 
 
-@query("att_gt_dr_covariates")
+@query(
+    "att_gt_dr_covariates",
+    Q.prep(covariate="x1", source="cust") + Q.members() + Q.doubly_robust() + Q.att_select(),
+)
 def att_gt_dr_covariates(spark: SparkSession, sf: str) -> DataFrame:
-    """Doubly robust with several continuous covariates, on customers."""
-    spec = _cust_spec(covariates=("x1",), est="dr")
-    return rounded(att_gt(keep(cust_did(spark, sf)), spec).table, EFFECT)
+    """Doubly robust with a continuous covariate, on customers."""
+    return _att(att_gt(keep(cust_did(spark, sf)), _cust_spec(covariates=("x1",), est="dr")))
 
 
 @query(

@@ -89,6 +89,39 @@ est AS (SELECT g, t, b, att, n1, n0 FROM st JOIN eta USING (g, t)
         UNION ALL SELECT DISTINCT g, t, b, 0, NULL, NULL FROM memb WHERE t = b)"""
 
 
+def doubly_robust(steps: int = 12) -> str:
+    """One continuous covariate, doubly robust: Newton steps of the logit one after the other."""
+    fit = """,
+l0 AS (SELECT g, t, ln(sum(d) / sum(1 - d)) AS a, 0.0 AS c FROM memb WHERE t <> b GROUP BY g, t)"""
+    for k in range(steps):
+        fit += f""",
+l{k + 1} AS (SELECT g, t, a + (h11 * s0 - h01 * s1) / (h00 * h11 - h01 * h01) AS a,
+         c + (h00 * s1 - h01 * s0) / (h00 * h11 - h01 * h01) AS c
+       FROM (SELECT g, t, any_value(a) AS a, any_value(c) AS c, sum(d - p) AS s0, sum((d - p) * x) AS s1,
+               sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11
+             FROM (SELECT memb.*, a, c, 1 / (1 + exp(-(a + c * x))) AS p FROM memb JOIN l{k} USING (g, t) WHERE memb.t <> memb.b)
+             GROUP BY g, t))"""
+    return fit + f""",
+reg AS (SELECT g, t, any_value(b) AS b, sum(d) AS n1, sum(1 - d) AS n0, sum(x) FILTER (d = 1) AS tx,
+          sum(x) FILTER (d = 0) AS sx, sum(x * x) FILTER (d = 0) AS sxx,
+          regr_slope(dy, x) FILTER (d = 0) AS b1, regr_intercept(dy, x) FILTER (d = 0) AS b0
+        FROM memb WHERE t <> b GROUP BY g, t),
+res AS (SELECT u.*, n1, n0, tx, sx, sxx, dy - b0 - b1 * x AS e, (1 - d) * p / (1 - p) AS w
+        FROM (SELECT memb.*, 1 / (1 + exp(-(a + c * x))) AS p FROM memb JOIN l{steps} USING (g, t) WHERE memb.t <> memb.b) u
+        JOIN reg USING (g, t)),
+eta AS (SELECT g, t, avg(e) FILTER (d = 1) AS et, sum(w * e) / sum(w) AS ec, sum(w) AS ws, sum(w * x) AS wx,
+          sum(w * e) AS we, sum(w * e * x) AS wex, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01,
+          sum(p * (1 - p) * x * x) AS h11, any_value(n0 * sxx - sx * sx) AS det FROM res GROUP BY g, t),
+psi AS (SELECT unit_id, cohort, res.g, res.t,
+          n * ((d * (e - et) - (1 - d) * e * ((sxx * n1 - sx * tx) / det + (n0 * tx - sx * n1) / det * x)) / n1
+            - (w * (e - ec)
+               + (d - p) * ((h11 * (we - ec * ws) - h01 * (wex - ec * wx)) + (h00 * (wex - ec * wx) - h01 * (we - ec * ws)) * x)
+                 / (h00 * h11 - h01 * h01)
+               - (1 - d) * e * ((sxx * ws - sx * wx) / det + (n0 * wx - sx * ws) / det * x)) / ws) AS psi
+        FROM res JOIN eta USING (g, t), nn),
+est AS (SELECT g, t, b, et - ec AS att, n1, n0 FROM reg JOIN eta USING (g, t))"""
+
+
 def att_select() -> str:
     """Effects of all cells, the reference cells t = b with their counts among them."""
     return f""",
