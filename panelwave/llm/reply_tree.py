@@ -99,31 +99,32 @@ def chosen_paths(messages: DataFrame, per_conversation: int = 1) -> DataFrame:
         same, (base["conv_id"] == same["c"]) & (base["parent"] == same["n"]), "left"
     ).select("conv_id", "node", F.col("n").alias("up"), F.lit(0).alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
     level = stored(known.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0)), "levels")
-    first = level
-    jumps, count = [level.select("conv_id", "node", "up")], base.count()
-    while not level.where("up is not null").isEmpty():
-        if 1 << (len(jumps) - 1) > max(count, 1):
+    first, jumps, count = level, [], base.count()
+    while True:
+        active = level.where("up is not null")
+        if active.isEmpty():
+            break
+        if 1 << len(jumps) > 2 * max(count, 1):
             raise ValueError("the replies form a cycle")
+        jumps.append(active.select("conv_id", "node", "up"))
         far = level.select(
             F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2")
         )
-        joined = level.join(far, (level["conv_id"] == far["c"]) & (level["up"] == far["n"]), "left")
-        level = stored(
-            joined.select(
-                "conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-            ),
-            "levels",
+        joined = active.join(far, (active["conv_id"] == far["c"]) & (active["up"] == far["n"]))
+        moved = joined.select(
+            "conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"),
+            (F.col("total") + F.col("t2")).alias("total"),
         )
-        jumps.append(level.select("conv_id", "node", "up"))
+        # rows whose pointer has reached the root are only copied
+        level = stored(moved.unionByName(level.where("up is null")), "levels")
     answered = first.where("up is not null").select("conv_id", F.col("up").alias("node")).distinct()
     leaves = level.join(answered, ["conv_id", "node"], "left_anti")
     best = Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / (F.col("depth") + 1)), "node")
     ranked = leaves.withColumn("path", F.row_number().over(best)).where(F.col("path") <= per_conversation)
     onto = stored(ranked.select("conv_id", "path", "node"), "path")
     for jump in reversed(jumps):
-        more = onto.join(jump.where("up is not null"), ["conv_id", "node"]).select("conv_id", "path", F.col("up").alias("node"))
-        onto = onto.unionByName(more)
+        more = onto.join(jump, ["conv_id", "node"]).select("conv_id", "path", F.col("up").alias("node"))
+        onto = stored(onto.unionByName(more), "path")  # a short plan for the next doubling
     return onto.distinct().join(level.select("conv_id", "node", "depth"), ["conv_id", "node"]).select("conv_id", "path", "depth", "node")
 
 
