@@ -41,9 +41,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; repeated rows leave one row."""
+    """One document of each near-duplicate group stays; repeated rows leave one row.
+
+    Documents are near duplicates if they share at least 80 % of their five-word shingles."""
     columns, docs = docs.columns, _keyed(docs)
-    result = near_duplicates(docs, carry=(KEY,))
+    result = near_duplicates(docs, size=5, percent=80, carry=(KEY,))
     kept = _decided(result.where("kept")).distinct()
     left = docs.join(kept, _matches(docs, kept), "left_semi")
     return left.dropDuplicates(["doc_id", KEY]).select(*columns)

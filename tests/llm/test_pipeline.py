@@ -34,3 +34,23 @@ def test_odd_rows(spark, odd):
     empty = odd.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_near_duplicate_limit(spark):
+    """Five-word shingles at 0.8: pairs just above and just below, by a longer tail and by scattered edits."""
+
+    def words(name, n=400):
+        return [f"{name}{j}" for j in range(n)]
+
+    pairs = []
+    for more in (85, 99, 100):  # 396 of 481, 495 and 496 shingles
+        pairs.append((words(f"t{more}x"), words(f"t{more}x") + words(f"u{more}x", more)))
+    for edits in (8, 9):  # 356 of 436 and 351 of 441 shingles; three words at 0.85 would take both
+        changed = words(f"s{edits}x")
+        for e in range(edits):
+            changed[20 + 40 * e] = f"e{edits}x{e}"
+        pairs.append((words(f"s{edits}x"), changed))
+    texts = [" ".join(w) for pair in pairs for w in pair]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate_removal(spark, docs, SF)
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2, 4, 5, 6, 8, 9]
