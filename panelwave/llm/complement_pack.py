@@ -2,7 +2,9 @@
 
 Tokens.  Texts are cut in front of every space between two visible characters, where the
 tokenizer's own splitting always starts a new piece, so a text's ids are the ids of its chunks one
-after the other.  Each task encodes every distinct chunk once, keeps the ids in a bounded cache
+after the other.  A special token's string either is that token's id, as the tokenizer has it by
+default, or is split like other text (``special_as_text``); it holds no space, so a cut never
+falls inside it.  Each task encodes every distinct chunk once, keeps the ids in a bounded cache
 and gathers them with numpy.
 
 Plan.  Only the number of pieces of each length matters, at most ``limit`` counts.  Going down
@@ -36,12 +38,12 @@ Pattern = tuple[int, ...]
 class ChunkTokenizer:
     """Ids of many texts by way of their distinct chunks."""
 
-    def __init__(self, path: str, cached: int = 1_500_000):
+    def __init__(self, path: str, cached: int = 1_500_000, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.cached = cached
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -128,14 +130,15 @@ def _boundaries(data: np.ndarray) -> np.ndarray:
     return at[good]
 
 
-_TOKENIZERS: dict[tuple[str, int], ChunkTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int, bool], ChunkTokenizer] = {}
 
 
-def tokenizer(path: str, cached: int = 1_500_000) -> ChunkTokenizer:
+def tokenizer(path: str, cached: int = 1_500_000, special_as_text: bool = True) -> ChunkTokenizer:
     """One for each worker process, kept between tasks."""
-    if (path, cached) not in _TOKENIZERS:
-        _TOKENIZERS[path, cached] = ChunkTokenizer(path, cached)
-    return _TOKENIZERS[path, cached]
+    key = (path, cached, special_as_text)
+    if key not in _TOKENIZERS:
+        _TOKENIZERS[key] = ChunkTokenizer(*key)
+    return _TOKENIZERS[key]
 
 
 # ------------------------------------------------------------------------------------------ plan
@@ -240,10 +243,12 @@ def pack(
     doc_id: str = "doc_id",
     limit: int = 2048,
     with_ids: bool = False,
+    special_as_text: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
-    A document is its text's ids and id 0.  Longer ones are cut, the first piece taking the odd
+    A document is its text's ids and id 0.  The string of a special token becomes that token's id
+    unless ``special_as_text``.  Longer ones are cut, the first piece taking the odd
     rest.  A null text counts as empty and makes a piece of one id.  Repeated rows are packed as
     often as they occur; a null id stays null.  An empty table gives an empty result.  Only the
     two named columns are read.
@@ -252,7 +257,7 @@ def pack(
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, offset = tokenizer(path).encode(part.column("text"))
+        ids, offset = tokenizer(path, special_as_text=special_as_text).encode(part.column("text"))
         length = np.diff(offset)
         pieces = -(-length // limit)
         row = np.repeat(np.arange(len(length)), pieces)

@@ -45,7 +45,7 @@ def op8_hyperminhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op3_exact_complement_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False)
 
 
 @query

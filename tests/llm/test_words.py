@@ -189,6 +189,32 @@ def test_packing(odd, none):
     assert pack(none, path).count() == 0
 
 
+def test_special_strings_are_the_tokenizer_s_own(spark, tmp_path):
+    """The query's ids are those of the untouched tokenizer, chunk borders beside a special string included."""
+    import corpus_pipeline
+    from panelwave.llm.queries import op3_exact_complement_packing
+
+    path, e = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    plain = Tokenizer.from_file(path)
+    assert plain.encode(f"a {e} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = [f"a {e} b", e, f"{e} b", f"a {e}", f"a{e}b c", f"a  {e}  b", f"x {e}{e} y {e}'s it's", f" {e} ", f"é {e}\n{e} 漢 {e}é", "<| endoftext|>"]
+    texts.append(" ".join(f"w{i} {e if i % 3 else 'v' + e + '.'}" for i in range(900)))
+    own = ChunkTokenizer(path, cached=50, special_as_text=False)
+    want = [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    for _ in range(2):
+        ids, at = own.encode(pa.array(texts))
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (op3_exact_complement_packing(spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, "")):
+        got = {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in rows.collect()}
+        for i, x in enumerate(want):
+            cuts = [0, *range(len(x) % 2048 or 2048, len(x), 2048), len(x)]
+            for a, b in zip(cuts, cuts[1:]):
+                assert got.pop((i, a)) == (b - a, zlib.crc32(np.array(x[a:b], "<u4").tobytes()))
+        assert not got
+
+
 def test_plan_uses_exact_complements():
     rng = np.random.default_rng(1)
     counts = Counter(rng.integers(1, 65, 5000).tolist())
