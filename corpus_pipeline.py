@@ -41,12 +41,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; repeated rows leave one row.
+    """One document of each near-duplicate group stays, the one with the smallest id and then the
+    smallest text hash, null ids last; repeated rows leave one row, a text without words stays.
 
     Documents are near duplicates if they share at least 80 % of their five-word shingles."""
     columns, docs = docs.columns, _keyed(docs)
-    result = near_duplicates(docs, size=5, percent=80, carry=(KEY,))
-    kept = _decided(result.where("kept")).distinct()
+    result = near_duplicates(docs, size=5, percent=80, carry=(KEY,), with_label=True)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)  # null ids last
+    first = result.where("label is not null").groupBy("label").agg(F.min(order).alias("first")).select("first.*")
+    kept = _decided(first).unionByName(_decided(result.where("label is null"))).distinct()
     left = docs.join(kept, _matches(docs, kept), "left_semi")
     return left.dropDuplicates(["doc_id", KEY]).select(*columns)
 

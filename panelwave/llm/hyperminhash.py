@@ -210,6 +210,7 @@ def near_duplicates(
     percent: int = 85,
     block_bytes: int = 2 << 20,
     carry: tuple[str, ...] = (),
+    with_label: bool = False,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept (and the columns ``carry``).
 
@@ -218,10 +219,11 @@ def near_duplicates(
     A null text, or one without words, has no shingles and is its own component.  Repeated rows
     form one component and are all marked as the kept one, as they share its id.  A null id is
     never the smallest unless the component has no other; such rows have a null component and are
-    kept if they stand alone.  An empty table gives an empty result.  Only the two named columns
-    are read.
+    all marked as kept.  ``with_label`` adds the column label, which tells components apart also
+    where ids are null or shared; it is null for rows without shingles.  An empty table gives an
+    empty result.  Only the two named columns are read.
     """
-    if clash := set(carry) & {"doc_id", "text", "n", "f1", "f2", "regs", "n_shingles", "component_id", "kept"}:
+    if clash := set(carry) & {"doc_id", "text", "n", "f1", "f2", "regs", "n_shingles", "component_id", "kept", "label"}:
         raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     carried = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`") for c in carry])
@@ -301,14 +303,16 @@ def near_duplicates(
     named_class = classes.select("f1", "f2", "cid", "doc_id").join(label.withColumnRenamed("node", "cid"), "cid", "left")
     named_class = named_class.withColumn("label", F.coalesce("label", "cid"))
     least = named_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_class = named_class.join(least, "label").select("f1", "f2", "component_id")
-    empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), *carry)
+    by_class = named_class.join(least, "label").select("f1", "f2", "component_id", "label")
+    no_label = F.lit(None).cast("long").alias("label")
+    empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), no_label, *carry)
     linked = signed.where("n > 0").select("doc_id", "n", "f1", "f2", *carry)
-    linked = linked.join(by_class, ["f1", "f2"]).select("doc_id", "n", "component_id", *carry)
+    linked = linked.join(by_class, ["f1", "f2"]).select("doc_id", "n", "component_id", "label", *carry)
     return linked.unionByName(empty).select(
         F.col("doc_id").alias(doc_id),
         F.col("n").alias("n_shingles"),
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         *carry,
+        *(["label"] if with_label else []),
     )

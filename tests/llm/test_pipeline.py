@@ -54,3 +54,16 @@ def test_near_duplicate_limit(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.near_duplicate_removal(spark, docs, SF)
     assert sorted(r.doc_id for r in out.collect()) == [0, 2, 4, 5, 6, 8, 9]
+
+
+def test_near_copies_without_own_ids(spark):
+    """One row of each group stays also if the ids are null or shared."""
+    near = [" ".join([f"{g}{j}" for j in range(60)] + [f"{g}tail{i}"]) for g in "abc" for i in range(4)]
+    ids = [None] * 4 + [7] * 4 + [None, 9, 8, None]
+    rows = list(zip(ids, near)) + [(None, ""), (None, None), (3, " "), (None, "alone here"), (7, "alone with a used id")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_removal(spark, docs.repartition(4), SF).collect()]
+    groups = [[(i, t) for i, t in out if t in near[4 * g : 4 * g + 4]] for g in range(3)]
+    assert [len(g) for g in groups] == [1, 1, 1] and groups[2] == [(8, near[10])]
+    others = sorted((i or -1, t or "") for i, t in out if t not in near)
+    assert others in ([(-1, ""), (-1, "alone here"), (3, " "), (7, "alone with a used id")],)
