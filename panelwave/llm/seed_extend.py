@@ -16,8 +16,10 @@ same seed occurrence form a *cell*; about one word in twelve starts a cell.
 No pairs of occurrences are made: the work is linear in the number of windows whose seed is
 repeated, however large a group of copies is.  Joins on seeds and windows are ordinary shuffled
 joins that adaptive execution can split when one seed is very common.  Lists exist only per
-document and are bounded by its own length.  Seeds, cells and windows are compared by 64-bit
-hashes of their words.
+document, by a hash of its id and text, and hold each place once: rows that repeat or lack an id
+have lists of their own, and rows equal in both share one, so a list is bounded by one text.
+Seeds, cells and windows are compared by 64-bit
+hashes of their words, and so are ids with their texts.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelwave.llm.common import by_slices, texts_of
 from panelwave.llm.wordscan import SECOND_BASE, WORD_BASE, U, Words, mix, prefix, run_hash
 
-#: A place packs a check of its text (24 bits), the first word (31 bits) and, less one, the number of windows (5 bits).
-_TAG, _START = 36, 5
+#: A place packs the first word and, less one, the number of windows (5 bits).
+_START = 5
 _NO_ID = -(2**63)
 
 
@@ -63,8 +65,8 @@ def _cells(w: Words, span: int, seed: int) -> tuple[np.ndarray, ...]:
     return first, count, gram[owner], content
 
 
-def _pack(tag: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (tag.astype(np.int64) << _TAG) | (start.astype(np.int64) << _START) | (count.astype(np.int64) - 1)
+def _pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << _START) | (count.astype(np.int64) - 1)
 
 
 def _places(part: pa.RecordBatch, column: str, w: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +76,8 @@ def _places(part: pa.RecordBatch, column: str, w: Words, span: int) -> tuple[np.
     size = np.asarray(lists.value_lengths().fill_null(0))
     value = np.asarray(lists.flatten())
     row = np.repeat(np.arange(len(lists)), size)
-    tag = np.asarray(part.column("tag")).astype(np.int64)
-    start, count = (value >> _START) & 0x7FFFFFFF, (value & 31) + 1
-    good = ((value >> _TAG) == tag[row]) & (start + count + span - 1 <= w.count[row])
+    start, count = value >> _START, (value & 31) + 1
+    good = start + count + span - 1 <= w.count[row]
     return w.first[:-1][row[good]] + start[good], count[good]
 
 
@@ -101,29 +102,29 @@ def remove_repeats(
     id_type = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NO_ID)).alias("k"), F.col(f"`{text}`").alias("text")
-    ).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 24)))
+    ).withColumn("key", F.xxhash64("k", "text"))
 
     def cells(part: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(part.column("text"))
         first, count, h, content = _cells(w, span, seed)
         row = w.doc[first]
-        tag, k = np.asarray(part.column("tag")), np.asarray(part.column("k"))
-        place = _pack(tag[row], first - w.first[row], count)
+        key = np.asarray(part.column("key"))
+        place = _pack(first - w.first[row], count)
         return pa.RecordBatch.from_arrays(
-            [_column(h), _column(content), pa.array(k[row]), pa.array(place)], names=["h", "c", "k", "p"]
+            [_column(h), _column(content), pa.array(key[row]), pa.array(place)], names=["h", "c", "key", "p"]
         )
 
-    found = rows.mapInArrow(by_slices(cells, "text"), "h long, c long, k long, p long")
+    found = rows.mapInArrow(by_slices(cells, "text"), "h long, c long, key long, p long")
     common = (
         found.groupBy("h")
         .agg(F.count("*").alias("n"), (F.min("c") == F.max("c")).alias("alike"))
         .where("n > 1")
         .select("h", "alike")
     )
-    seeds = found.select("h", "k", "p").join(common, "h")
-    listed = seeds.groupBy(F.col("k").alias("seed_k")).agg(
-        F.collect_list(F.when(F.col("alike"), F.col("p"))).alias("whole"),
-        F.collect_list(F.when(~F.col("alike"), F.col("p"))).alias("mixed"),
+    seeds = found.select("h", "key", "p").join(common, "h")
+    listed = seeds.groupBy(F.col("key").alias("seed_key")).agg(
+        F.collect_set(F.when(F.col("alike"), F.col("p"))).alias("whole"),
+        F.collect_set(F.when(~F.col("alike"), F.col("p"))).alias("mixed"),
     )
 
     def windows(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -131,16 +132,16 @@ def remove_repeats(
         first, count = _places(part, "mixed", w, span)
         at = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
         row = w.doc[at] if len(at) else at
-        tag, k = np.asarray(part.column("tag")), np.asarray(part.column("k"))
+        key = np.asarray(part.column("key"))
         h = run_hash(prefix(mix(w.hash), SECOND_BASE), at, at + span, SECOND_BASE)
-        place = _pack(tag[row], at - w.first[row], np.ones(len(at), np.int64))
-        return pa.RecordBatch.from_arrays([_column(h), pa.array(k[row]), pa.array(place)], names=["w", "k", "p"])
+        place = _pack(at - w.first[row], np.ones(len(at), np.int64))
+        return pa.RecordBatch.from_arrays([_column(h), pa.array(key[row]), pa.array(place)], names=["w", "key", "p"])
 
-    with_mixed = listed.where(F.size("mixed") > 0).select("seed_k", "mixed")
-    single = rows.join(with_mixed.hint("shuffle_hash"), rows["k"] == with_mixed["seed_k"]).select("k", "tag", "text", "mixed")
-    single = single.mapInArrow(by_slices(windows, "text"), "w long, k long, p long")
+    with_mixed = listed.where(F.size("mixed") > 0).select("seed_key", "mixed")
+    single = rows.join(with_mixed.hint("shuffle_hash"), rows["key"] == with_mixed["seed_key"]).select("key", "text", "mixed")
+    single = single.mapInArrow(by_slices(windows, "text"), "w long, key long, p long")
     again = single.groupBy("w").count().where("count > 1").select("w")
-    confirmed = single.join(again, "w").groupBy(F.col("k").alias("window_k")).agg(F.collect_set("p").alias("single"))
+    confirmed = single.join(again, "w").groupBy(F.col("key").alias("window_key")).agg(F.collect_set("p").alias("single"))
 
     def finish(part: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(part.column("text"))
@@ -168,11 +169,11 @@ def remove_repeats(
         ]
         return pa.RecordBatch.from_arrays(out, names=["k", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    whole = listed.where(F.size("whole") > 0).select("seed_k", "whole")
+    whole = listed.where(F.size("whole") > 0).select("seed_key", "whole")
     ready = (
-        rows.join(whole.hint("shuffle_hash"), rows["k"] == whole["seed_k"], "left")
-        .join(confirmed.hint("shuffle_hash"), rows["k"] == confirmed["window_k"], "left")
-        .select("k", "tag", "text", "whole", "single")
+        rows.join(whole.hint("shuffle_hash"), rows["key"] == whole["seed_key"], "left")
+        .join(confirmed.hint("shuffle_hash"), rows["key"] == confirmed["window_key"], "left")
+        .select("k", "text", "whole", "single")
     )
     done = ready.mapInArrow(
         by_slices(finish, "text"), "k long, n_words long, n_removed long, kept_text string, kept_sha256 string"

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tempfile
 import zlib
 from collections import Counter
 
@@ -102,6 +103,33 @@ def test_repeats_against_brute_force(odd, none, spark):
     assert remove_repeats(none).count() == 0
 
 
+def test_repeats_among_rows_without_own_ids(spark, monkeypatch):
+    """Null and repeated ids: right results, and no list of places longer than one text's own."""
+    from panelwave.llm import seed_extend
+
+    common, rng = [f"c{j}" for j in range(80)], random.Random(6)
+    texts = []
+    for i in range(90):
+        words = [f"o{i}x{j}" for j in range(20)] + common[rng.randrange(30) :] + [f"z{i}"]
+        texts.append(((None, 5, 1000 + i)[i % 3], " ".join(words)))
+    texts += [(None, texts[0][1])] * 6 + [(5, texts[1][1])] * 6
+    sizes = f"{tempfile.mkdtemp(dir='/tmp', prefix='run-')}/sizes"
+    places = seed_extend._places
+
+    def noted(part, column, w, span):
+        with open(sizes, "a") as f:
+            f.writelines(f"{len(x)} {n}\n" for x, n in zip(part.column(column).to_pylist(), w.count.tolist()) if x)
+        return places(part, column, w, span)
+
+    monkeypatch.setattr(seed_extend, "_places", noted)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    want = Counter((i, *x) for (i, _), x in zip(texts, brute_repeats([WORD.findall(t) for _, t in texts], 35)))
+    got = seed_extend.remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert as_counter(got.collect()) == want
+    listed = [tuple(map(int, x.split())) for x in open(sizes)]
+    assert listed and all(n <= words for n, words in listed)
+
+
 def brute_groups(docs, percent=85):
     sets = []
     for _, text in docs:
