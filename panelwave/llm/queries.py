@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwave.llm import blob_ledger
+from panelwave.llm import blob_ledger, filter_audit, lyndon_runs, prefix_decontam
 from panelwave.llm.common import table
 from panelwave.llm.complement_pack import pack
 from panelwave.llm.cube_mix import mix_sources
@@ -88,4 +88,25 @@ def op7_site_shrinkage_quality(spark: SparkSession, sf: str) -> DataFrame:
     return judge(docs, fit_quality(docs, table(spark, sf, "labels")), F.col("source"), F.col("lang"))
 
 
+@query
+def op11_baier_grouping_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = lyndon_runs.with_planted_runs(table(spark, sf, "documents"))
+    return lyndon_runs.collapse_runs(docs, with_text=False).drop("runs", "collapsed_text")
+
+
+@query
+def op12_prefix_filtered_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = prefix_decontam.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.drop("items", "spans")
+
+
+@query
+def op13_decision_diagram_audit(spark: SparkSession, sf: str) -> DataFrame:
+    masks = filter_audit.failure_masks(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return filter_audit.interaction_audit(masks, "ABCDE")
+
+
 ORACLES["op9_blob_ledger_secrets"] = blob_ledger.oracle()
+ORACLES["op11_baier_grouping_runs"] = lyndon_runs.oracle()
+ORACLES["op12_prefix_filtered_decontamination"] = prefix_decontam.oracle()
+ORACLES["op13_decision_diagram_audit"] = filter_audit.oracle()
