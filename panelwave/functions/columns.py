@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, functions as F
 
 # Accented lower-case letters and the plain letter each one becomes.
@@ -94,22 +92,3 @@ def code_rank(c: Column | str, labels: dict[str, str]) -> Column:
     """Position (from 1) of a code in the label order."""
     pairs = [F.lit(x) for i, code in enumerate(labels, 1) for x in (code, i)]
     return F.try_element_at(F.create_map(*pairs), col(c))
-
-
-#: Multipliers that one hash of 128 bits gives.
-PER_HASH = 4
-
-
-def keyed_multipliers(prefix: Column, key: Column) -> list[Column]:
-    """Two-point multipliers with mean 0 and variance 1 (Mammen), taken from a hash of
-    ``prefix`` ("seed|block|") and ``key``, both text.  The values belong to the key, so they
-    do not depend on how the rows are partitioned and a recomputed task gets them again.
-
-    Each 32 bits of the hash are a uniform number; hex digits of equal length sort
-    like the numbers they stand for, so the text is compared as it is.
-    """
-    root5 = 5.0**0.5
-    cut = f"{ceil((root5 + 1) / (2 * root5) * 2**32):08x}"
-    digits = F.md5(F.concat(prefix, key))
-    low = [F.substring(digits, 8 * i + 1, 8) < cut for i in range(PER_HASH)]
-    return [F.when(x, (1 - root5) / 2).otherwise((1 + root5) / 2) for x in low]

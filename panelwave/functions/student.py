@@ -1,63 +1,101 @@
-"""Student-t tail areas and quantiles for a handful of summary rows.
+"""Student-t tail areas and quantiles as column expressions, for a handful of summary rows.
 
-The helpers are nested so that Spark ships them with the task; executors need no copy
-of this package.
+The two-sided tail area of t with df degrees of freedom is the regularised incomplete beta
+function at df / (df + t^2) with parameters df / 2 and 1 / 2.  It is evaluated by its continued
+fraction (modified Lentz steps), taken on the side where it converges fast, as an ``aggregate``
+over a sequence whose length follows from the parameters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import cache
+from math import pi
+
+from pyspark.sql import Column, functions as F
+
+# Lanczos approximation of the gamma function, g = 7.
+LANCZOS_G = 7
+LANCZOS = (
+    0.99999999999980993,
+    676.5203681218851,
+    -1259.1392167224028,
+    771.32342877765313,
+    -176.61502916214059,
+    12.507343278686905,
+    -0.13857109526572012,
+    9.9843695780195716e-6,
+    1.5056327351493116e-7,
+)
+_TINY = 1e-300
+#: Beyond this many degrees of freedom tails are taken from those with this many.
+LARGE_DF = 1e5
+#: Halvings of the interval of log2(t) in which a quantile is sought.
+HALVINGS, LOWEST, HIGHEST = 64, -30.0, 50.0
+
+
+def ln_gamma(z: Column) -> Column:
+    """Log of the gamma function for z >= 1/2."""
+    series = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:], 1):
+        series = series + F.lit(c) / (z - 1 + i)
+    t = z - 1 + (LANCZOS_G + 0.5)
+    return 0.5 * F.ln(F.lit(2 * pi)) + (z - 0.5) * F.ln(t) - t + F.ln(series)
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function."""
+    keep = lambda v: F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
+    steps = F.sequence(F.lit(1), (60 + 6 * F.sqrt(F.greatest(a, b))).cast("int"))
+    d0 = 1 / keep(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+
+    def half(acc: Column, factor: Column) -> Column:
+        d = 1 / keep(1 + factor * acc["d"])
+        c = keep(1 + factor / acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+
+    def step(acc: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        # an inner aggregate over one element names the value of the even step
+        return F.aggregate(F.array(F.lit(0)), half(acc, even), lambda mid, _: half(mid, odd))
+
+    return F.aggregate(steps, start, step)["h"]
+
+
+def _beta(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Regularised incomplete beta function at x = 1 - y, for a and b of at least 1/2."""
+    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(y))
+    low = front * _fraction(a, b, x) / a
+    high = 1 - front * _fraction(b, a, y) / b
+    return F.when(x <= 0, F.lit(0.0)).when(y <= 0, F.lit(1.0)).when(x < (a + 1) / (a + b + 2), low).otherwise(high)
+
+
+def _tail(t: Column, df: Column) -> Column:
+    whole = df + t * t
+    return _beta(df / 2, F.lit(0.5), df / whole, t * t / whole)
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
 
+def t_p_value(t: Column, df: Column) -> Column:
+    """P(|T| > |t|); NULL unless df >= 1.
 
-def helpers() -> tuple[Callable[[float, float], float], Callable[[float, float], float]]:
-    """(central_area, two_sided_quantile): P(|T| < t) and its inverse in t."""
-    from math import atan, exp, lgamma, pi, sqrt
-
-    import numpy as np
-
-    nodes, weights = np.polynomial.legendre.leggauss(120)
-
-    def central_area(t: float, df: float) -> float:
-        # quadrature after the substitution x = sqrt(df) * tan(angle)
-        top = atan(abs(t) / sqrt(df))
-        angle = (nodes + 1) * top / 2
-        scale = 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi)
-        return float(min(1.0, scale * top / 2 * np.sum(weights * np.cos(angle) ** (df - 1))))
-
-    def two_sided_quantile(confidence: float, df: float) -> float:
-        lo, hi = 0.0, 1.0
-        while central_area(hi, df) < confidence and hi < 1e6:
-            hi *= 2
-        for _ in range(80):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if central_area(mid, df) < confidence else (lo, mid)
-        return (lo + hi) / 2
-
-    return central_area, two_sided_quantile
-
-
-@cache
-def _udfs() -> tuple[Callable[..., Column], Callable[..., Column]]:
-    central_area, two_sided_quantile = helpers()
-
-    def quantiles(confidence, df):
-        return pd.Series([two_sided_quantile(c, d) if d > 0 else None for c, d in zip(confidence, df)], dtype=float)
-
-    def p_values(t, df):
-        return pd.Series([1 - central_area(x, d) if d > 0 else None for x, d in zip(t, df)], dtype=float)
-
-    for fn in (quantiles, p_values):
-        fn.__annotations__ = {"return": pd.Series, **{a: pd.Series for a in fn.__code__.co_varnames[:2]}}
-    return F.pandas_udf(quantiles, T.DoubleType()), F.pandas_udf(p_values, T.DoubleType())
+    Beyond ``LARGE_DF`` degrees of freedom t is first carried over to the value with that many
+    degrees of freedom whose tail is the same up to terms in 1 / df^2.
+    """
+    size = F.abs(t).cast("double")
+    carried = size * (1 + (1 / F.lit(LARGE_DF) - 1 / df) * (size * size + 1) / 4)
+    return F.when(df >= 1, F.when(df > LARGE_DF, _tail(carried, F.lit(LARGE_DF))).otherwise(_tail(size, df)))
 
 
 def t_quantile(confidence: Column, df: Column) -> Column:
-    return _udfs()[0](confidence, df)
-
-
-def t_p_value(t: Column, df: Column) -> Column:
-    return _udfs()[1](t, df)
+    """t with P(|T| < t) = confidence, by halving an interval of log2(t); NULL unless df >= 1."""
+    start = F.struct(F.lit(LOWEST).alias("lo"), F.lit(HIGHEST).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = (acc["lo"] + acc["hi"]) / 2
+        left = 1 - t_p_value(F.pow(F.lit(2.0), mid), df) < confidence
+        return F.struct(
+            F.when(left, mid).otherwise(acc["lo"]).alias("lo"), F.when(left, acc["hi"]).otherwise(mid).alias("hi")
+        )
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve)
+    return F.when(df >= 1, F.pow(F.lit(2.0), (end["lo"] + end["hi"]) / 2))

@@ -14,29 +14,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwave.functions.columns import PER_HASH, keyed_multipliers
 from panelwave.plans.design import MEMBER_SCHEMA, ModelSpec, cell_members, keep, unit_paths
-from panelwave.plans.moments import gram
+from panelwave.plans.moments import gram, keyed_sums
 from panelwave.session import local_table, settle
 
 
-def keyed_sums(df: DataFrame, vec: str, size: int, draws: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Multiplier-weighted sums of an array column: rows (by, draw, idx, q).
-
-    A unit meets blocks of ``PER_HASH`` draws inside its task, one hash a block; a task passes
-    on at most one row per block and ``by`` group.
-    """
-    block = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // PER_HASH))).alias("block")
-    rows = df.select(*by, F.col("unit").cast("string").alias("key"), vec, block)
-    prefix = F.concat(F.lit(f"{seed}|"), F.col("block").cast("string"), F.lit("|"))
-    drawn = {f"__v{i}": v for i, v in enumerate(keyed_multipliers(prefix, F.col("key")))}
-    sums = [F.sum(F.col(v) * F.get(vec, F.lit(k))) for v in drawn for k in range(size)]
-    blocks = rows.withColumns(drawn).groupBy(*by, "block").agg(F.array(*sums).alias("q"))
-    flat = blocks.select(*by, "block", F.posexplode("q").alias("at", "q"))
-    draw = (F.col("block") * PER_HASH + F.floor(F.col("at") / size) + 1).cast("int").alias("draw")
-    return flat.select(*by, draw, (F.col("at") % size).alias("idx"), "q").filter(F.col("draw") <= draws)
-
-
 @dataclass
 class Effects:
     """Group-time effects with what is needed to combine them.

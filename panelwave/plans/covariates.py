@@ -15,9 +15,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwave.plans.att import Combined, Effects, att_gt_moments, cohort_counts, keyed_sums
+from panelwave.plans.att import Combined, Effects, att_gt_moments, cohort_counts
 from panelwave.plans.design import MEMBER_SCHEMA, ModelSpec, cell_members, keep, unit_paths
-from panelwave.plans.moments import gram
+from panelwave.plans.moments import gram, keyed_sums
 from panelwave.session import local_table, settle
 
 P_CLIP = 1 - 1e-6

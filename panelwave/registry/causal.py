@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwave.operators.frames import stack
+from panelwave.operators.reshape import event_time_names
 from panelwave.plans import eventstudy as E, sensitivity as S, tables as T
 from panelwave.plans.aggregate import KINDS, Aggregate, aggregate, aggregate_all, bootstrap_table
 from panelwave.plans.att import Effects, did_2x2 as two_by_two
@@ -13,7 +14,7 @@ from panelwave.plans.design import ModelSpec, keep, prepare
 from panelwave.plans.model import covariate_set_sweep as sweep, fit
 from panelwave.registry import causal_sql as Q
 from panelwave.registry.catalog import query, r, rounded
-from panelwave.registry.panels import cust_did, cust_panel, seg_did, seg_spec
+from panelwave.registry.panels import CUST_PANEL_CTE, cust_did, cust_panel, seg_did, seg_spec
 
 EFFECT = ["att", "se"]
 
@@ -373,12 +374,22 @@ def covariate_set_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return sweep(panel, seg_spec(), [(), ("b",)], KINDS3, {"b": "Size"})
 
 
-@query("covariate_set_sweep_continuous")
+_SETS = (("x1", "x2", "area"), ("x1", "x2"), ("x1", "area"), ())
+_LABELS = {"x1": "Orders", "x2": "Customers", "area": "Area"}
+
+
+@query(
+    "covariate_set_sweep_continuous",
+    " UNION ALL ".join(
+        f"""SELECT * FROM ({(Q.several(*s) if s else PLAIN) + Q.components(k)
+        + _compare_sql(T.covariate_label(s, _LABELS), T.AGGREGATION_NAMES[k])})"""
+        for k in KINDS3
+        for s in _SETS
+    ),
+)
 def covariate_set_sweep_continuous(spark: SparkSession, sf: str) -> DataFrame:
     """Four covariate sets in three aggregations, as one comparison table."""
-    panel = keep(seg_did(spark, sf))
-    labels = {"x1": "Orders", "x2": "Customers", "area": "Area"}
-    return sweep(panel, seg_spec(), [("x1", "x2", "area"), ("x1", "x2"), ("x1", "area"), ()], KINDS3, labels)
+    return sweep(keep(seg_did(spark, sf)), seg_spec(), _SETS, KINDS3, _LABELS)
 
 
 _ALT = [("x1", 2000, True), ("x2", 2001, True), ("y", 2001, False)]
@@ -416,10 +427,17 @@ def fit_model(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumns({c: F.col(c) + F.lit(0.0) for c in cols})
 
 
-@query("fit_model_continuous")
+@query(
+    "fit_model_continuous",
+    " UNION ALL BY NAME ".join(
+        f"SELECT * FROM ({_summary_sql(k, Q.several('x1', 'b'))})" for k in ("dynamic", "dynamic_balanced", "group", "calendar")
+    ),
+)
 def fit_model_continuous(spark: SparkSession, sf: str) -> DataFrame:
     """The same with two covariates, one of them continuous."""
-    return fit(keep(seg_did(spark, sf)), seg_spec(covariates=("x1", "b"))).stacked()
+    rows = fit(keep(seg_did(spark, sf)), seg_spec(covariates=("x1", "b"))).stacked()
+    cols = ["estimate_att", "std_error", "lower_bound", "upper_bound"]
+    return rows.withColumns({c: F.col(c) + F.lit(0.0) for c in cols})
 
 
 @query(
@@ -455,7 +473,19 @@ def twfe_single_regressor(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.fit_table(panel, E.twoway_fit(panel, "y", ["treated"])), ["coef", "se"])
 
 
-@query("twfe_event_study")
+def _event_sql(head: str, rows: str, dense: tuple[str, ...], n_periods: int, years: range) -> str:
+    body = Q.twoway_sql(rows, dense, tuple(event_time_names(n_periods)), years)
+    return head.replace("WITH", "WITH RECURSIVE", 1) + "," + body
+
+
+_ELAPSED = "CASE WHEN start_year > 0 THEN year - start_year END AS event"
+
+
+@query(
+    "twfe_event_study",
+    _event_sql(f"WITH {CUST_PANEL_CTE}", f"SELECT unit_id, year, {_ELAPSED}, x1, y FROM cpanel", ("x1",), 8, range(1995, 2002))
+    + f" SELECT term, {r('coef', 'coef')}, {r('se', 'se')} FROM fitted",
+)
 def twfe_event_study(spark: SparkSession, sf: str) -> DataFrame:
     """Event study with a covariate on the unbalanced customer panel."""
     panel = cust_panel(spark, sf)
@@ -463,7 +493,19 @@ def twfe_event_study(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.fit_table(panel, fitted), ["coef", "se"])
 
 
-@query("event_study_table")
+@query(
+    "event_study_table",
+    _event_sql(
+        Q.prep(),
+        f"SELECT unit_id, year, {_ELAPSED}, x1, area, y FROM did JOIN (SELECT unit_id, year FROM prep) USING (unit_id, year)",
+        ("x1", "area"),
+        6,
+        range(1995, 2001),
+    )
+    + f""" SELECT {r('coef', 'coefs')}, {r('se', 'ses')}, CAST(substr(term, 2) AS INTEGER) AS time_of_exposure,
+        {r(f'coef - {Q.Z975} * se', 'lo')}, {r(f'coef + {Q.Z975} * se', 'hi')}, CAST(substr(term, 2) AS INTEGER) >= 0 AS post
+        FROM fitted WHERE term NOT IN ('x1', 'area')""",
+)
 def event_study_table(spark: SparkSession, sf: str) -> DataFrame:
     panel = prepare(seg_did(spark, sf), seg_spec(covariates=("x1",))).panel
     fitted = E.event_study(panel, "y", ["x1", "area"], n_periods=6)

@@ -6,6 +6,7 @@ and weights that are estimated enter through their own per-unit terms.
 
 from __future__ import annotations
 
+from panelwave.plans.moments import PHILOX_MULTIPLIER, PHILOX_ROUNDS, PHILOX_STEP
 from panelwave.registry.catalog import r
 from panelwave.registry.panels import CUST_PANEL_CTE, SEG_DID_CTE
 
@@ -203,15 +204,131 @@ SELECT {egt} AS egt, {r('att', 'att')}, {r('se', 'se')}, {r(f'att - {Z975} * se'
        {r(f'att + {Z975} * se', 'hi')} FROM agg"""
 
 
+def multipliers_sql(seed: int, draws: int, units: str) -> str:
+    """DuckDB SQL for (unit_id, draw, v): the same multipliers for the units of a table."""
+    big = lambda x: f"CAST({x} AS UBIGINT)"
+    digits = f"md5('{seed}|' || unit_id)"
+    bits = [big(f"'0x' || substr({digits}, {a}, 8)") for a in (1, 9)]
+    text = f"""SELECT unit_id, b, {big('b')} AS l, {bits[1]} AS r, {bits[0]} AS k
+        FROM {units} CROSS JOIN (SELECT range AS b FROM range(0, {(draws + 1) // 2}))"""
+    for _ in range(PHILOX_ROUNDS):
+        text = f"""SELECT unit_id, b, xor(xor(({big(PHILOX_MULTIPLIER)} * l) >> 32, k), r) AS l,
+        ({big(PHILOX_MULTIPLIER)} * l) & {big(0xFFFFFFFF)} AS r, (k + {big(PHILOX_STEP)}) & {big(0xFFFFFFFF)} AS k FROM ({text})"""
+    low = "u / 4294967296.0 < (sqrt(5.0) + 1) / (2 * sqrt(5.0))"
+    return f"""SELECT unit_id, draw, CASE WHEN {low} THEN (1 - sqrt(5.0)) / 2 ELSE (1 + sqrt(5.0)) / 2 END AS v
+        FROM (SELECT unit_id, 2 * b + 1 AS draw, l AS u FROM ({text}) UNION ALL SELECT unit_id, 2 * b + 2, r FROM ({text}))
+        WHERE draw <= {draws}"""
+
+
 def draws(n_draws: int, seed: int) -> str:
     """``rr(draw, comp, r)`` and the bootstrap scale ``sg(comp, sigma)``."""
-    root5 = "sqrt(5.0)"
     return f""",
-vv AS (SELECT unit_id, draw, CASE WHEN u < ({root5} + 1) / (2 * {root5}) THEN (1 - {root5}) / 2 ELSE (1 + {root5}) / 2 END AS v
-       FROM (SELECT unit_id, draw, CAST('0x' || substr(md5('{seed}|' || ((draw - 1) // 4) || '|' || unit_id), CAST(8 * ((draw - 1) % 4) + 1 AS BIGINT), 8) AS BIGINT) / 4294967296.0 AS u
-             FROM people CROSS JOIN (SELECT range AS draw FROM range(1, {n_draws + 1})))),
+vv AS ({multipliers_sql(seed, n_draws, 'people')}),
 rr AS (SELECT draw, comp, sum(vv.v * infl.v) / sqrt(max(n)) AS r FROM vv JOIN infl USING (unit_id), nn GROUP BY draw, comp),
 sg AS (SELECT comp, (quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) / 1.3489795003921634 AS sigma FROM rr GROUP BY comp),
 mx AS (SELECT draw, max(abs(r / sigma)) AS m FROM rr JOIN sg USING (comp)
        WHERE sigma > 1e-12 AND comp <> 'overall' GROUP BY draw),
 cr AS (SELECT quantile_cont(m, 0.95) AS crit FROM mx)"""
+
+
+# ---------------------------------------------------------------- small linear systems
+
+
+def swept(matrix: str, pivots: int) -> str:
+    """SQL for a symmetric matrix (list of rows) swept on its first ``pivots`` places.
+
+    Afterwards the block of the pivots is minus the inverse, their columns to the right hold
+    the solutions and the rest is what the pivots leave unexplained.
+    """
+    order = ", ".join(f"[[{k}.0]]" for k in range(1, pivots + 1))
+    k = "CAST(e[1][1] AS BIGINT)"
+    cell = f"""CASE WHEN i = {k} AND j = {k} THEN -1 / v WHEN i = {k} OR j = {k} THEN v / m[{k}][{k}]
+      ELSE v - m[i][{k}] * m[{k}][j] / m[{k}][{k}] END"""
+    return f"list_reduce([{matrix}, {order}], lambda m, e: list_transform(m, lambda row, i: list_transform(row, lambda v, j: {cell})))"
+
+
+def _matrix(k: int, cell: str, right: str) -> str:
+    """Rows of the sums ``cell(i, j)`` bordered by the sums ``right(i)``."""
+    rows = [", ".join([*[cell.format(i=min(i, j), j=max(i, j)) for j in range(1, k + 1)], right.format(i=i)]) for i in range(1, k + 1)]
+    rows.append(", ".join([*[right.format(i=i) for i in range(1, k + 1)], "0.0"]))
+    return "[" + ", ".join(f"[{row}]" for row in rows) + "]"
+
+
+def doubly_robust_many(k: int, steps: int = 12) -> str:
+    """Several covariates, doubly robust.  ``memb.x`` is the list [1, x1, ...] of length ``k``; the
+    Newton steps of the logit follow one after the other, each solving a k x k system."""
+    pick = lambda m, i: f"{m}[{i}][{k + 1}]"
+    vector = lambda m: "[" + ", ".join(pick(m, i) for i in range(1, k + 1)) + "]"
+    upper = [(i, j) for i in range(1, k + 1) for j in range(i, k + 1)]
+    hess = ", ".join(f"sum(p * (1 - p) * x[{i}] * x[{j}]) AS h{i}_{j}" for i, j in upper)
+    grad = ", ".join(f"sum((d - p) * x[{i}]) AS s{i}" for i in range(1, k + 1))
+    zeros = ", ".join(["0.0"] * (k - 1))
+    logit = lambda c: f"1 / (1 + exp(-list_dot_product(CAST({c} AS DOUBLE[]), CAST(x AS DOUBLE[]))))"
+    out = f""",
+l0 AS (SELECT g, t, [ln(sum(d) / sum(1 - d)), {zeros}] AS c FROM memb WHERE t <> b GROUP BY g, t)"""
+    for n in range(steps):
+        out += f""",
+l{n + 1} AS (SELECT g, t, list_transform(c, lambda v, i: v + m[i][{k + 1}]) AS c FROM (
+  SELECT g, t, c, {swept(_matrix(k, 'h{i}_{j}', 's{i}'), k)} AS m FROM (
+    SELECT g, t, any_value(c) AS c, {hess}, {grad}
+    FROM (SELECT memb.*, c, {logit('c')} AS p FROM memb JOIN l{n} USING (g, t) WHERE memb.t <> memb.b) GROUP BY g, t)))"""
+    xx = ", ".join(f"sum(x[{i}] * x[{j}]) FILTER (d = 0) AS a{i}_{j}" for i, j in upper)
+    xy = ", ".join(f"sum(x[{i}] * dy) FILTER (d = 0) AS y{i}" for i in range(1, k + 1))
+    tx = ", ".join(f"sum(x[{i}]) FILTER (d = 1) AS t{i}" for i in range(1, k + 1))
+    dot = lambda a: f"list_dot_product(CAST({a} AS DOUBLE[]), CAST(x AS DOUBLE[]))"
+    wsums = ", ".join(f"sum(w * x[{i}]) AS wx{i}, sum(w * e * x[{i}]) AS wex{i}" for i in range(1, k + 1))
+    solve = lambda cell, right: vector(f"({swept(_matrix(k, cell, right), k)})")
+    return out + f""",
+reg AS (SELECT g, t, b, n1, n0, {solve('a{i}_{j}', 'y{i}')} AS beta, {solve('a{i}_{j}', 't{i}')} AS tc,
+          {', '.join(f'a{i}_{j}' for i, j in upper)}
+        FROM (SELECT g, t, any_value(b) AS b, sum(d) AS n1, sum(1 - d) AS n0, {xx}, {xy}, {tx}
+              FROM memb WHERE t <> b GROUP BY g, t)),
+res AS (SELECT u.*, n1, n0, tc, dy - {dot('beta')} AS e, (1 - d) * p / (1 - p) AS w
+        FROM (SELECT memb.*, {logit('c')} AS p FROM memb JOIN l{steps} USING (g, t) WHERE memb.t <> memb.b) u
+        JOIN reg USING (g, t)),
+eta0 AS (SELECT g, t, avg(e) FILTER (d = 1) AS et, sum(w * e) / sum(w) AS ec, sum(w) AS ws, {wsums}, {hess} FROM res GROUP BY g, t),
+eta AS (SELECT g, t, et, ec, ws, {solve('h{i}_{j}', '(wex{i} - ec * wx{i})')} AS bp, {solve('a{i}_{j}', 'wx{i}')} AS ac
+        FROM eta0 JOIN reg USING (g, t)),
+psi AS (SELECT unit_id, cohort, res.g, res.t,
+          n * ((d * (e - et) - (1 - d) * e * {dot('tc')}) / n1
+               - (w * (e - ec) + (d - p) * {dot('bp')} - (1 - d) * e * {dot('ac')}) / ws) AS psi
+        FROM res JOIN eta USING (g, t), nn),
+est AS (SELECT g, t, b, et - ec AS att, n1, n0 FROM reg JOIN eta USING (g, t)
+        UNION ALL SELECT DISTINCT g, t, b, 0, NULL, NULL FROM memb WHERE t = b)"""
+
+
+def several(*covariates: str) -> str:
+    """CTEs of the doubly robust estimate with these covariates."""
+    return prep(covariate=f"[1.0, {', '.join(covariates)}]") + members() + doubly_robust_many(len(covariates) + 1)
+
+
+def twoway_sql(rows: str, dense: tuple[str, ...], levels: tuple[int, ...], years: range) -> str:
+    """CTEs ``fitted(term, coef, se)``: least squares of y on event-time dummies and dense columns
+    with unit and year effects, from a table (unit_id, year, event, y and the dense columns).
+
+    Everything is demeaned by unit; the normal matrix of (year dummies, event dummies, dense, y)
+    is swept column by column in a recursion, leaving out columns that the earlier ones explain.
+    """
+    values = [f"CASE WHEN year = {t} THEN 1.0 ELSE 0.0 END" for t in years[1:]]
+    values += [f"CASE WHEN event = {level} THEN 1.0 ELSE 0.0 END" for level in levels]
+    values += [f"CAST({c} AS DOUBLE)" for c in (*dense, "y")]
+    first, p = len(years) - 1, len(values) - 1
+    terms = [f"e{level}" for level in levels] + list(dense)
+    cell = """CASE WHEN i = k AND j = k THEN -1 / v WHEN i = k OR j = k THEN v / m[k][k]
+        ELSE v - m[i][k] * m[k][j] / m[k][k] END"""
+    return f"""
+z AS (SELECT unit_id, year, unnest([{', '.join(values)}]) AS v, unnest(range(1, {p + 2})) AS i FROM ({rows})),
+w AS (SELECT unit_id, year, i, v - avg(v) OVER (PARTITION BY unit_id, i) AS v FROM z),
+cross_sums AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS s FROM w a JOIN w b USING (unit_id, year) GROUP BY a.i, b.i),
+size AS (SELECT count(*) AS n, count(DISTINCT unit_id) AS units FROM (SELECT DISTINCT unit_id, year FROM z)),
+start AS (SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS line FROM cross_sums GROUP BY i)),
+sweeps AS (SELECT 1 AS k, m, m AS whole, 0 AS used, CAST([] AS BOOLEAN[]) AS kept FROM start
+  UNION ALL
+  SELECT k + 1, CASE WHEN fine THEN list_transform(m, lambda line, i: list_transform(line, lambda v, j: {cell})) ELSE m END,
+         whole, used + CAST(fine AS INT), list_append(kept, fine)
+  FROM (SELECT *, whole[k][k] > 1e-9 AND m[k][k] > 1e-8 * whole[k][k] AS fine FROM sweeps WHERE k <= {p})),
+fitted AS (SELECT unnest([{', '.join(f"'{t}'" for t in terms)}]) AS term,
+    unnest(list_transform(range({first + 1}, {p + 1}), lambda i: CASE WHEN kept[i] THEN m[i][{p + 1}] END)) AS coef,
+    unnest(list_transform(range({first + 1}, {p + 1}), lambda i: CASE WHEN kept[i]
+      THEN sqrt(greatest(m[{p + 1}][{p + 1}] / (n - units - used) * -m[i][i], 0)) END)) AS se
+  FROM sweeps, size WHERE k = {p + 1})"""

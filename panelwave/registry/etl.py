@@ -359,10 +359,33 @@ def welch_difference(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(rows.select("variable", "diff", "se", "df"), ["diff", "se"]), ["df"], 4)
 
 
-@query("welch_interval")
+def _t_area(t: str, df: str) -> str:
+    """SQL for P(|T| < t): Simpson's rule after the substitution t = sqrt(df) * tan(angle)."""
+    top, steps = f"atan(({t}) / sqrt({df}))", 2000
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    total = f"list_sum(list_transform(range({steps + 1}), lambda i: ({weight}) * pow(cos({top} * i / {steps}), {df} - 1)))"
+    return f"(2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {top} / {3 * steps} * {total})"
+
+
+WELCH_INTERVAL_SQL = (
+    WELCH_SQL[: WELCH_SQL.rindex("SELECT variable")].replace("WITH", "WITH RECURSIVE", 1)
+    + f""", w AS (SELECT variable, m0 - m1 AS diff, sqrt(a + b) AS se,
+         (a + b) * (a + b) / (a * a / (n0 - 1) + b * b / (n1 - 1)) AS df FROM m),
+       q AS (SELECT variable, df, 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST(64 AS DOUBLE) AS hi FROM w
+             UNION ALL
+             SELECT variable, df, step + 1, CASE WHEN low THEN (lo + hi) / 2 ELSE lo END, CASE WHEN low THEN hi ELSE (lo + hi) / 2 END
+             FROM (SELECT *, {_t_area('(lo + hi) / 2', 'df')} < 0.95 AS low FROM q WHERE step < 50))
+       SELECT variable, {r('diff', 'diff')}, {r('se', 'se')}, {r('w.df', 'df', 4)}, {r('diff - lo * se', 'lo')},
+              {r('diff + lo * se', 'hi')}, {r('1 - ' + _t_area('abs(diff) / se', 'w.df'), 'p_value')}
+       FROM w JOIN q USING (variable) WHERE step = 50"""
+)
+
+
+@query("welch_interval", WELCH_INTERVAL_SQL)
 def welch_interval(spark: SparkSession, sf: str) -> DataFrame:
     """The same table with confidence limits and p-value, which need the t distribution."""
-    return Ds.welch(_reference_year(spark, sf), "any_treated", ARM_COLS, ("Treated", "Untreated"))
+    rows = Ds.welch(_reference_year(spark, sf), "any_treated", ARM_COLS, ("Treated", "Untreated"))
+    return rounded(rounded(rows, ["diff", "se", "lo", "hi", "p_value"]), ["df"], 4)
 
 
 @query(

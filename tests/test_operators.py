@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwave.functions import columns as C
-from panelwave.functions.student import helpers
+from panelwave.functions.student import t_p_value, t_quantile
 from panelwave.operators import describe, frames, joins, quantiles, reshape, rollups
 from panelwave.session import persisted, scratch_path, settle
 from panelwave.sources import tables
@@ -150,11 +150,38 @@ def test_histories_and_density(spark):
     assert [r.density for r in curve] == pytest.approx(list(want), rel=1e-9)
 
 
-def test_student_t():
-    area, quantile = helpers()
-    assert area(2.2281388519, 10) == pytest.approx(0.95, abs=1e-9)
-    assert quantile(0.95, 3000) == pytest.approx(1.9607555, abs=1e-5)
-    assert quantile(0.95, 1) == pytest.approx(12.7062047, abs=1e-5)
+def test_binned_density_against_the_exact_sum(spark):
+    """Heavy tails, ties for a third of the rows, a constant arm and a far outlier."""
+    rng = np.random.default_rng(4)
+    rows = [("t", float(v)) for v in rng.standard_t(2, 4000)] + [("n", float(v)) for v in rng.normal(3, 0.2, 2500)]
+    rows += [("t", 1.25)] * 2000 + [("t", 900.0)] + [("flat", 2.0)] * 5 + [("n", None), (None, 1.0), (None, 1.5), (None, 4.0)]
+    data = spark.createDataFrame(rows, "arm string, v double").repartition(5)
+    exact = describe.kde(data, "arm", ["v"], exact=True).withColumnsRenamed({"density": "want", "x": "at"})
+    binned = describe.kde(data, "arm", ["v"])
+    same = (exact["arm"].eqNullSafe(binned["arm"])) & (exact["point"] == binned["point"])
+    both = exact.join(binned, same).select(exact["arm"], "at", "x", "want", "density").collect()
+    assert len(both) == 3 * 512 and describe.kde_error_bound() < 2.5e-13
+    peak = max(r.want for r in both if r.want is not None)
+    for r in both:
+        assert r.at == r.x and (r.density is None) == (r.want is None) == (r.arm == "flat")
+        if r.want is not None:
+            assert abs(r.density - r.want) < 1e-12 * peak
+    plan = binned._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Generate explode(sequence(0, 511" in line and "value" in line for line in plan.splitlines())
+
+
+def test_student_t(spark):
+    """Published quantiles and tails, few to very many degrees of freedom, and missing values."""
+    cases = [(0.95, 10.0, 2.2281388519), (0.95, 3000.0, 1.9607555), (0.95, 1.0, 12.7062047), (0.99, 5.0, 4.0321430), (0.5, 2.0, 0.8164966)]
+    cases += [(0.95, 1e9, 1.9599640), (0.95, 99_000.0, 1.9599880), (0.95, 101_000.0, 1.9599875)]
+    df = spark.createDataFrame(cases, "c double, df double, t double")
+    for row in df.select("*", t_quantile(F.col("c"), F.col("df")).alias("q"), t_p_value(-F.col("t"), F.col("df")).alias("p")).collect():
+        assert row.q == pytest.approx(row.t, abs=1e-6) and row.p == pytest.approx(1 - row.c, abs=1e-7)
+    tails = spark.createDataFrame([(0.0, 4.0), (50.0, 9.0), (3.0, None), (None, 3.0), (1.0, 0.5)], "t double, df double")
+    p = [r.p for r in tails.select(t_p_value(F.col("t"), F.col("df")).alias("p")).collect()]
+    assert p[0] == 1.0 and p[1] == pytest.approx(2.508e-12, rel=1e-3) and p[2:] == [None, None, None]
+    plan = df.select(t_quantile(F.col("c"), F.col("df")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
 
 
 # Published inputs and results (treated mean, sd; control mean, sd; difference, interval).
