@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelwave.functions.columns import ratio
 from panelwave.functions.student import t_p_value, t_quantile
 from panelwave.operators.quantiles import group_quantiles, quantile_bucket
-from panelwave.session import persisted, settle
+from panelwave.session import persisted
 
 
 def _long(df: DataFrame, by: str, cols: Sequence[str]) -> DataFrame:
@@ -199,7 +199,7 @@ def cohort_means(
             F.avg(ratio(level_col, size_col)).alias("mean_per_capita"),
         )
     )
-    return quantile_bucket(settle(means), start, out="macro_group")
+    return quantile_bucket(persisted(means), start, out="macro_group")
 
 
 def histories(

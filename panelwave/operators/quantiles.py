@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwave.session import persisted
@@ -47,7 +46,7 @@ def group_quantiles(
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     rows = df.filter(F.col(value).isNotNull()).select(key.alias("k"), F.col(value).cast("double").alias("v"))
     if reuse:
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = persisted(rows)
 
     margin = 2.0 / accuracy
     marks = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})

@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwave.operators import joins, rollups
+from panelwave.session import persisted
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,7 @@ class Prepared:
 
     def message(self) -> str:
         """Number of distinct units left out, as text."""
-        return f"{self.excluded.count()} units were excluded due to missing values."
+        return f"{self.excluded.count()} units left out: a variable is missing in some year."
 
 
 def _regions(panel: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -167,7 +167,7 @@ def unit_paths(panel: DataFrame, spec: ModelSpec) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Cache a unit-level table for the passes that follow; it spills to disk, and a lost
     block is computed again from its inputs."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return persisted(df)
 
 
 def cohort_cells(cohorts: Sequence[int], spec: ModelSpec) -> list[tuple[int, int, int]]:

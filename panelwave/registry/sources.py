@@ -3,13 +3,13 @@ the format to be read and reads it back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from panelwave.operators.frames import split2
 from panelwave.operators.reshape import to_long, to_wide
 from panelwave.registry.catalog import query, rounded, r, table
 from panelwave.registry.panels import SEG_CTE, seg_panel
-from panelwave.session import scratch_path
+from panelwave.session import local_table, scratch_path
 from panelwave.sources import tables as S
 
 YEARS = tuple(range(1995, 2002))
@@ -97,6 +97,45 @@ def union_yearly_files(spark: SparkSession, sf: str) -> DataFrame:
     return S.cast_declared(stacked, {"unit_id": "long", "total": "double"})
 
 
+_CELLS = {"o_orderkey": "long", "o_totalprice": "double", "o_orderdate": "date", "o_orderpriority": "int"}
+
+
+def _spoilt_orders(spark: SparkSession, sf: str) -> str:
+    """Orders as CSV in which pending orders lack a readable price and priorities are text."""
+    path = scratch_path(spark, "spoilt_csv")
+    price = F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    table(spark, sf, "orders").select(
+        "o_orderkey", price.alias("o_totalprice"), F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority"
+    ).write.csv(path, header=True)
+    return path
+
+
+@query(
+    "read_typed_account",
+    """SELECT unnest(['o_orderkey', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS name,
+              unnest([0, count(*) FILTER (o_orderstatus = 'P'), 0,
+                      count(*) FILTER (TRY_CAST(o_orderpriority AS INTEGER) IS NULL)]) AS rejected, count(*) AS n_rows FROM orders""",
+)
+def read_typed_account(spark: SparkSession, sf: str) -> DataFrame:
+    """Text that its declared type does not take, counted by column in the pass that reads it."""
+    account = Observation()
+    schema = ", ".join(f"{c} {t}" for c, t in _CELLS.items())
+    S.read_typed(spark, _spoilt_orders(spark, sf), schema, account=account).write.format("noop").mode("overwrite").save()
+    counts = account.get
+    rows = [(c, counts[f"rejected_{c}"], counts["n_rows"]) for c in _CELLS]
+    return local_table(spark, rows, "name string, rejected long, n_rows long")
+
+
+@query(
+    "rejected_rows",
+    """SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN 'o_totalprice,' ELSE '' END || 'o_orderpriority'
+              AS rejected FROM orders WHERE TRY_CAST(o_orderpriority AS INTEGER) IS NULL""",
+)
+def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.rejected_rows(spark.read.csv(_spoilt_orders(spark, sf), header=True), _CELLS)
+    return rows.select(F.col("o_orderkey").cast("long"), "o_orderpriority", F.concat_ws(",", "rejected").alias("rejected"))
+
+
 SEG_ROWS = f"WITH {SEG_CTE} SELECT unit_id, year, n_orders, {r('total', 'total', 2)} FROM seg"
 
 

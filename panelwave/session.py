@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -13,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Rows that ``settle`` takes: some thousand draws for each of some hundred components.
+SETTLE_ROWS = 2_000_000
+
+
 def get_session(app: str = "panelwave", master: str | None = None, **conf: str) -> SparkSession:
     """Session with UTC time and adaptive execution; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -41,24 +48,77 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple[object, object]:
+    """File system and path of a folder, as the session's Hadoop configuration sees it.  A Spark
+    Connect session has neither; what needs them says so by failing here."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+@dataclass
+class Scope:
+    """Persisted tables and scratch folders that were made while the scope was open."""
+
+    spark: SparkSession
+    tables: list[DataFrame] = field(default_factory=list)
+    folders: list[str] = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.tables:
+            df.unpersist()
+        for folder in self.folders:
+            fs, where = hadoop_path(self.spark, folder)
+            fs.delete(where, True)
+        self.tables, self.folders = [], []
+
+
+_OPEN: ContextVar[Scope | None] = ContextVar("panelwave_scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Release at the end what operators persisted or wrote as scratch inside the block.
+
+    Results are lazy, so whoever opens a scope reads or writes them inside it.  Scopes nest: an
+    inner one owns what is made inside it.  Without a scope tables stay until the session
+    ends, as callers may still need them.
+    """
+    mine = Scope(spark)
+    token = _OPEN.set(mine)
+    try:
+        yield mine
+    finally:
+        _OPEN.reset(token)
+        mine.release()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has used before."""
-    return f"{shared_dir(spark).rstrip('/')}/panelwave-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark).rstrip('/')}/panelwave-{uuid.uuid4().hex}"
+    if (owner := _OPEN.get()) is not None:
+        owner.folders.append(folder)
+    return f"{folder}/{name}"
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute a table once whose size parameters bound: cells, weights, draws, cohorts.
 
     It becomes a local relation in one partition: the optimiser knows its true size, later
-    plans carry none of its lineage, and work among such tables needs no exchange.  Tables
-    that grow with the data are for ``persisted``.
+    plans carry none of its lineage, and work among such tables needs no exchange.  Tables that
+    grow with the data are for ``persisted``: more than ``SETTLE_ROWS`` rows are an error, and
+    ``spark.driver.maxResultSize`` stops what would not fit the driver.
     """
-    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema).coalesce(1)
+    arrow = df.toArrow()
+    if arrow.num_rows > SETTLE_ROWS:
+        raise ValueError(f"more than {SETTLE_ROWS} rows to settle; parameters do not bound this table")
+    return df.sparkSession.createDataFrame(arrow, schema=df.schema).coalesce(1)
 
 
 def persisted(df: DataFrame) -> DataFrame:
     """Compute a table once and keep it distributed; it spills to disk, and a lost block is
-    computed again from its inputs."""
+    computed again from its inputs.  An open ``scope`` releases it."""
+    if (owner := _OPEN.get()) is not None:
+        owner.tables.append(df)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
