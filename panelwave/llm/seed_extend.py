@@ -25,17 +25,17 @@ hashes of their words, and so are ids with their texts.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from panelwave.llm.common import by_slices, texts_of
+from panelwave.llm.common import by_slices, cut, stored, texts_of
 from panelwave.llm.wordscan import SECOND_BASE, WORD_BASE, U, Words, mix, prefix, run_hash
 
 #: A place packs the first word and, less one, the number of windows (5 bits).
 _START = 5
-_NO_ID = -(2**63)
 
 
 def _cells(w: Words, span: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -100,9 +100,8 @@ def remove_repeats(
     if not 0 < seed <= span <= seed + 31:
         raise ValueError("seed must be at most span, and span at most seed + 31")
     id_type = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(
-        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NO_ID)).alias("k"), F.col(f"`{text}`").alias("text")
-    ).withColumn("key", F.xxhash64("k", "text"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("k"), F.col(f"`{text}`").alias("text"))
+    rows = rows.withColumn("key", F.xxhash64("k", "text"))
 
     def cells(part: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(part.column("text"))
@@ -115,68 +114,92 @@ def remove_repeats(
         )
 
     found = rows.mapInArrow(by_slices(cells, "text"), "h long, c long, key long, p long")
-    common = (
+    # Small tables are written before they are joined: a join of two exchanges can be split where
+    # one seed is very common, and nothing is computed twice.
+    common = stored(
         found.groupBy("h")
         .agg(F.count("*").alias("n"), (F.min("c") == F.max("c")).alias("alike"))
         .where("n > 1")
-        .select("h", "alike")
+        .select("h", "alike"),
+        "common",
     )
     seeds = found.select("h", "key", "p").join(common, "h")
     listed = seeds.groupBy(F.col("key").alias("seed_key")).agg(
         F.collect_set(F.when(F.col("alike"), F.col("p"))).alias("whole"),
         F.collect_set(F.when(~F.col("alike"), F.col("p"))).alias("mixed"),
     )
+    # The one exchange of all texts: each text meets its places.  A text without mixed cells is
+    # finished there; only the others are kept with their text.
+    placed = rows.join(stored(listed, "places").hint("shuffle_hash"), F.col("key") == F.col("seed_key"), "left").select(
+        "k", "key", "text", "whole", "mixed"
+    )
+    results = ["n_words", "n_removed", "kept_text", "kept_sha256"]
+    result_schema = "n_words long, n_removed long, kept_text string, kept_sha256 string"
 
-    def windows(part: pa.RecordBatch) -> pa.RecordBatch:
-        w = Words(part.column("text"))
-        first, count = _places(part, "mixed", w, span)
-        at = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-        row = w.doc[at] if len(at) else at
-        key = np.asarray(part.column("key"))
-        h = run_hash(prefix(mix(w.hash), SECOND_BASE), at, at + span, SECOND_BASE)
-        place = _pack(at - w.first[row], np.ones(len(at), np.int64))
-        return pa.RecordBatch.from_arrays([_column(h), pa.array(key[row]), pa.array(place)], names=["w", "key", "p"])
-
-    with_mixed = listed.where(F.size("mixed") > 0).select("seed_key", "mixed")
-    single = rows.join(with_mixed.hint("shuffle_hash"), rows["key"] == with_mixed["seed_key"]).select("key", "text", "mixed")
-    single = single.mapInArrow(by_slices(windows, "text"), "w long, key long, p long")
-    again = single.groupBy("w").count().where("count > 1").select("w")
-    confirmed = single.join(again, "w").groupBy(F.col("key").alias("window_key")).agg(F.collect_set("p").alias("single"))
-
-    def finish(part: pa.RecordBatch) -> pa.RecordBatch:
+    def kept(part: pa.RecordBatch, lists: tuple[str, ...]) -> list[pa.Array]:
         w = Words(part.column("text"))
         edge = np.zeros(len(w.doc) + 1, np.int64)
-        for column in ("whole", "single"):
+        for column in lists:
             first, count = _places(part, column, w, span)
             np.add.at(edge, first, 1)
             np.add.at(edge, first + count + span - 1, -1)
         gone = np.cumsum(edge[:-1]) > 0
         removed = np.bincount(w.doc[gone], minlength=w.rows)
         body = w.data.tobytes()
-        kept = []
+        left = []
         for r in range(w.rows):
             words = body[w.offsets[r] : w.offsets[r + 1]].split()
             if removed[r]:
                 words = [words[i] for i in np.flatnonzero(~gone[w.first[r] : w.first[r + 1]])]
-            kept.append(b" ".join(words))
-        k = pa.array(part.column("k"))
-        out = [
-            k,
+            left.append(b" ".join(words))
+        return [
             pa.array(w.count.astype(np.int64)),
             pa.array(removed.astype(np.int64)),
-            pa.array([x.decode("utf-8", "replace") if with_text else None for x in kept], pa.string()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
+            pa.array([x.decode("utf-8", "replace") if with_text else None for x in left], pa.string()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in left]),
         ]
-        return pa.RecordBatch.from_arrays(out, names=["k", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    whole = listed.where(F.size("whole") > 0).select("seed_key", "whole")
-    ready = (
-        rows.join(whole.hint("shuffle_hash"), rows["key"] == whole["seed_key"], "left")
-        .join(confirmed.hint("shuffle_hash"), rows["key"] == confirmed["window_key"], "left")
-        .select("k", "text", "whole", "single")
-    )
-    done = ready.mapInArrow(
-        by_slices(finish, "text"), "k long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    )
-    back: Column = F.when(F.col("k") != _NO_ID, F.col("k")).cast(id_type).alias(doc_id)
-    return done.select(back, "n_words", "n_removed", "kept_text", "kept_sha256")
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["k", "key", "text", "whole", "mixed"]
+        for batch in batches:
+            for part in cut(batch, "text"):
+                waits = np.asarray(part.column("mixed").value_lengths().fill_null(0)) > 0
+                for mask, finished in ((~waits, True), (waits, False)):
+                    some = part.filter(pa.array(mask))
+                    if not some.num_rows:
+                        continue
+                    if finished:
+                        out = kept(some, ("whole",))
+                        blank = [pa.nulls(some.num_rows, some.column(c).type) for c in columns[2:]]
+                        arrays = [some.column("k"), some.column("key"), *blank, *out]
+                    else:
+                        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+                        arrays = [*(some.column(c) for c in columns), *(pa.nulls(some.num_rows, t) for t in kinds)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=columns + results)
+
+    lists = "whole array<long>, mixed array<long>"
+    halfway = placed.mapInArrow(first_pass, f"k {id_type}, key long, text string, {lists}, {result_schema}")
+    halfway = stored(halfway, "halfway")
+    open_texts = halfway.where("kept_sha256 is null")
+
+    def windows(part: pa.RecordBatch) -> pa.RecordBatch:
+        w = Words(part.column("text"))
+        first, count = _places(part, "mixed", w, span)
+        at = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+        row = w.doc[at] if len(at) else at
+        key = np.asarray(part.column("key"))
+        h = run_hash(prefix(mix(w.hash), SECOND_BASE), at, at + span, SECOND_BASE)
+        place = _pack(at - w.first[row], np.ones(len(at), np.int64))
+        return pa.RecordBatch.from_arrays([_column(h), pa.array(key[row]), pa.array(place)], names=["w", "key", "p"])
+
+    single = open_texts.select("key", "text", "mixed").mapInArrow(by_slices(windows, "text"), "w long, key long, p long")
+    again = stored(single.groupBy("w").count().where("count > 1").select("w"), "windows")
+    confirmed = single.join(again, "w").groupBy(F.col("key").alias("window_key")).agg(F.collect_set("p").alias("single"))
+
+    def finish(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column("k"), *kept(part, ("whole", "single"))], names=["k", *results])
+
+    closed = open_texts.join(confirmed.hint("shuffle_hash"), F.col("key") == F.col("window_key"), "left")
+    late = closed.select("k", "text", "whole", "single").mapInArrow(by_slices(finish, "text"), f"k {id_type}, {result_schema}")
+    done = halfway.where("kept_sha256 is not null").select("k", *results).unionByName(late)
+    return done.select(F.col("k").alias(doc_id), *results)

@@ -101,6 +101,11 @@ def test_repeats_against_brute_force(odd, none, spark):
     got = remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert as_counter(got.collect()) == want
     assert remove_repeats(none).count() == 0
+    for kind in ("int", "string"):  # an id keeps its type
+        ids = df.withColumn("doc_id", F.col("doc_id").cast(kind))
+        typed = remove_repeats(ids).select("doc_id", "n_words", "n_removed", "kept_sha256")
+        assert dict(typed.dtypes)["doc_id"] == kind
+        assert as_counter(typed.withColumn("doc_id", F.col("doc_id").cast("long")).collect()) == want
 
 
 def test_repeats_among_rows_without_own_ids(spark, monkeypatch):
