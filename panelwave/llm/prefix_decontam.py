@@ -29,13 +29,18 @@ from panelwave.llm.common import stored
 
 #: A word is a run of characters other than ASCII ones that are neither digits nor letters.
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z become lower case.
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TEXT = ["k1", "k2"]
 
 
 def _words(text: Column) -> Column:
     """Words of a text with A-Z in lower case (null: none)."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(ITEM_WORD), F.lit(0))
+    body = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(body) == F.length(body)  # then all upper-case letters are A-Z
+    lower = F.when(ascii_only, F.lower(body)).otherwise(F.translate(body, _UPPER, _LOWER))
+    return F.regexp_extract_all(lower, F.lit(ITEM_WORD), F.lit(0))
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -83,7 +88,8 @@ def contained_windows(
     read = docs.select(*_text_key(F.col(f"`{text}`")), _words(F.col(f"`{text}`")).alias("w"))
     read = read.withColumn("n", F.size("w")).where("n > 0")
     # The shingles of each size stand behind those of the greater sizes.
-    listed = F.concat(*[_shingles(F.col("w"), F.col("n"), k) for k in sizes])
+    listed = [_shingles(F.col("w"), F.col("n"), k) for k in sizes]
+    listed = F.concat(*listed) if len(listed) > 1 else listed[0]
     skipped, before = F.lit(0), F.lit(0)
     for k in sizes:
         skipped = F.when(F.col("width") == k, before).otherwise(skipped)
@@ -153,7 +159,8 @@ def find_contamination(
     per_text = stored(spans.join(names, _TEXT).withColumn("n_hit", _covered(F.col("spans"))), "per_text")
 
     body = F.col(f"`{text}`")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), *_text_key(body), F.size(_words(body)).cast("long").alias("n_words"))
+    n_words = F.coalesce(F.regexp_count(body, F.lit(RAW_WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), *_text_key(body), n_words.alias("n_words"))
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.join(per_text, _TEXT, "left").select(
