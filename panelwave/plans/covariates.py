@@ -1,46 +1,34 @@
 """Group-time effects with covariates: outcome regression, inverse-probability weighting
 and the doubly robust combination.
 
-All cells are handled together.  A unit joins its cohort's cells (a table of at most
-years^3 rows) inside the task and adds to the sums of each cell, so a pass shuffles
-one row per cell and task.  Only these sums reach the driver, where one small system
-per cell is solved.
+All cells are handled together, and every pass reads a unit once.  A task takes the units as
+Arrow batches; for each cell (at most years^2 of them) it picks the rows of the cell's cohorts and
+adds their sums by matrix products, so no unit is multiplied by its cells.  A pass shuffles the
+sums of each cell and task.  Only their totals reach the driver, where one small system per cell
+is solved.  The passes differ in the numbers that the driver sends along, not in their plan,
+so a Newton step compiles nothing.
+
+Functions that run in tasks are nested, so that Spark ships them whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Hashable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelwave.plans.att import Combined, Effects, att_gt_moments, cohort_counts
-from panelwave.plans.design import MEMBER_SCHEMA, ModelSpec, cell_members, keep, unit_paths
+from panelwave.plans.design import ModelSpec, cell_members, keep, unit_paths
 from panelwave.plans.moments import gram, keyed_sums
-from panelwave.session import local_table, settle
+from panelwave.session import local_table
 
 P_CLIP = 1 - 1e-6
 
 
-def _dot(xs: Sequence[Column], coef: str) -> Column:
-    out = F.lit(0.0)
-    for j, x in enumerate(xs):
-        out = out + x * F.get(coef, F.lit(j))
-    return out
-
-
-def _upper(k: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(k) for j in range(i, k)]
-
-
-def _symmetric(values: Sequence[float], k: int) -> np.ndarray:
-    out = np.zeros((k, k))
-    for (i, j), v in zip(_upper(k), values):
-        out[i, j] = out[j, i] = v
-    return out
-
-
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     """Solution of a small symmetric system, None if it is (nearly) singular."""
     if not np.all(np.isfinite(a)) or np.linalg.cond(a) > 1e12:
@@ -50,7 +38,10 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
 
 @dataclass
 class Design:
-    """Units with standardised covariates and the cells they enter."""
+    """Units with their paths, location and scale of the covariates, and the cells they enter.
+
+    ``units`` has unit, cohort, y (a value per year) and x (the covariates' paths, one after the other).
+    """
 
     spec: ModelSpec
     units: DataFrame
@@ -66,22 +57,61 @@ class Design:
     def members(self) -> list[tuple]:
         return [m for m in cell_members(list(self.sizes), self.spec) if m[2] != m[3]]
 
-    def rows(self, members: DataFrame) -> DataFrame:
-        """(unit, g, t, ..., d, dy, x0, x1, ...) for every member of every cell, with the
-        covariates of the base year."""
-        lo = self.spec.period[0]
-        t, b = F.col("t") - lo, F.col("b") - lo
-        xs = [F.lit(1.0).alias("x0")]
-        for j in range(self.k - 1):
-            value = F.get(F.get("x", F.lit(j)), b)
-            xs.append(((value - self.centre[j]) / self.spread[j]).alias(f"x{j + 1}"))
-        dy = F.get("y", t) - F.get("y", b)
-        others = [c for c in members.columns if c != "cohort"]
-        return self.units.join(members, "cohort").select("unit", "cohort", *others, dy.alias("dy"), *xs)
+    def cells(self, keys: Mapping[Hashable, Sequence[tuple[int, int, int, int]]]) -> Callable:
+        """A function that splits a batch of units into cells.
 
-    @property
-    def xs(self) -> list[Column]:
-        return [F.col(f"x{j}") for j in range(self.k)]
+        ``keys`` has (cohort, t, b, d) of the members of each cell.  The function yields, for
+        each cell with a row in the batch, its key, the rows, d, the difference of the outcome and the
+        standardised covariates of the base year with a leading 1.
+        """
+        lo, years, centre, spread = self.spec.period[0], len(self.spec.years), self.centre, self.spread
+        plan = [(key, rows[0][1] - lo, rows[0][2] - lo, [(c, d) for c, _, _, d in rows]) for key, rows in keys.items()]
+
+        def split(batch: pa.RecordBatch) -> Iterator[tuple]:
+            import numpy as np
+
+            n, p = batch.num_rows, len(centre)
+            y = np.asarray(batch.column("y").flatten()).reshape(n, years)
+            x = np.asarray(batch.column("x").flatten()).reshape(n, p, years).astype(float)
+            x = (x - np.array(centre).reshape(1, p, 1)) / np.array(spread).reshape(1, p, 1)
+            cohort = np.asarray(batch.column("cohort"))
+            at = {int(c): np.flatnonzero(cohort == c) for c in np.unique(cohort)}
+            for key, t, b, sides in plan:
+                parts = [(at[c], d) for c, d in sides if c in at]
+                if parts:
+                    rows = np.concatenate([r for r, _ in parts])
+                    d = np.concatenate([np.full(len(r), float(d)) for r, d in parts])
+                    yield key, rows, d, y[rows, t] - y[rows, b], np.column_stack([np.ones(len(rows)), x[rows, :, b]])
+
+        return split
+
+    def sums(self, keys: Mapping[Hashable, Sequence[tuple[int, int, int, int]]], add: Callable) -> dict:
+        """Sums over the rows of each cell: ``add(key, d, dy, x)`` gives those of a batch as a vector.
+        The totals are one row per cell and sum; cells without a row are missing."""
+        split, names, schema = self.cells(keys), {key: i for i, key in enumerate(keys)}, "cell int, i int, v double"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            totals: dict = {}
+            for batch in batches:
+                for key, _, d, dy, x in split(batch) if batch.num_rows else ():
+                    part = np.asarray(add(key, d, dy, x), float)
+                    totals[key] = totals[key] + part if key in totals else part
+            for key, total in totals.items():
+                cell = np.full(len(total), names[key], np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["cell", "i", "v"]
+                )
+
+        if not keys:
+            return {}
+        partial = self.units.select("cohort", "y", "x").mapInArrow(run, schema)
+        rows = partial.groupBy("cell", "i").agg(F.sum("v").alias("v")).toArrow()  # cells x sums, whatever the units
+        order = np.lexsort((np.asarray(rows["i"]), np.asarray(rows["cell"])))
+        cell, value = np.asarray(rows["cell"])[order], np.asarray(rows["v"])[order]
+        listed = list(names)
+        return {listed[c]: value[cell == c] for c in np.unique(cell)}
 
 
 def build_design(panel: DataFrame, spec: ModelSpec) -> Design:
@@ -103,11 +133,21 @@ def build_design(panel: DataFrame, spec: ModelSpec) -> Design:
             centre.append(mean), spread.append(sd), kept.append(j)
         else:
             dropped.append(name)
-    if dropped:
-        units = units.withColumn("x", F.array(*[F.get("x", F.lit(j)) for j in kept]))
+    flat = F.flatten(F.array(*[F.get("x", F.lit(j)) for j in kept])) if kept else F.array().cast("array<double>")
+    units = units.withColumn("x", flat)
     return Design(spec, units, cohort_counts(units), centre, spread, dropped)
 
 
+def _comparisons(design: Design) -> dict[tuple[int, int, int], list[tuple[int, int, int, int]]]:
+    """Members of each comparison (g, base year, horizon); the outcome plays no part in it."""
+    out: dict = {}
+    for c, g, t, b, h, d in design.members():
+        rows = out.setdefault((g, b, h), [])
+        if (c, b, b, d) not in rows:
+            rows.append((c, b, b, d))
+    return out
+
+
 #: Coefficients (on standardised covariates) beyond this size mean that the arms are separated.
 SEPARATED = 50.0
 
@@ -121,41 +161,35 @@ def fit_logit_cells(design: Design) -> dict[tuple[int, int, int], tuple[np.ndarr
     without a fit), the number of passes and ``ok``, ``no_control``, ``separated``,
     ``singular_hessian`` or ``not_converged``.
     """
-    k, xs = design.k, design.xs
-    members = {(c, g, b, h, d) for c, g, t, b, h, d in design.members()}
-    spark = design.units.sparkSession
-    size = {}
-    for c, g, b, h, d in members:
-        counts = size.setdefault((g, b, h), [0, 0])
-        counts[d] += design.sizes[c]
-    beta, done, last, limit = {}, {}, {}, design.spec.newton_steps
+    k, limit = design.k, design.spec.newton_steps
+    members, size = _comparisons(design), {}
+    for key, rows in members.items():
+        counts = size.setdefault(key, [0, 0])
+        for c, _, _, d in rows:
+            counts[d] += design.sizes[c]
+    beta, done, last = {}, {}, {}
     for key, (n0, n1) in size.items():
         if n0 and n1:
             beta[key] = np.concatenate([[np.log(n1 / n0)], np.zeros(k - 1)])
         else:
             done[key] = (None, 0, "no_control")
-    schema = "cohort int, g int, t int, b int, horizon int, d int, pi array<double>"
     for step in range(1, limit + 1):
         if not beta:
             break
-        rows = [
-            (c, g, b, b, h, d, [float(v) for v in beta[g, b, h]])
-            for c, g, b, h, d in sorted(members)
-            if (g, b, h) in beta
-        ]
-        data = design.rows(local_table(spark, rows, schema))
-        eta = _dot(xs, "pi")
-        data = data.withColumns({"p": F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)), "eta": eta})
-        soft = F.greatest(F.col("eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta")))
-        weight = F.col("p") * (1 - F.col("p"))
-        sums = data.groupBy("g", "b", "horizon").agg(
-            F.sum(F.col("d") * F.col("eta") - soft).alias("likelihood"),
-            *[F.sum((F.col("d") - F.col("p")) * xs[i]).alias(f"s{i}") for i in range(k)],
-            *[F.sum(weight * xs[i] * xs[j]).alias(f"h{i}_{j}") for i, j in _upper(k)],
-        )
-        for r in sums.collect():
-            key = (r["g"], r["b"], r["horizon"])
-            now = r["likelihood"]
+        now_at = dict(beta)
+
+        def likelihood(key, d, dy, x):
+            import numpy as np
+
+            eta = x @ now_at[key]
+            p = 1 / (1 + np.exp(-eta))
+            soft = np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta)))
+            hess = (x * (p * (1 - p))[:, None]).T @ x
+            return np.concatenate([[(d * eta - soft).sum()], (d - p) @ x, hess.ravel()])
+
+        sums = design.sums({key: members[key] for key in beta}, likelihood)
+        for key, total in sums.items():
+            now, grad, hess = total[0], total[1 : k + 1], total[k + 1 :].reshape(k, k)
             if key in last and now < last[key][1] - 1e-9 * abs(last[key][1]):
                 before, value, move = last[key]
                 last[key] = (before, value, move / 2)
@@ -164,8 +198,6 @@ def fit_logit_cells(design: Design) -> dict[tuple[int, int, int], tuple[np.ndarr
                     beta.pop(key)
                     done[key] = (before, step, "ok")
                 continue
-            grad = np.array([r[f"s{i}"] for i in range(k)])
-            hess = _symmetric([r[f"h{i}_{j}"] for i, j in _upper(k)], k)
             move = _solve(hess, grad)
             if move is None or np.max(np.abs(beta[key] + move)) > SEPARATED:
                 # a likelihood near its bound 0 has no finite maximum
@@ -196,10 +228,55 @@ def propensity_table(design: Design) -> DataFrame:
     return local_table(design.units.sparkSession, rows, schema)
 
 
-PARAMS = (
-    "beta array<double>, pi array<double>, at array<double>, ac array<double>, bp array<double>, "
-    "eta_t double, eta_c double, n_t double, w_c double"
-)
+@dataclass(frozen=True)
+class CellFit:
+    """Numbers that give the influence of a cell's rows."""
+
+    beta: np.ndarray
+    pi: np.ndarray
+    at: np.ndarray
+    ac: np.ndarray
+    bp: np.ndarray
+    eta_t: float
+    eta_c: float
+    n_t: float
+    w_c: float
+
+
+def weights_function(est: str) -> Callable:
+    """(residual, propensity, control weight) of a cell's rows."""
+    clip = P_CLIP
+
+    def weights(beta, pi, d, dy, x):
+        import numpy as np
+
+        p = 1 / (1 + np.exp(-(x @ pi)))
+        clipped = np.minimum(p, clip)
+        return dy - x @ beta, p, np.where(d == 0, clipped / (1 - clipped), 0.0)
+
+    return weights
+
+
+def influence_function(est: str, n: int, fits: Mapping[tuple[int, int], CellFit]) -> Callable:
+    """Influence of a cell's rows on its effect, on the scale of the whole panel."""
+    weights = weights_function(est)
+    numbers = {key: (f.beta, f.pi, f.at, f.ac, f.bp, f.eta_t, f.eta_c, f.n_t, f.w_c) for key, f in fits.items()}
+
+    def influence(key, d, dy, x):
+        beta, pi, at, ac, bp, eta_t, eta_c, n_t, w_c = numbers[key]
+        resid, p, odds = weights(beta, pi, d, dy, x)
+        treated = d * (resid - eta_t)
+        if est in ("dr", "reg"):
+            treated = treated - (1 - d) * resid * (x @ at)
+        psi = treated / n_t
+        if est in ("dr", "ipw"):
+            control = odds * (resid - eta_c) + (d - p) * (x @ bp)
+            if est == "dr":
+                control = control - (1 - d) * resid * (x @ ac)
+            psi = psi - control / w_c
+        return psi * float(n)
+
+    return influence
 
 
 @dataclass
@@ -207,36 +284,66 @@ class ScoreEffects(Effects):
     """Effects whose influence values are evaluated per unit and cell."""
 
     design: Design = field(default=None, repr=False)
-    params: DataFrame = field(default=None, repr=False)
+    fits: dict[tuple[int, int], CellFit] = field(default_factory=dict, repr=False)
 
-    def _psi(self) -> DataFrame:
-        rows = self.design.rows(self.params)
-        return rows.select("unit", "cohort", "g", "t", psi_column(self.design, self.n).alias("psi"))
+    def _members(self) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
+        return {key: rows for key, rows in _cell_rows(self.design).items() if key in self.fits}
 
     def influence(self) -> DataFrame:
-        return self._psi().drop("cohort")
+        split = self.design.cells(self._members())
+        value = influence_function(self.spec.est, self.n, self.fits)
+        units = self.design.units
+        kind = to_arrow_schema(units.select("unit").schema).field("unit").type
 
-    def combine(self, weights: DataFrame, shift: DataFrame) -> Combined:
-        """Per unit, the influence of each component as an array.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
 
-        A unit's cells are built and summed in the partition that holds the unit; the
-        design is already partitioned by unit, so no exchange is needed.  The vectors are
-        kept, as errors and draws both read them.
-        """
-        weights, shift = settle(weights), settle(shift)
-        names = [row["comp"] for row in weights.select("comp").distinct().orderBy("comp").collect()]
-        pick = lambda c, v: F.sum(F.when(F.col("comp") == c, F.col(v)).otherwise(0.0))
-        w = weights.groupBy("g", "t").agg(F.array(*[pick(c, "w") for c in names]).alias("w"))
-        h = shift.groupBy("cohort").agg(F.array(*[pick(c, "h") for c in names]).alias("h"))
-        psi = self._psi().join(w, ["g", "t"])
-        sums = psi.groupBy("unit", "cohort").agg(
-            *[F.sum(F.col("psi") * F.get("w", F.lit(i))).alias(f"p{i}") for i in range(len(names))]
-        )
-        sums = sums.join(h, "cohort", "left")
-        vec = F.array(
-            *[F.col(f"p{i}") + F.coalesce(F.get("h", F.lit(i)), F.lit(0.0)) for i in range(len(names))]
-        )
-        return UnitScores(self, keep(sums.select("unit", vec.alias("vec"))), names)
+            for batch in batches:
+                for (g, t), rows, d, dy, x in split(batch) if batch.num_rows else ():
+                    years = [pa.array(np.full(len(rows), year, np.int32)) for year in (g, t)]
+                    unit = batch.column("unit").take(pa.array(rows)).cast(kind)
+                    yield pa.RecordBatch.from_arrays([unit, *years, pa.array(value((g, t), d, dy, x))], names=["unit", "g", "t", "psi"])
+
+        return units.mapInArrow(run, f"unit {units.schema['unit'].dataType.simpleString()}, g int, t int, psi double")
+
+    def combine(self, weights: DataFrame, shift: DataFrame) -> Combined:
+        """Per unit, the influence of each component as an array: weighted sums over the unit's cells
+        and the share term of its cohort.  The rows stay where they are; the vectors are kept, as
+        errors and draws both read them."""
+        loads, names = _by_component(weights.select("comp", "g", "t", "w").collect())
+        shares, _ = _by_component(shift.select("comp", "cohort", "h").collect(), names)
+        split = self.design.cells(self._members())
+        value = influence_function(self.spec.est, self.n, self.fits)
+        units, size = self.design.units, len(names)
+        kind = to_arrow_schema(units.select("unit").schema).field("unit").type
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                total = np.zeros((batch.num_rows, size))
+                for key, rows, d, dy, x in split(batch):
+                    if key in loads:
+                        total[rows] += value(key, d, dy, x)[:, None] * loads[key]
+                cohort = np.asarray(batch.column("cohort"))
+                for (c,), h in shares.items():
+                    total[cohort == c] += h
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * size), pa.array(total.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("unit").cast(kind), vec], names=["unit", "vec"])
+
+        vectors = units.mapInArrow(run, f"unit {units.schema['unit'].dataType.simpleString()}, vec array<double>")
+        return UnitScores(self, keep(vectors), names)
+
+
+def _by_component(rows: Sequence[tuple], names: list[str] | None = None) -> tuple[dict[tuple, np.ndarray], list[str]]:
+    """Coefficients (component, key ..., value) as a vector over the components for each key."""
+    names = sorted({r[0] for r in rows}) if names is None else names
+    at, out = {c: i for i, c in enumerate(names)}, {}
+    for comp, *key, value in rows:
+        out.setdefault(tuple(key), np.zeros(len(names)))[at[comp]] += value
+    return out, names
 
 
 @dataclass
@@ -247,7 +354,7 @@ class UnitScores(Combined):
     vectors: DataFrame
     names: list[str]
 
-    def _name(self, position: str) -> Column:
+    def _name(self, position: str) -> F.Column:
         return F.get(F.array(*[F.lit(c) for c in self.names]), F.col(position))
 
     def variances(self) -> DataFrame:
@@ -268,63 +375,44 @@ class UnitScores(Combined):
         return sums.select("draw", self._name("idx").alias("comp"), (F.col("q") / float(self.effects.n) ** 0.5).alias("r"))
 
 
-def _weights(design: Design) -> tuple[Column, Column, Column]:
-    """(residual, propensity, control weight) of a member row, from its cell's parameters."""
-    resid = F.col("dy") - _dot(design.xs, "beta")
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-_dot(design.xs, "pi")))
-    clipped = F.least(p, F.lit(P_CLIP))
-    odds = F.when(F.col("d") == 0, clipped / (1 - clipped)).otherwise(0.0)
-    return resid, p, odds
-
-
-def psi_column(design: Design, n: int) -> Column:
-    """Influence of a member row on its cell's effect, on the scale of the whole panel."""
-    est, xs, d = design.spec.est, design.xs, F.col("d")
-    resid, p, odds = _weights(design)
-    treated = d * (resid - F.col("eta_t"))
-    if est in ("dr", "reg"):
-        treated = treated - (1 - d) * resid * _dot(xs, "at")
-    psi = treated / F.col("n_t")
-    if est in ("dr", "ipw"):
-        control = odds * (resid - F.col("eta_c")) + (d - p) * _dot(xs, "bp")
-        if est == "dr":
-            control = control - (1 - d) * resid * _dot(xs, "ac")
-        psi = psi - control / F.col("w_c")
-    return psi * float(n)
+def _cell_rows(design: Design) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
+    """Members (cohort, t, b, d) of each cell (g, t)."""
+    out: dict = {}
+    for c, g, t, b, h, d in design.members():
+        out.setdefault((g, t), []).append((c, t, b, d))
+    return out
 
 
 def _cell_regressions(design: Design) -> dict[tuple[int, int], tuple]:
     """Per cell: counts, covariate sums of the treated, and the control regression."""
-    k, xs, spark = design.k, design.xs, design.units.sparkSession
-    data = design.rows(local_table(spark, design.members(), MEMBER_SCHEMA))
-    ctrl = F.col("d") == 0
-    sums = data.groupBy("g", "t").agg(
-        F.count_if(~ctrl).alias("n1"),
-        F.count_if(ctrl).alias("n0"),
-        *[F.sum(F.when(~ctrl, xs[i])).alias(f"t{i}") for i in range(k)],
-        *[F.sum(F.when(ctrl, xs[i] * F.col("dy"))).alias(f"y{i}") for i in range(k)],
-        *[F.sum(F.when(ctrl, xs[i] * xs[j])).alias(f"a{i}_{j}") for i, j in _upper(k)],
-    )
+    k = design.k
+
+    def moments(key, d, dy, x):
+        import numpy as np
+
+        control = x * (1 - d)[:, None]
+        return np.concatenate([[d.sum(), (1 - d).sum()], d @ x, dy @ control, (control.T @ x).ravel()])
+
     out = {}
-    for r in sums.collect():
+    for key, total in design.sums(_cell_rows(design), moments).items():
+        n1, n0 = round(total[0]), round(total[1])
         beta = xx = tx = None
-        if r["n0"] >= k and r["n1"]:
-            xx = _symmetric([r[f"a{i}_{j}"] for i, j in _upper(k)], k)
-            tx = np.array([r[f"t{i}"] for i in range(k)])
-            beta = _solve(xx, np.array([r[f"y{i}"] for i in range(k)]))
-        out[r["g"], r["t"]] = (r["n1"], r["n0"], beta, xx, tx)
+        if n0 >= k and n1:
+            tx, xx = total[2 : 2 + k], total[2 + 2 * k :].reshape(k, k)
+            beta = _solve(xx, total[2 + k : 2 + 2 * k])
+        out[key] = (n1, n0, beta, xx, tx)
     return out
 
 
 def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
     """Group-time effects with covariates taken at the base period."""
     design = build_design(panel, spec)
-    spark, k, est = panel.sparkSession, design.k, spec.est
+    k, est = design.k, spec.est
     n = sum(design.sizes.values())
     cells = _cell_regressions(design)
     fits = fit_logit_cells(design) if est in ("dr", "ipw") else {}
 
-    zero = [0.0] * k
+    zero = np.zeros(k)
     status, start = {}, {}
     for c, g, t, b, h, d in design.members():
         if (g, t) in start:
@@ -341,74 +429,59 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
             status[g, t] = fitted
         else:
             status[g, t] = "ok"
-        use = [float(v) for v in beta] if est != "ipw" and beta is not None else zero
-        prob = [float(v) for v in pi] if pi is not None else zero
-        start[g, t] = (use, prob)
-
-    schema = MEMBER_SCHEMA + ", beta array<double>, pi array<double>"
-    alive = [(*m, *start[m[1], m[2]]) for m in design.members() if status[m[1], m[2]] == "ok"]
-    data = design.rows(local_table(spark, alive, schema))
-    resid, p, odds = _weights(design)
-    xs = design.xs
-    second = data.withColumns({"r": resid, "p": p, "w": odds}).groupBy("g", "t").agg(
-        F.sum(F.when(F.col("d") == 1, F.col("r"))).alias("rt"),
-        F.sum("w").alias("w"),
-        F.sum(F.col("w") * F.col("r")).alias("wr"),
-        F.count_if(F.col("p") >= design.spec.overlap_limit).alias("at_limit"),
-        *[F.sum(F.col("w") * xs[i]).alias(f"wx{i}") for i in range(k)],
-        *[F.sum(F.col("w") * F.col("r") * xs[i]).alias(f"wrx{i}") for i in range(k)],
-        *[F.sum(F.col("p") * (1 - F.col("p")) * xs[i] * xs[j]).alias(f"h{i}_{j}") for i, j in _upper(k)],
-    )
-    params, att = {}, {}
-    for r in second.collect() if alive else []:
-        key = (r["g"], r["t"])
+        start[g, t] = (beta if est != "ipw" and beta is not None else zero, pi if pi is not None else zero)
+
+    alive = {key: rows for key, rows in _cell_rows(design).items() if status[key] == "ok"}
+    weights, overlap, first = weights_function(est), spec.overlap_limit, {key: start[key] for key in alive}
+
+    def weighted(key, d, dy, x):
+        import numpy as np
+
+        r, p, w = weights(*first[key], d, dy, x)
+        hess = (x * (p * (1 - p))[:, None]).T @ x
+        return np.concatenate([[(d * r).sum(), w.sum(), (w * r).sum(), (p >= overlap).sum()], w @ x, (w * r) @ x, hess.ravel()])
+
+    found, att = {}, {}
+    for key, total in design.sums(alive, weighted).items():
         n1, n0, beta, xx, tx = cells[key]
-        eta_t, eta_c, w_c, at, ac, bp = r["rt"] / n1, 0.0, 1.0, zero, zero, zero
+        rt, w, wr, at_limit = total[:4]
+        wx, wrx, hess = total[4 : 4 + k], total[4 + k : 4 + 2 * k], total[4 + 2 * k :].reshape(k, k)
+        eta_t, eta_c, w_c, at, ac, bp = rt / n1, 0.0, 1.0, zero, zero, zero
         if est != "reg":
-            if r["at_limit"] or r["w"] <= 0:
-                status[key] = f"overlap: {r['at_limit']} units at the limit"
+            if at_limit or w <= 0:
+                status[key] = f"overlap: {round(at_limit)} units at the limit"
                 continue
-            w_c, eta_c = r["w"], r["wr"] / r["w"]
-            wx = np.array([r[f"wx{i}"] for i in range(k)])
-            wrx = np.array([r[f"wrx{i}"] for i in range(k)])
-            hess = _symmetric([r[f"h{i}_{j}"] for i, j in _upper(k)], k)
-            slope = _solve(hess, wrx - eta_c * wx)
-            if slope is None:
+            w_c, eta_c = w, wr / w
+            bp = _solve(hess, wrx - eta_c * wx)
+            if bp is None:
                 status[key] = "singular_hessian"
                 continue
-            bp = [float(v) for v in slope]
             if est == "dr":
-                ac = [float(v) for v in np.linalg.solve(xx, wx)]
+                ac = np.linalg.solve(xx, wx)
         if est != "ipw":
-            at = [float(v) for v in np.linalg.solve(xx, tx)]
-        att[key] = eta_t - eta_c
-        params[key] = (*start[key], at, ac, bp, eta_t, eta_c, float(n1), w_c)
-
-    live = [(*m, *params[m[1], m[2]]) for m in design.members() if (m[1], m[2]) in params]
-    member_params = local_table(spark, live, f"{MEMBER_SCHEMA}, {PARAMS}")
-    effects = ScoreEffects(spec, design.units, design.sizes, None, design, member_params)
-    squares = effects._psi().groupBy("g", "t").agg(
-        (F.sqrt(F.sum(F.col("psi") * F.col("psi"))) / float(n)).alias("se")
-    )
-    rows = []
+            at = np.linalg.solve(xx, tx)
+        att[key] = float(eta_t - eta_c)
+        found[key] = CellFit(*start[key], at, ac, bp, float(eta_t), float(eta_c), float(n1), float(w_c))
+
+    effects = ScoreEffects(spec, design.units, design.sizes, None, design, found)
+    value = influence_function(est, n, found)
+
+    def squares(key, d, dy, x):
+        psi = value(key, d, dy, x)
+        return [psi @ psi]
+
+    errors = {key: float(total[0]) ** 0.5 / n for key, total in design.sums(effects._members(), squares).items()}
+    rows, reference = [], {}
     for c, g, t, b, h, d in cell_members(list(design.sizes), spec):
-        if d == 1:
-            n1, n0 = (design.sizes[c], None) if t == b else cells.get((g, t), (0, 0))[:2]
-            value = 0.0 if t == b else att.get((g, t))
-            rows.append((g, t, value, n1, n0, "ok" if t == b else status.get((g, t), "no_control")))
-    reference = {(g, t): 0 for g, t, *_ in rows}
+        reference[g, t] = reference.get((g, t), 0) + (design.sizes[c] if d == 0 else 0)
     for c, g, t, b, h, d in cell_members(list(design.sizes), spec):
-        if d == 0:
-            reference[g, t] += design.sizes[c]
-    rows = [(g, t, a, n1, reference[g, t] if n0 is None else n0, s) for g, t, a, n1, n0, s in rows]
-    base = local_table(spark, 
-        rows, "g int, t int, att double, n_treated long, n_control long, cell_status string"
-    )
-    effects.table = settle(
-        base.join(squares, ["g", "t"], "left").select(
-            "g", "t", "att", "se", "n_treated", "n_control", "cell_status"
-        )
-    )
+        if d == 1 and t == b:
+            rows.append((g, t, 0.0, None, design.sizes[c], reference[g, t], "ok"))
+        elif d == 1:
+            n1, n0 = cells.get((g, t), (0, 0))[:2]
+            rows.append((g, t, att.get((g, t)), errors.get((g, t)), n1, n0, status.get((g, t), "no_control")))
+    schema = "g int, t int, att double, se double, n_treated long, n_control long, cell_status string"
+    effects.table = local_table(panel.sparkSession, rows, schema)
     return effects
 
 
