@@ -167,7 +167,7 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, size: int, block_
     """Links inside groups of ``members`` (grp, cid, label, left, right) between left and right.
 
     A group is cut into blocks of about ``block_bytes`` of text on either side; every block of the
-    left meets every block of the right in a cell.  Small groups share a task.
+    left meets every block of the right in a cell.  Small groups share tasks of about ``block_bytes``.
     """
     rows = members.join(texts, "cid")
     weight = rows.groupBy("grp").agg(
@@ -178,7 +178,13 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, size: int, block_
         "grp",
         F.ceil((F.col("wl") + 1) / block_bytes).cast("int").alias("nl"),
         F.ceil((F.col("wr") + 1) / block_bytes).cast("int").alias("nr"),
+        "wl",
+        "wr",
     )
+    # Written, so that the join below is of two exchanges (split where one group is large) or a broadcast.
+    cuts = stored(cuts, "cuts")
+    small = cuts.where("nl * nr = 1").agg(F.sum(F.col("wl") + F.col("wr"))).first()[0] or 0
+    tasks = small // block_bytes + 1
     placed = members.join(cuts, "grp").withColumns(
         {"i": F.expr("pmod(xxhash64(cid, 1), nl)"), "j": F.expr("pmod(xxhash64(cid, 2), nr)")}
     )
@@ -193,7 +199,7 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, size: int, block_
     )
     loads = texts.select("cid", "text")
     dealt = both.join(loads, "cid").withColumn(
-        "task", F.when(F.col("small"), F.pmod("cell_at", F.lit(4096))).otherwise(F.col("cell_at"))
+        "task", F.when(F.col("small"), F.pmod("cell_at", F.lit(tasks))).otherwise(F.col("cell_at"))
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -223,10 +229,12 @@ def near_duplicates(
     where ids are null or shared; it is null for rows without shingles.  An empty table gives an
     empty result.  Only the two named columns are read.
     """
-    if clash := set(carry) & {"doc_id", "text", "n", "f1", "f2", "regs", "n_shingles", "component_id", "kept", "label"}:
+    if clash := set(carry) & {"doc_id", "text", "text_hash", "n", "f1", "f2", "regs", "n_shingles", "component_id", "kept", "label"}:
         raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     carried = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`") for c in carry])
+    carried = carried.withColumn("text_hash", F.xxhash64("text"))
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def sign(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -235,19 +243,22 @@ def near_duplicates(
         regs = registers(row, value, part.num_rows)
         count = np.diff(offset)
         packed = [r.tobytes() if c else None for r, c in zip(regs, count)]
-        names = ["doc_id", "n", "f1", "f2", "regs", *carry]
-        arrays = [part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(packed, pa.binary())]
+        names = ["doc_id", "text_hash", "n", "f1", "f2", "regs", *carry]
+        arrays = [part.column("doc_id"), part.column("text_hash")]
+        arrays += [pa.array(count.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(packed, pa.binary())]
         arrays += [part.column(c) for c in carry]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = f"doc_id {id_type}, n long, f1 long, f2 long, regs binary"
+    schema = f"doc_id {id_type}, text_hash long, n long, f1 long, f2 long, regs binary"
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     signed = stored(carried.mapInArrow(by_slices(sign, "text"), schema), "signed")
+    # The row that stands for a class: the smallest id (null ids last) and one text of that id.
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     classes = stored(
         signed.where("n > 0")
         .groupBy("f1", "f2")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-        .withColumn("cid", F.monotonically_increasing_id()),
+        .agg(least_row.alias("row"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+        .select("f1", "f2", "row.doc_id", "row.text_hash", "n", "regs", F.monotonically_increasing_id().alias("cid")),
         "classes",
     )
     keys = [
@@ -266,9 +277,10 @@ def near_duplicates(
     others = pairs.where("grp != cid")
 
     # texts of the classes that met another one, with the class that their set confirms
-    wanted = classes.join(met.select("cid").distinct(), "cid", "left_semi").select("doc_id", "cid", "f1", "f2")
-    same_id = rows["doc_id"].eqNullSafe(wanted["doc_id"])
-    drawn = rows.join(wanted, same_id).select("cid", "f1", "f2", "text")
+    wanted = classes.join(met.select("cid").distinct(), "cid", "left_semi")
+    wanted = wanted.select(F.col("doc_id").alias("class_id"), F.col("text_hash").alias("class_hash"), "cid", "f1", "f2")
+    same_row = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
+    drawn = rows.join(wanted, same_row).select("cid", "f1", "f2", "text")
 
     def confirm(part: pa.RecordBatch) -> pa.RecordBatch:
         _, value, offset = shingles(part.column("text"), size)
