@@ -57,6 +57,9 @@ class LineRules:
     repeat_percent: int = 30
     window: int = 8
     phrases: tuple[str, ...] = PHRASES
+    phrase_share: float = 0.125  #: a line fails if whole-word phrases hold as much of its characters
+    menu_lines: int = 5  #: as many short lines without a sentence mark, one after the other, are a menu
+    menu_words: int = 3  #: words of such a short line at most
 
 
 def _flag(chars: bytes) -> np.ndarray:
@@ -66,6 +69,10 @@ def _flag(chars: bytes) -> np.ndarray:
 
 
 _SYMBOL, _MARK = _flag(SYMBOLS), _flag(b".!?;:")
+#: Sentence marks of other scripts (ideographic, full-width, Devanagari, Arabic, Urdu,
+#: Armenian, Ethiopic, Khmer, Burmese) and the ellipsis.
+WIDE_MARKS = "。．！？；：।॥؟؛۔։።៖។၊။…"
+_WIDE = re.compile("|".join(map(re.escape, WIDE_MARKS)).encode())
 
 
 def _counter(mask: np.ndarray) -> np.ndarray:
@@ -83,13 +90,26 @@ def _equal_earlier(row: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
+def _menus(row: np.ndarray, short: np.ndarray, least: int) -> np.ndarray:
+    """Marks the short lines that stand in runs of ``least`` or more within a row."""
+    out = np.zeros(len(row), bool)
+    if len(row):
+        begin = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (short[1:] != short[:-1])))
+        size = np.diff(np.append(begin, len(row)))
+        out = np.repeat((size >= least) & short[begin], size)
+    return out
+
+
 def _clean(part: pa.RecordBatch, column: str, rules: LineRules, keep: list[str], with_text: bool) -> pa.RecordBatch:
     text = texts_of(part.column(column))
     w = Words(text)
     n, data, rows = w.count, w.data, w.rows
     lead = (data & 0xC0) != 0x80
     chars, symbols = _counter(lead & w.inside), _counter(_SYMBOL[data])
-    marks = _counter(_MARK[data])
+    marked = _MARK[data]
+    if not lead.all():
+        marked[np.fromiter((m.start() for m in _WIDE.finditer(data.tobytes())), np.int64)] = True
+    marks = _counter(marked)
     bang = data == 0x21
     double = np.zeros(len(data), bool)
     double[1:] = bang[1:] & bang[:-1]
@@ -135,14 +155,15 @@ def _clean(part: pa.RecordBatch, column: str, rules: LineRules, keep: list[str],
         | (l_shouts > rules.shout_share * l_words)
         | (l_words > rules.open_words * (l_marks + 1))
     )
+    fails |= _menus(l_row, (l_words <= rules.menu_words) & (l_marks == 0), rules.menu_lines)
     if rules.phrases and len(l_row):
-        pattern = re.compile("|".join(map(re.escape, rules.phrases)).encode(), re.IGNORECASE)
-        hits = np.fromiter((m.start() for m in pattern.finditer(data.tobytes())), np.int64)
-        if len(hits):
-            line = np.searchsorted(l_start, hits, side="right") - 1
-            good = line >= 0
-            good[good] = hits[good] < l_stop[line[good]]
-            fails[line[good]] = True
+        pattern = re.compile(rb"(?<![0-9A-Za-z])(?:" + "|".join(map(re.escape, rules.phrases)).encode() + rb")(?![0-9A-Za-z])", re.IGNORECASE)
+        found = np.array([m.span() for m in pattern.finditer(data.tobytes())], np.int64).reshape(-1, 2)
+        line = np.searchsorted(l_start, found[:, 0], side="right") - 1
+        good = line >= 0
+        good[good] = found[good, 0] < l_stop[line[good]]
+        stock = chars[found[good, 1]] - chars[found[good, 0]]  # characters of the phrases' words
+        fails |= per_row(line[good], len(l_row), stock) > np.maximum(rules.phrase_share * l_chars - 1e-9, 0)
     lost = per_row(l_row[fails], rows, l_chars[fails])
     share = lost / np.maximum(word_chars, 1)
     base_failed = (n < rules.min_words) | (100 * repeated > rules.repeat_percent * n)
