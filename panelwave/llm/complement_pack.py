@@ -236,6 +236,10 @@ def slots(patterns: list[tuple[Pattern, int]]) -> tuple[np.ndarray, np.ndarray,
 # -------------------------------------------------------------------------------------- operator
 
 
+#: Pieces that one ranking task takes, about, if all have the same length.
+_RANKED = 1_000_000
+
+
 def pack(
     docs: DataFrame,
     path: str,
@@ -279,12 +283,15 @@ def pack(
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, ids array<int>"
-    pieces = stored(rows.mapInArrow(by_slices(cut, "text"), schema), "pieces")
+    # A row number in the hash spreads equal rows; it is written with the pieces, so it stays.
+    spread = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
+    pieces = stored(rows.mapInArrow(by_slices(cut, "text"), schema).withColumn("spread", spread), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `limit` rows
     key, first, offset = slots(plan(counts, limit))
 
-    salts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(parts, sum(counts.values()) // _RANKED + 1)
+    salted = pieces.withColumn("salt", F.pmod("spread", F.lit(salts)))
     before = (
         salted.groupBy("length", "salt")
         .count()
