@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwave.llm.common import WORD, stored
 from panelwave.session import local_table
@@ -89,6 +89,36 @@ def settle_last(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, re
     return land(out, size)
 
 
+#: Equal rows that one task numbers.
+_ALIKE = 4096
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The same rows with ``number``, which counts rows that are equal in all columns from 0.
+
+    Equal rows are counted (map-side combined) and made again from their count, in blocks that
+    are dealt over the tasks, so a row that repeats for a third of the table is no one task's work.
+    """
+    names = rows.columns
+    counted = rows.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("__n"))
+    few = counted.where(F.col("__n") <= _ALIKE).withColumn("__from", F.lit(0).cast("long"))
+    many = counted.where(F.col("__n") > _ALIKE).withColumn("__block", F.explode(F.expr(f"sequence(0, (__n - 1) div {_ALIKE})")))
+    many = many.repartition(F.xxhash64(*[F.col(f"`{c}`") for c in names], "__block")).select(
+        *[F.col(f"`{c}`") for c in names],
+        F.least(F.col("__n") - F.col("__block") * _ALIKE, F.lit(_ALIKE)).alias("__n"),
+        (F.col("__block") * _ALIKE).cast("long").alias("__from"),
+    )
+    both = few.unionByName(many)
+    number = F.explode(F.expr("sequence(__from, __from + __n - 1)")).alias("number")
+    return both.select(*[F.col(f"`{c}`") for c in names], number)
+
+
+def _row_hash(key: list[str], seed: int, carry: tuple[str, ...]) -> Column:
+    """Hash of a row; the number of a repeated row takes part in it."""
+    h = F.xxhash64(*key, F.lit(seed), *[F.col(f"`{c}`") for c in carry])
+    return F.when(F.col("number") > 0, F.xxhash64(h, "number")).otherwise(h)
+
+
 def mix_sources(
     docs: DataFrame,
     text: str = "text",
@@ -108,7 +138,7 @@ def mix_sources(
     different copies; a null id is an id like another.  Equal seeds give equal results.  An empty
     table gives an empty result.  The totals of the sources pass through the driver, one row each.
     """
-    names = ("doc_id", "source", "size", "source_size", "target", "taken", "copies", "open", "chunk", "last", "h")
+    names = ("number", "__n", "__from", "__block", "doc_id", "source", "size", "source_size", "target", "taken", "copies", "open", "chunk", "last", "h")
     if clash := set(carry) & set(names):
         raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     base = docs.select(
@@ -117,7 +147,7 @@ def mix_sources(
         F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         *[F.col(f"`{c}`") for c in carry],
     )
-    base = stored(base.withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed), *carry)), "sizes")
+    base = stored(_numbered(base).withColumn("h", _row_hash(["doc_id", "size"], seed, carry)).drop("number"), "sizes")
     totals = base.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     share = targets([r["s"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], most)
