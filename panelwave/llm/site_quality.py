@@ -94,7 +94,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Quali
         x = pa.array(shape(part.column("text")).tolist(), pa.list_(pa.float64()))
         return pa.RecordBatch.from_arrays([part.column("doc_id"), x, part.column("quality")], names=["doc_id", "x", "quality"])
 
-    rows = train.mapInArrow(by_slices(measure, "text"), "doc_id long, x array<double>, quality int").toPandas().sort_values("doc_id")
+    schema = f"doc_id {train.schema['doc_id'].dataType.simpleString()}, x array<double>, quality int"
+    rows = train.mapInArrow(by_slices(measure, "text"), schema).toPandas().sort_values("doc_id")
     x, y = np.array(rows["x"].tolist()).reshape(len(rows), FEATURES), rows["quality"].to_numpy(float)
     return QualityModel(tuple(fit_logistic(x, y)), float(y.mean()) if len(y) else 0.5)
 
