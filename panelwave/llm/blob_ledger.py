@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -73,39 +72,59 @@ def _spans(text: Column, rule: Rule) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule, spans) for every pair of blob and rule.  ``blobs`` has blob and text."""
+    """(blob, rule, spans) for every pair of blob and rule that is open, in one pass over the texts.
+
+    ``blobs`` has blob and text, and optionally ``known``, the names of the rules that the blob has been
+    scanned for (null: none).
+    """
+    none = F.lit(None).cast(f"struct<rule:string,spans:{_SPANS}>")
     found = []
     for rule in rules:
         spans = F.when(F.col("text").rlike(rule.pattern), _spans(F.col("text"), rule)).otherwise(F.array().cast(_SPANS))
-        found.append(F.struct(F.lit(rule.name).alias("rule"), spans.alias("spans")))
-    return blobs.select("blob", F.explode(F.array(*found)).alias("f")).select("blob", "f.rule", "f.spans")
+        pair = F.struct(F.lit(rule.name).alias("rule"), spans.alias("spans"))
+        if "known" in blobs.columns:
+            pair = F.when(F.coalesce(F.array_contains("known", rule.name), F.lit(False)), none).otherwise(pair)
+        found.append(pair)
+    pairs = blobs.select("blob", F.explode(F.array(*found)).alias("f"))
+    return pairs.where("f is not null").select("blob", "f.rule", "f.spans")
+
+
+def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    return rows.withColumn("blob", F.sha2("text", 256))
+
+
+def distinct_blobs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(blob, text): every distinct text of the rows once; a null text is the empty one."""
+    return _rows(docs, text, text).groupBy("blob").agg(F.first("text").alias("text"))
 
 
 def find_secrets(
-    docs: DataFrame, ledger: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", rules: tuple[Rule, ...] = RULES
+    docs: DataFrame,
+    ledger: DataFrame | None = None,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    rules: tuple[Rule, ...] = RULES,
+    blobs: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Findings of every row, and the ledger entries that this scan adds.
 
     Findings: doc_id, blob and ``found``, an array of (kind, start, end) sorted by start, then by
     the order of the rules.  New entries: blob, rule, spans; an entry is made for every pair, with
-    an empty array where nothing was found.  ``ledger`` may hold any earlier entries.
+    an empty array where nothing was found.  ``ledger`` may hold any earlier entries.  ``blobs`` takes
+    the ``distinct_blobs`` of the rows if they are written somewhere already.
 
     A null text is the empty blob.  Repeated rows and copies share a blob, which is scanned once,
     and each gets its row; a null id stays null.  An empty table gives empty results.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = rows.withColumn("blob", F.sha2("text", 256))
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
+    rows = _rows(docs, text, doc_id)
+    blobs = distinct_blobs(docs, text) if blobs is None else blobs
     if ledger is None:
         fresh = scan_blobs(blobs, rules)
     else:
         known = ledger.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("known"))
-        open_ = blobs.join(known, "blob", "left")
-        parts = []
-        for rule in rules:
-            unseen = open_.where(~F.coalesce(F.array_contains("known", rule.name), F.lit(False)))
-            parts.append(scan_blobs(unseen.select("blob", "text"), (rule,)))
-        fresh = reduce(DataFrame.unionByName, parts)
+        open_ = blobs.join(known, "blob", "left").where(F.coalesce(F.size("known"), F.lit(0)) < len(rules))
+        fresh = scan_blobs(open_, rules)
     fresh = stored(fresh, "ledger")
     entries = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "spans").where(F.col("rule").isin([r.name for r in rules])))
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwave.llm import blob_ledger, filter_audit, lyndon_runs, prefix_decontam
-from panelwave.llm.common import table
+from panelwave.llm.common import stored, table
 from panelwave.llm.complement_pack import pack
 from panelwave.llm.cube_mix import mix_sources
 from panelwave.llm.hyperminhash import near_duplicates
@@ -61,7 +61,11 @@ def op4_compression_distance_toxicity(spark: SparkSession, sf: str) -> DataFrame
 
 @query
 def op9_blob_ledger_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    findings, _ = blob_ledger.find_secrets(table(spark, sf, "documents"))
+    """Scan with the base rules first; the full rules then find those pairs in the ledger."""
+    docs = table(spark, sf, "documents")
+    blobs = stored(blob_ledger.distinct_blobs(docs), "blobs")
+    _, ledger = blob_ledger.find_secrets(docs, rules=blob_ledger.BASE, blobs=blobs)
+    findings, _ = blob_ledger.find_secrets(docs, ledger, blobs=blobs)
     return blob_ledger.summary(findings)
 
 
