@@ -119,6 +119,95 @@ def test_mixing(spark, odd, none):
     assert mix_sources(none).count() == 0
 
 
+def test_equal_rows_are_spread_over_chunks(spark, monkeypatch):
+    """A third of the rows are equal: no chunk takes more than about its size, and reruns agree."""
+    import tempfile
+
+    from panelwave.llm import cube_mix
+
+    noted = f"{tempfile.mkdtemp(dir='/tmp', prefix='run-')}/sizes"
+    plain, last = cube_mix.flight, cube_mix.settle_last
+
+    def counted(prob, size, rng):
+        with open(noted, "a") as f:
+            f.write(f"{len(prob)}\n")
+        return plain(prob, size, rng)
+
+    def counted_last(prob, size, rng):
+        with open(noted, "a") as f:
+            f.write(f"{len(prob)}\n")
+        return last(prob, size, rng)
+
+    monkeypatch.setattr(cube_mix, "flight", counted)
+    monkeypatch.setattr(cube_mix, "settle_last", counted_last)
+    monkeypatch.setattr(cube_mix, "_ALIKE", 64)
+    rows = [(None, "same words here", "a")] * 1000 + [(i, "w " * (1 + i % 40), "ab"[i % 2]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a = mix_sources(df.repartition(3), chunk=100).toPandas()
+    assert max(map(int, open(noted))) < 180
+    b = mix_sources(df.repartition(8), chunk=100).toPandas()
+    order = ["doc_id", "size", "source_size", "copies"]
+    assert a.sort_values(order).reset_index(drop=True).equals(b.sort_values(order).reset_index(drop=True))
+    assert len(a) == 3000 and a.doc_id.isna().sum() == 1000
+    for _, g in a.groupby("source_size"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.01 * g.target.iloc[0]
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_models_take_ids_of_other_types(spark, kind):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").withColumn("doc_id", F.col("doc_id").cast(kind)) for t in ("documents", "labels"))
+    model = fit_quality(docs, labels, sample=100)
+    rows = judge(docs, model, F.col("source"), F.col("lang"))
+    assert dict(rows.dtypes)["doc_id"] == kind and rows.count() == docs.count()
+    toxic = score_toxicity(docs, fit_toxicity(docs, labels, sample=60))
+    assert dict(toxic.dtypes)["doc_id"] == kind and toxic.count() == docs.count()
+
+
+def posteriors(rows, prior_least=1.0, prior_most=1000.0):
+    """Scores from (host, path, own evidence), by plain sums over all documents."""
+    import math
+
+    def strength(groups):
+        groups = [(n, r, m) for n, r, m in groups if n > 1]
+        if not groups:
+            return 10.0
+        total = sum(n for n, _, _ in groups)
+        between = max((sum(n * (r - m) ** 2 for n, r, m in groups) - sum(m * (1 - m) for _, _, m in groups)) / total, 0.0)
+        unit = sum(m * (1 - m) for _, _, m in groups) / len(groups)
+        return min(max(unit / between - 1, prior_least), prior_most) if between > 0 else prior_most
+
+    def logit(p):
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        return math.log(p / (1 - p))
+
+    hosts, paths = {}, {}
+    for h, p, own in rows:
+        hosts.setdefault(h, []).append(own)
+        paths.setdefault((h, p), []).append(own)
+    rate = sum(own for *_, own in rows) / len(rows)
+    k_host = strength([(len(v), sum(v) / len(v), rate) for v in hosts.values()])
+    level = {h: (sum(v) + k_host * rate) / (len(v) + k_host) for h, v in hosts.items()}
+    k_path = strength([(len(v), sum(v) / len(v), level[h]) for (h, _), v in paths.items()])
+    out = []
+    for h, p, own in rows:
+        host = (sum(hosts[h]) - own + k_host * rate) / (len(hosts[h]) - 1 + k_host)
+        path = (sum(paths[h, p]) - own + k_path * host) / (len(paths[h, p]) - 1 + k_path)
+        odds = logit(own) + logit(path) - logit(rate)
+        out.append((host, path, 1 / (1 + math.exp(-odds))))
+    return out
+
+
+def test_posteriors_against_plain_sums(spark, odd):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_quality(docs, labels)
+    for df in (docs, odd):
+        rows = judge(df, model, F.col("source"), F.col("lang"), carry=("source", "lang")).collect()
+        want = posteriors([(r.source, r.lang, r.doc_score) for r in rows])
+        for r, (host, path, score) in zip(rows, want):
+            assert (r.host_rate, r.path_rate, r.score) == pytest.approx((host, path, score), rel=1e-9)
+            assert r.kept == (r.score >= 0.5)
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = fit_toxicity(docs, labels)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from panelwave.llm.blob_ledger import BASE, RULES, Rule, find_secrets, redacted, summary
+from panelwave.llm.blob_ledger import BASE, RULES, Rule, distinct_blobs, find_secrets, redacted, scan_blobs, summary
 from panelwave.llm.complement_pack import ChunkTokenizer, pack, plan
 from panelwave.llm.hyperminhash import estimate, near_duplicates, registers, shingles
 from panelwave.llm.line_clean import clean_lines
@@ -78,6 +78,22 @@ def test_line_rules(spark):
         clean_lines(df.withColumn("kept", F.lit(1)), keep=("kept",))
 
 
+def test_stock_phrases_are_whole_words_and_much_of_their_line(spark):
+    prose = "The team will design in a way that keeps the catalog in order, and the blog in question says as much in every single part of it."
+    biscuit = "She took one more cookie from the plate, and the long evening went on while nobody in the old house said a word about it."
+    hindi = "यह एक सरल वाक्य है जिसमें कई शब्द हैं और यह अंत में समाप्त होता है। " * 8
+    chinese = "这 是 一个 简单 的 句子 有 很多 词 它 在 这里 结束 。 " * 8
+    menu = ["Home", "News", "Sports today", "Weather", "Shop", "About us"]
+    poem = ["Rain falls.", "Night comes;", "We wait:", "It stops."] * 3
+    texts = [prose, biscuit, hindi, chinese, "\n".join([prose, *menu, "Please sign in", biscuit]), "\n".join([prose, *poem])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = clean_lines(df).orderBy("doc_id").collect()
+    assert [r.n_lines_failed for r in rows[:4]] == [0, 0, 0, 0] and all(r.lost_share == 0 for r in rows[:4])
+    assert all(r.kept for r in rows[:2])
+    assert rows[4].clean_text == prose + "\n" + biscuit and rows[4].n_lines_failed == 7
+    assert rows[5].n_lines_failed == 8  # the repeats of the poem's lines only
+
+
 def brute_repeats(docs, span):
     starts = Counter(tuple(w[i : i + span]) for w in docs for i in range(len(w) - span + 1))
     out = []
@@ -177,6 +193,33 @@ def test_near_duplicates_against_brute_force(odd, none, spark):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_among_rows_without_own_ids(spark, monkeypatch):
+    """Null and shared ids: right groups, and each text is read as often as its row, not as often as
+    rows of the same id."""
+    from panelwave.llm import hyperminhash
+
+    texts = []
+    for i in range(400):
+        words = [f"n{i // 2}x{j}" for j in range(40)] + [f"t{i % 2}"]
+        texts.append(((None, 7)[i // 200], " ".join(words)))
+    noted = f"{tempfile.mkdtemp(dir='/tmp', prefix='run-')}/rows"
+    plain = hyperminhash.shingles
+
+    def counted(column, *more):
+        with open(noted, "a") as f:
+            f.write(f"{len(column)}\n")
+        return plain(column, *more)
+
+    monkeypatch.setattr(hyperminhash, "shingles", counted)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = near_duplicates(df.withColumn("t", F.col("text")), carry=("t",), with_label=True).collect()
+    group = {}
+    for r in rows:
+        group.setdefault(r.label, set()).add(r.t.rsplit(" ", 1)[0])
+    assert len(rows) == 400 and len(group) == 200 and all(len(g) == 1 for g in group.values())
+    assert sum(map(int, open(noted))) <= 2 * 400
+
+
 def test_register_estimate_is_unbiased():
     errors = []
     for trial in range(60):
@@ -293,6 +336,43 @@ def test_secrets(odd, none):
     assert summary(newer).agg(F.sum("n_hex")).first()[0] == 0
 
 
+def test_equal_rows_are_spread_over_ranking_tasks(spark, monkeypatch, tmp_path):
+    """A third of the rows are equal: their pieces share a length but no task, and none is lost."""
+    from panelwave.llm import complement_pack
+
+    kept, plain = {}, complement_pack.stored
+    monkeypatch.setattr(complement_pack, "stored", lambda df, name: kept.setdefault(name, plain(df, name)))
+    rows = [(None, "equal words")] * 1000 + [(i, f"text {i} " * (i % 7)) for i in range(2000)]
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), public_tokenizers.path("byte_bpe_50k.json"))
+    assert out.count() == 3000 and out.where("doc_id is null").count() == 1000
+    places = out.select("sequence_id", "offset", "length").orderBy("sequence_id", "offset").collect()
+    at = {}
+    for r in places:
+        assert at.get(r.sequence_id, 0) == r.offset
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 2048
+    salted = kept["pieces"].groupBy("length", F.pmod("spread", F.lit(8))).count()
+    assert salted.agg(F.max("count")).first()[0] < 1000
+
+
+def test_a_pair_of_blob_and_rule_is_scanned_once(odd, spark):
+    """First the base rules, then all of them, then more rows: the ledger gets every pair once, and
+    one pass over the texts opens all rules."""
+    texts = {text for _, text in docs_of(odd)}
+    blobs = distinct_blobs(odd)
+    assert {r.text for r in blobs.collect()} == texts and blobs.count() == len(texts)
+    _, base = find_secrets(odd, rules=BASE, blobs=blobs)
+    findings, more = find_secrets(odd, base, blobs=blobs)
+    assert base.count() == 3 * len(texts) and more.count() == (len(RULES) - 3) * len(texts)
+    assert as_counter(summary(findings).collect()) == as_counter(summary(find_secrets(odd)[0]).collect())
+    new = spark.createDataFrame([(900, "token: abcdef99"), (901, docs_of(odd)[0][1])], "doc_id long, text string")
+    both = odd.select("doc_id", "text").unionByName(new)
+    _, last = find_secrets(both, base.unionByName(more))
+    assert last.count() == len(RULES) and base.unionByName(more).unionByName(last).distinct().count() == len(RULES) * (len(texts) + 1)
+    plan = scan_blobs(distinct_blobs(new).withColumn("known", F.array(F.lit("hex:1"))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "Union" not in plan and "InArrow" not in plan
+
+
 def test_redaction(odd):
     found, _ = find_secrets(odd.where("doc_id = 12"))
     text = odd.where("doc_id = 12").join(found, "doc_id").select(redacted(F.col("text"), F.col("found"))).first()[0]
