@@ -8,6 +8,7 @@ over a sequence whose length follows from the parameters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import pi
 
 from pyspark.sql import Column, functions as F
@@ -34,45 +35,52 @@ HALVINGS, LOWEST, HIGHEST = 64, -30.0, 50.0
 
 def ln_gamma(z: Column) -> Column:
     """Log of the gamma function for z >= 1/2."""
-    series = F.lit(LANCZOS[0])
-    for i, c in enumerate(LANCZOS[1:], 1):
-        series = series + F.lit(c) / (z - 1 + i)
+    terms = F.transform(F.expr(f"array({', '.join(f'{c!r}D' for c in LANCZOS[1:])})"), lambda c, i: c / (z + i))
+    series = F.aggregate(terms, F.lit(LANCZOS[0]), lambda a, b: a + b)
     t = z - 1 + (LANCZOS_G + 0.5)
     return 0.5 * F.ln(F.lit(2 * pi)) + (z - 0.5) * F.ln(t) - t + F.ln(series)
 
 
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of named values: each is evaluated once, however often it is used."""
+    named = F.struct(*[v.alias(name) for name, v in values.items()])
+    return F.get(F.transform(F.array(named), body), F.lit(0))
+
+
+def _apart_from_zero(v: Column) -> Column:
+    return F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
+
+
 def _fraction(a: Column, b: Column, x: Column) -> Column:
     """Continued fraction of the incomplete beta function."""
-    keep = lambda v: F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
     steps = F.sequence(F.lit(1), (60 + 6 * F.sqrt(F.greatest(a, b))).cast("int"))
-    d0 = 1 / keep(1 - (a + b) * x / (a + 1))
+    d0 = 1 / _apart_from_zero(1 - (a + b) * x / (a + 1))
     start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
 
     def half(acc: Column, factor: Column) -> Column:
-        d = 1 / keep(1 + factor * acc["d"])
-        c = keep(1 + factor / acc["c"])
-        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+        c, d = _apart_from_zero(1 + factor / acc["c"]), 1 / _apart_from_zero(1 + factor * acc["d"])
+        return _let({"c": c, "d": d}, lambda s: F.struct(s["c"], s["d"], (acc["h"] * s["d"] * s["c"]).alias("h")))
 
     def step(acc: Column, m: Column) -> Column:
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        # an inner aggregate over one element names the value of the even step
-        return F.aggregate(F.array(F.lit(0)), half(acc, even), lambda mid, _: half(mid, odd))
+        return _let({"mid": half(acc, even), "odd": odd}, lambda s: half(s["mid"], s["odd"]))
 
     return F.aggregate(steps, start, step)["h"]
 
 
 def _beta(a: Column, b: Column, x: Column, y: Column) -> Column:
     """Regularised incomplete beta function at x = 1 - y, for a and b of at least 1/2."""
-    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(y))
-    low = front * _fraction(a, b, x) / a
-    high = 1 - front * _fraction(b, a, y) / b
-    return F.when(x <= 0, F.lit(0.0)).when(y <= 0, F.lit(1.0)).when(x < (a + 1) / (a + b + 2), low).otherwise(high)
+    turned = x >= (a + 1) / (a + b + 2)  # there the fraction of the other tail converges faster
+    pick = lambda p, q: F.when(turned, q).otherwise(p)
 
+    def value(s: Column) -> Column:
+        a, b, x, y = (s[c] for c in "abxy")
+        front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(y))
+        part = F.when(x <= 0, F.lit(0.0)).otherwise(front * _fraction(a, b, x) / a)
+        return F.when(s["turned"], 1 - part).otherwise(part)
 
-def _tail(t: Column, df: Column) -> Column:
-    whole = df + t * t
-    return _beta(df / 2, F.lit(0.5), df / whole, t * t / whole)
+    return _let({"a": pick(a, b), "b": pick(b, a), "x": pick(x, y), "y": pick(y, x), "turned": turned}, value)
 
 
 def t_p_value(t: Column, df: Column) -> Column:
@@ -83,19 +91,21 @@ def t_p_value(t: Column, df: Column) -> Column:
     """
     size = F.abs(t).cast("double")
     carried = size * (1 + (1 / F.lit(LARGE_DF) - 1 / df) * (size * size + 1) / 4)
-    return F.when(df >= 1, F.when(df > LARGE_DF, _tail(carried, F.lit(LARGE_DF))).otherwise(_tail(size, df)))
+    given = {"t": F.when(df > LARGE_DF, carried).otherwise(size), "n": F.least(df.cast("double"), F.lit(LARGE_DF))}
+
+    def tail(s: Column) -> Column:
+        square, n = s["t"] * s["t"], s["n"]
+        return _beta(n / 2, F.lit(0.5), n / (n + square), square / (n + square))
+
+    return F.when((df >= 1) & t.isNotNull(), _let(given, tail))
 
 
 def t_quantile(confidence: Column, df: Column) -> Column:
     """t with P(|T| < t) = confidence, by halving an interval of log2(t); NULL unless df >= 1."""
-    start = F.struct(F.lit(LOWEST).alias("lo"), F.lit(HIGHEST).alias("hi"))
+    widths = F.transform(F.sequence(F.lit(1), F.lit(HALVINGS)), lambda k: F.lit(HIGHEST - LOWEST) / F.pow(F.lit(2.0), k))
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        left = 1 - t_p_value(F.pow(F.lit(2.0), mid), df) < confidence
-        return F.struct(
-            F.when(left, mid).otherwise(acc["lo"]).alias("lo"), F.when(left, acc["hi"]).otherwise(mid).alias("hi")
-        )
+    def halve(low: Column, width: Column) -> Column:
+        inside = 1 - t_p_value(F.pow(F.lit(2.0), low + width), df) < confidence
+        return F.when(inside, low + width).otherwise(low)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve)
-    return F.when(df >= 1, F.pow(F.lit(2.0), (end["lo"] + end["hi"]) / 2))
+    return F.when(df >= 1, F.pow(F.lit(2.0), F.aggregate(widths, F.lit(LOWEST), halve)))
