@@ -1,5 +1,9 @@
 """Aggregations of group-time effects, with standard errors that include the estimated
-cohort shares, and simultaneous bands."""
+cohort shares, and simultaneous bands.
+
+Effects, components and draws are small arrays, whose size the years and the number of draws
+bound; the passes over the units behind them are in ``att`` and ``covariates``.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-from panelwave.operators.frames import stack
-from panelwave.plans.att import Combined, Effects
-from panelwave.session import local_table, settle
+from panelwave.plans.att import Cell, Combined, Effects, Shift, Weights
+from panelwave.session import local_table
 
 KINDS = ("simple", "dynamic", "dynamic_balanced", "group", "calendar")
 OVERALL = "overall"
+ROWS = "egt int, att double, se double, crit double, lo double, hi double"
 
 
 def z_value(alpha: float) -> float:
@@ -30,17 +35,15 @@ class Aggregate:
     effects: Effects
     table: DataFrame
     overall: DataFrame
-    combined: Combined | None
+    combined: Combined
     balance_e: int | None
 
     def covariances(self) -> DataFrame:
         """(comp1, comp2, v) of the components, among them the overall effect."""
-        combined = self.combined
-        if combined is None:
-            combined = self.effects.combine(*component_weights(self.effects, self.kind, self.balance_e))
-        cov = combined.covariances()
-        last = lambda c: F.element_at(F.split(F.col(c), "[|]"), -1)
-        return cov.select(last("comp1").alias("comp1"), last("comp2").alias("comp2"), "v")
+        cov = self.combined.covariance()
+        mine = [(i, comp) for i, (kind, comp) in enumerate(self.combined.names) if kind == self.kind]
+        rows = [(a, b, float(cov[i, j])) for i, a in mine for j, b in mine]
+        return local_table(self.effects.spark, rows, "comp1 string, comp2 string, v double")
 
 
 def _enters(g: int, t: int, kind: str, period: tuple[int, int], balance_e: int) -> bool:
@@ -66,22 +69,17 @@ def lost_cells(effects: Effects, kind: str, balance_e: int) -> list[tuple[int, i
     return lost
 
 
-def _kept_cells(effects: Effects, kind: str, balance_e: int) -> DataFrame:
-    """Usable cells of an aggregation with event time ``e`` and cohort share ``pg``."""
+def _kept_cells(effects: Effects, kind: str, balance_e: int) -> list[Cell]:
+    """Usable cells of an aggregation."""
     lost_cells(effects, kind, balance_e)
-    lo, hi = effects.spec.period
-    shares = effects.cohorts().select(F.col("cohort").alias("g"), "pg")
-    cells = effects.table.filter("cell_status = 'ok'").select("g", "t", "att").join(shares, "g")
-    cells = cells.withColumn("e", F.col("t") - F.col("g"))
-    if kind == "dynamic_balanced":
-        return cells.filter(
-            (hi - F.col("g") >= balance_e) & F.col("e").between(balance_e - (hi - lo), balance_e)
-        )
-    return cells if kind == "dynamic" else cells.filter("e >= 0")
+    period = effects.spec.period
+    return [c for c in effects.cells if c.cell_status == "ok" and _enters(c.g, c.t, kind, period, balance_e)]
 
 
-def component_weights(effects: Effects, kind: str, balance_e: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Weights (comp, g, t, w) and share terms (comp, cohort, h) of all components of an
+def component_weights(
+    effects: Effects, kind: str, balance_e: int | None = None
+) -> tuple[dict[str, Weights], dict[str, Shift]]:
+    """Weights of the cells and share terms of the cohorts, for all components of an
     aggregation, the overall effect among them.
 
     A component with share weights is sum(pg * ATT) / sum(pg).  Estimating the shares
@@ -91,77 +89,78 @@ def component_weights(effects: Effects, kind: str, balance_e: int | None = None)
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}, not {kind!r}")
     cells = _kept_cells(effects, kind, effects.spec.balance_e if balance_e is None else balance_e)
-    comp = {
-        "simple": F.lit(OVERALL),
-        "dynamic": F.col("e").cast("string"),
-        "dynamic_balanced": F.col("e").cast("string"),
-        "calendar": F.col("t").cast("string"),
-        "group": F.col("g").cast("string"),
+    place = {
+        "simple": lambda c: OVERALL,
+        "dynamic": lambda c: str(c.t - c.g),
+        "dynamic_balanced": lambda c: str(c.t - c.g),
+        "calendar": lambda c: str(c.t),
+        "group": lambda c: str(c.g),
     }[kind]
-    cells = cells.withColumn("comp", comp)
+    parts: dict[str, list[Cell]] = {}
+    for c in cells:
+        parts.setdefault(place(c), []).append(c)
+    weights: dict[str, dict[tuple[int, int], float]] = {}
+    shift: dict[str, dict[int, float]] = {}
     if kind == "group":
-        return _group_weights(cells)
-
-    totals = cells.groupBy("comp").agg(
-        F.sum("pg").alias("s"), (F.sum(F.col("pg") * F.col("att")) / F.sum("pg")).alias("theta")
-    )
-    parts = cells.join(totals, "comp")
-    weights = parts.select("comp", "g", "t", (F.col("pg") / F.col("s")).alias("w"))
-    shift = parts.groupBy("comp", F.col("g").alias("cohort")).agg(
-        F.sum((F.col("att") - F.col("theta")) / F.col("s")).alias("h")
-    )
-    if kind == "simple":
+        _group_weights(effects, parts, weights, shift)
         return weights, shift
-    averaged = F.col("comp").cast("int") >= 0 if kind != "calendar" else F.lit(True)
-    n = totals.filter(averaged).agg(F.count(F.lit(1))).scalar()
-    w_all = weights.filter(averaged).groupBy("g", "t").agg((F.sum("w") / n).alias("w"))
-    h_all = shift.filter(averaged).groupBy("cohort").agg((F.sum("h") / n).alias("h"))
-    return (
-        weights.unionByName(w_all.withColumn("comp", F.lit(OVERALL))),
-        shift.unionByName(h_all.withColumn("comp", F.lit(OVERALL))),
-    )
-
-
-def _group_weights(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    for comp, mine in parts.items():
+        s = sum(effects.share(c.g) for c in mine)
+        theta = sum(effects.share(c.g) * c.att for c in mine) / s
+        weights[comp] = {(c.g, c.t): effects.share(c.g) / s for c in mine}
+        shift[comp] = {}
+        for c in mine:
+            shift[comp][c.g] = shift[comp].get(c.g, 0.0) + (c.att - theta) / s
+    if kind != "simple":
+        averaged = [comp for comp in parts if kind == "calendar" or int(comp) >= 0]
+        for out in (weights, shift):
+            total: dict = {}
+            for comp in averaged:
+                for key, value in out[comp].items():
+                    total[key] = total.get(key, 0.0) + value / len(averaged)
+            out[OVERALL] = total
+    return weights, shift
+
+
+def _group_weights(effects: Effects, parts: dict[str, list[Cell]], weights: dict, shift: dict) -> None:
     """Within a cohort a plain mean over time; overall, cohort-share weights."""
-    groups = cells.groupBy("comp", "g").agg(
-        F.avg("att").alias("theta"), F.max("pg").alias("pg"), F.count(F.lit(1)).alias("m")
-    )
-    s = groups.agg(F.sum("pg")).scalar()
-    theta = groups.agg(F.sum(F.col("pg") * F.col("theta")) / F.sum("pg")).scalar()
-    parts = cells.select("comp", "g", "t").join(groups.select("g", "pg", "m"), "g")
-    within = parts.select("comp", "g", "t", (1 / F.col("m")).alias("w"))
-    overall = parts.select(F.lit(OVERALL).alias("comp"), "g", "t", (F.col("pg") / s / F.col("m")).alias("w"))
-    shift = groups.select(
-        F.lit(OVERALL).alias("comp"), F.col("g").alias("cohort"), ((F.col("theta") - theta) / s).alias("h")
-    )
-    return within.unionByName(overall), shift
-
-
-def _qualified(frames: dict[str, DataFrame]) -> DataFrame:
-    """Component tables of several aggregations in one, as "kind|component"."""
-    name = lambda kind: F.concat(F.lit(f"{kind}|"), F.col("comp"))
-    return stack(*[df.withColumn("comp", name(kind)) for kind, df in frames.items()])
-
-
-def _split() -> tuple[F.Column, F.Column]:
-    parts = F.split(F.col("comp"), "[|]")
-    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    share = {comp: effects.share(mine[0].g) for comp, mine in parts.items()}
+    means = {comp: sum(c.att for c in mine) / len(mine) for comp, mine in parts.items()}
+    s = sum(share.values())
+    theta = sum(share[comp] * means[comp] for comp in parts) / s if s else 0.0
+    overall, term = {}, {}
+    for comp, mine in parts.items():
+        weights[comp], shift[comp] = {(c.g, c.t): 1 / len(mine) for c in mine}, {}
+        overall |= {(c.g, c.t): share[comp] / s / len(mine) for c in mine}
+        term[mine[0].g] = (means[comp] - theta) / s
+    weights[OVERALL], shift[OVERALL] = overall, term
+
+
+def _draw_scale(draws: np.ndarray) -> np.ndarray:
+    """Robust spread of the multiplier sums of each component."""
+    iqr_to_sd = NormalDist().inv_cdf(0.75) - NormalDist().inv_cdf(0.25)
+    low, high = np.quantile(draws, [0.25, 0.75], axis=0) if draws.shape[1] else (np.zeros(0), np.zeros(0))
+    return (high - low) / iqr_to_sd
 
 
-def _draw_scale(draws: DataFrame) -> DataFrame:
-    """(comp, sigma): robust spread of the multiplier sums of each component."""
-    iqr_to_sd = NormalDist().inv_cdf(0.75) - NormalDist().inv_cdf(0.25)
-    spread = F.percentile("r", F.lit(0.75)) - F.percentile("r", F.lit(0.25))  # one value per draw
-    return draws.groupBy("comp").agg((spread / iqr_to_sd).alias("sigma"))
+def _band_crit(draws: np.ndarray, scale: np.ndarray, alpha: float) -> float | None:
+    """Critical value of a simultaneous band over components with these draws."""
+    moves = scale > 1e-12
+    if not moves.any():
+        return None
+    return float(np.quantile(np.abs(draws[:, moves] / scale[moves]).max(axis=1), 1 - alpha))
 
 
-def _band_crit(draws: DataFrame, scale: DataFrame, alpha: float) -> DataFrame:
-    """(kind, crit): critical value of a simultaneous band over the components of a kind."""
-    kind, part = _split()
-    parts = draws.join(scale.filter("sigma > 1e-12"), "comp").filter(part != OVERALL)
-    largest = parts.groupBy(kind.alias("kind"), "draw").agg(F.max(F.abs(F.col("r") / F.col("sigma"))).alias("m"))
-    return largest.groupBy("kind").agg(F.percentile("m", F.lit(1 - alpha)).alias("crit"))
+def _combined(effects: Effects, kinds: Sequence[str], balance_e: int | None) -> tuple[Combined, list[float]]:
+    """All components of several aggregations, named (kind, component), and their effects."""
+    names, weights, shift = [], [], []
+    for kind in kinds:
+        w, h = component_weights(effects, kind, balance_e)
+        for comp in w:
+            names.append((kind, comp)), weights.append(w[comp]), shift.append(h[comp])
+    att = {(c.g, c.t): c.att for c in effects.cells}
+    values = [sum(x * att[key] for key, x in w.items()) for w in weights]
+    return effects.combine(names, weights, shift), values
 
 
 def aggregate_all(
@@ -175,55 +174,64 @@ def aggregate_all(
     table is that of a simultaneous band, also when the standard errors are analytic.
     """
     spec = effects.spec
-    parts = {kind: component_weights(effects, kind, balance_e) for kind in kinds}
-    weights = _qualified({kind: w for kind, (w, _) in parts.items()})
-    shift = _qualified({kind: h for kind, (_, h) in parts.items()})
-    combined = effects.combine(weights, shift)
-    point = (
-        weights.join(effects.table.select("g", "t", "att"), ["g", "t"])
-        .groupBy("comp")
-        .agg(F.sum(F.col("w") * F.col("att")).alias("att"))
-    )
-    z = z_value(spec.alpha)
+    combined, att = _combined(effects, kinds, balance_e)
+    names, z = combined.names, z_value(spec.alpha)
     banded = spec.cband and any(kind != "simple" for kind in kinds)
     if spec.bootstrap or banded:
-        draws = settle(combined.draw_sums())
-        scale = settle(_draw_scale(draws))
+        draws = combined.draw_sums()
+        scale = _draw_scale(draws)
     if spec.bootstrap:
-        se = F.when(F.col("sigma") > 1e-12, F.col("sigma") / float(effects.n) ** 0.5)
-        errors = scale.select("comp", se.alias("se"))
-    else:
-        errors = combined.variances().select("comp", F.when(F.col("v") > 1e-20, F.sqrt("v")).alias("se"))
-    kind, part = _split()
-    rows = point.join(errors, "comp", "left").select(kind.alias("kind"), part.alias("comp"), "att", "se")
-    if banded:
-        rows = rows.join(_band_crit(draws, scale, spec.alpha), "kind", "left")
+        errors = [float(x) / effects.n**0.5 if x > 1e-12 else None for x in scale]
     else:
-        rows = rows.withColumn("crit", F.lit(None).cast("double"))
-    rows = settle(rows.withColumn("crit", F.coalesce(F.col("crit"), F.lit(z))))
-    return {
-        kind: _aggregate(effects, kind, rows.filter(F.col("kind") == kind), combined if len(parts) == 1 else None, balance_e)
-        for kind in kinds
-    }
+        errors = [float(v) ** 0.5 if v > 1e-20 else None for v in np.diag(combined.covariance())]
+    out = {}
+    for kind in kinds:
+        crit = None
+        if banded:
+            inner = [i for i, (k, comp) in enumerate(names) if k == kind and comp != OVERALL]
+            crit = _band_crit(draws[:, inner], scale[inner], spec.alpha)
+        rows = {comp: (att[i], errors[i]) for i, (k, comp) in enumerate(names) if k == kind}
+        out[kind] = _aggregate(effects, kind, rows, z if crit is None else crit, combined, balance_e)
+    return out
+
+
+def _bounds(att: float, se: float | None, m: float) -> tuple[float | None, float | None]:
+    return (None, None) if se is None else (att - m * se, att + m * se)
 
 
 def _aggregate(
-    effects: Effects, kind: str, rows: DataFrame, combined: Combined | None, balance_e: int | None
+    effects: Effects,
+    kind: str,
+    rows: dict[str, tuple[float, float | None]],
+    crit: float,
+    combined: Combined,
+    balance_e: int | None,
 ) -> Aggregate:
     z = z_value(effects.spec.alpha)
-    bounds = lambda m: [(F.col("att") - m * F.col("se")).alias("lo"), (F.col("att") + m * F.col("se")).alias("hi")]
-    inner = rows if kind == "simple" else rows.filter(F.col("comp") != OVERALL)
-    egt = F.when(F.col("comp") != OVERALL, F.col("comp")).cast("int").alias("egt")
-    table = inner.select(egt, "att", "se", "crit", *bounds(F.col("crit")))
-    overall = rows.filter(F.col("comp") == OVERALL).select("att", "se", *bounds(F.lit(z)))
+    table = [
+        (None if comp == OVERALL else int(comp), att, se, crit, *_bounds(att, se, crit))
+        for comp, (att, se) in rows.items()
+        if comp != OVERALL or kind == "simple"
+    ]
+    overall = [(att, se, *_bounds(att, se, z)) for comp, (att, se) in rows.items() if comp == OVERALL]
+    more, counted = "", "n_cells_dropped long, n_treated_dropped long"
     if effects.spec.drop_bad_cells:
         table, overall = _with_losses(effects, kind, table, overall, balance_e)
-    return Aggregate(kind, effects, table, overall, combined, balance_e)
+        more = f", {counted}"
+    spark = effects.spark
+    return Aggregate(
+        kind,
+        effects,
+        local_table(spark, table, ROWS + more),
+        local_table(spark, overall, "att double, se double, lo double, hi double" + more),
+        combined,
+        balance_e,
+    )
 
 
 def _with_losses(
-    effects: Effects, kind: str, table: DataFrame, overall: DataFrame, balance_e: int | None
-) -> tuple[DataFrame, DataFrame]:
+    effects: Effects, kind: str, table: list[tuple], overall: list[tuple], balance_e: int | None
+) -> tuple[list[tuple], list[tuple]]:
     """Adds n_cells_dropped and n_treated_dropped: cells left out of a component, and treated
     units of the cohorts they belong to.  A component that lost all its cells has a row without
     an effect."""
@@ -235,18 +243,12 @@ def _with_losses(
         cells = by.setdefault(place(g, t), {}).setdefault(g, [0, 0])
         cells[0] += 1
         cells[1] = max(cells[1], n)
-    rows = [(k, sum(c for c, _ in v.values()), sum(n for _, n in v.values())) for k, v in by.items()]
-    losses = local_table(effects.spark, rows, "egt int, n_cells_dropped long, n_treated_dropped long")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    counted = [zero("n_cells_dropped"), zero("n_treated_dropped")]
-    same = table["egt"].eqNullSafe(losses["egt"])
-    table = table.join(losses, same, "full").select(
-        F.coalesce(table["egt"], losses["egt"]).alias("egt"), *[table[c] for c in table.columns[1:]], *counted
-    )
+    losses = {k: (sum(c for c, _ in v.values()), sum(n for _, n in v.values())) for k, v in by.items()}
+    known = {row[0] for row in table}
+    table = [(*row, *losses.get(row[0], (0, 0))) for row in table]
+    table += [(k, *[None] * 5, *count) for k, count in losses.items() if k not in known]
     treated = {g: max(n for a, _, n, _ in lost if a == g) for g, *_ in lost}
-    return table, overall.withColumns(
-        {"n_cells_dropped": F.lit(len(lost)).cast("long"), "n_treated_dropped": F.lit(sum(treated.values())).cast("long")}
-    )
+    return table, [(*row, len(lost), sum(treated.values())) for row in overall]
 
 
 def aggregate(effects: Effects, kind: str, balance_e: int | None = None) -> Aggregate:
@@ -256,7 +258,9 @@ def aggregate(effects: Effects, kind: str, balance_e: int | None = None) -> Aggr
 
 def bootstrap_table(effects: Effects, kind: str) -> DataFrame:
     """(egt, se_bootstrap) of an aggregation's components, the overall effect as NULL."""
-    scale = _draw_scale(effects.combine(*component_weights(effects, kind)).draw_sums())
-    egt = F.when(F.col("comp") != OVERALL, F.col("comp")).cast("int")
-    se = F.when(F.col("sigma") > 1e-12, F.col("sigma") / float(effects.n) ** 0.5)
-    return scale.select(egt.alias("egt"), se.alias("se_bootstrap"))
+    combined, _ = _combined(effects, (kind,), None)
+    rows = [
+        (None if comp == OVERALL else int(comp), float(x) / effects.n**0.5 if x > 1e-12 else None)
+        for (_, comp), x in zip(combined.names, _draw_scale(combined.draw_sums()))
+    ]
+    return local_table(effects.spark, rows, "egt int, se_bootstrap double")

@@ -4,34 +4,55 @@ With no covariates every effect and every influence value is linear in the outco
 path of a unit, with coefficients that depend on its cohort only.  One pass over the
 units therefore gives all that is needed: per cohort, the cross products of
 (1, y_1, ..., y_T).  Cells, standard errors, all aggregations and their covariance
-follow from that table, whose size depends on the number of years alone.
+follow from these matrices, whose size depends on the number of years alone; like all tables
+of cells, components and draws they are arrays on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Hashable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwave.plans.design import MEMBER_SCHEMA, ModelSpec, cell_members, keep, unit_paths
+from panelwave.plans.design import ModelSpec, cell_members, keep, unit_paths
 from panelwave.plans.moments import gram, keyed_sums
-from panelwave.session import local_table, settle
+from panelwave.session import local_table
+
+class Cell(NamedTuple):
+    """A group-time effect; ``att`` is missing unless the status is "ok", ``se`` also in the base period."""
+
+    g: int
+    t: int
+    att: float | None
+    se: float | None
+    n_treated: int
+    n_control: int
+    cell_status: str
+
+
+CELL_SCHEMA = "g int, t int, att double, se double, n_treated long, n_control long, cell_status string"
+
+#: Coefficients of a component on the cells' influence, and on the indicators of cohorts.
+Weights = Mapping[tuple[int, int], float]
+Shift = Mapping[int, float]
 
 
 @dataclass
 class Effects:
     """Group-time effects with what is needed to combine them.
 
-    ``table`` has (g, t, att, se, n_treated, n_control, cell_status).  Components are
-    linear combinations of cells: ``weights`` (comp, g, t, w) plus a term that depends on
-    a unit's cohort, ``shift`` (comp, cohort, h), for weights that are estimated.
+    Components are linear combinations of cells: weights by (g, t) plus a term that depends on
+    a unit's cohort, for weights that are estimated.
     """
 
     spec: ModelSpec
     units: DataFrame
     sizes: dict[int, int]
-    table: DataFrame
+    cells: list[Cell]
 
     @property
     def n(self) -> int:
@@ -41,38 +62,39 @@ class Effects:
     def spark(self) -> SparkSession:
         return self.units.sparkSession
 
-    def cohorts(self) -> DataFrame:
-        rows = [(c, k, k / self.n) for c, k in sorted(self.sizes.items())]
-        return local_table(self.spark, rows, "cohort int, n_units long, pg double")
-
     @cached_property
+    def table(self) -> DataFrame:
+        """(g, t, att, se, n_treated, n_control, cell_status)."""
+        return local_table(self.spark, self.cells, CELL_SCHEMA)
+
+    def share(self, g: int) -> float:
+        return self.sizes[g] / self.n
+
+    @property
     def bad_cells(self) -> list[tuple[int, int, int, str]]:
         """(g, t, n_treated, cell_status) of the cells without an estimate."""
-        rows = self.table.filter("cell_status <> 'ok'").select("g", "t", "n_treated", "cell_status").collect()
-        return sorted((r["g"], r["t"], r["n_treated"] or 0, r["cell_status"]) for r in rows)
+        return sorted((c.g, c.t, c.n_treated or 0, c.cell_status) for c in self.cells if c.cell_status != "ok")
 
     def influence(self) -> DataFrame:
         """(unit, g, t, psi) for the units of each cell; psi is 0 for all other units."""
         raise NotImplementedError
 
-    def combine(self, weights: DataFrame, shift: DataFrame) -> Combined:
+    def combine(self, names: Sequence[Hashable], weights: Sequence[Weights], shift: Sequence[Shift]) -> Combined:
         """The components of an aggregation, ready for their second moments and draws."""
         raise NotImplementedError
 
 
 class Combined:
-    """Influence of a set of components."""
+    """Influence of a set of components, in the order of ``names``."""
 
-    def variances(self) -> DataFrame:
-        """(comp, v): sum of squared influence divided by n^2."""
-        raise NotImplementedError
+    names: Sequence[Hashable]
 
-    def covariances(self) -> DataFrame:
-        """(comp1, comp2, v): the same for all pairs of components."""
+    def covariance(self) -> np.ndarray:
+        """Sums of products of the influence of all pairs of components, divided by n^2."""
         raise NotImplementedError
 
-    def draw_sums(self) -> DataFrame:
-        """(draw, comp, r): multiplier sums of the influence over sqrt(n)."""
+    def draw_sums(self) -> np.ndarray:
+        """Multiplier sums of the influence over sqrt(n), a row per draw."""
         raise NotImplementedError
 
 
@@ -83,83 +105,65 @@ def cohort_counts(units: DataFrame) -> dict[int, int]:
 
 @dataclass
 class MomentEffects(Effects):
-    moments: DataFrame = field(default=None, repr=False)
-    cells: DataFrame = field(default=None, repr=False)
-
-    def _members(self) -> DataFrame:
-        """Per cell and member cohort: scale and mean of psi = scale * (dy - mean)."""
-        rows = cell_members(list(self.sizes), self.spec)
-        members = local_table(self.spark, rows, MEMBER_SCHEMA).filter("t <> b")
-        side = F.when(F.col("d") == 1, self.n / F.col("n_treated")).otherwise(-self.n / F.col("n_control"))
-        mean = F.when(F.col("d") == 1, F.col("m_treated")).otherwise(F.col("m_control"))
-        stats = self.cells.filter("cell_status = 'ok'").drop("b")
-        return members.join(stats, ["g", "t"]).select(
-            "cohort", "g", "t", "b", side.alias("scale"), mean.alias("mean")
-        )
+    #: cross products of (1, y_1 - y_1, ..., y_T - y_1) by cohort, and per cell the two means
+    moments: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
+    means: dict[tuple[int, int], tuple[float, float]] = field(default_factory=dict, repr=False)
+
+    def _members(self) -> list[tuple[int, int, int, int, float, float]]:
+        """(cohort, g, t, b, scale, mean) of psi = scale * (dy - mean), per cell and member cohort."""
+        at = {(c.g, c.t): c for c in self.cells if c.cell_status == "ok"}
+        out = []
+        for cohort, g, t, b, _, d in cell_members(list(self.sizes), self.spec):
+            if t != b and (g, t) in at:
+                scale = self.n / at[g, t].n_treated if d else -self.n / at[g, t].n_control
+                out.append((cohort, g, t, b, scale, self.means[g, t][d]))
+        return out
 
     def influence(self) -> DataFrame:
         lo = self.spec.period[0]
         dy = F.get("y", F.col("t") - lo) - F.get("y", F.col("b") - lo)
-        rows = self.units.join(settle(self._members()), "cohort")
+        members = local_table(self.spark, self._members(), "cohort int, g int, t int, b int, scale double, mean double")
+        rows = self.units.join(members, "cohort")
         return rows.select("unit", "g", "t", (F.col("scale") * (dy - F.col("mean"))).alias("psi"))
 
-    def _loadings(self, weights: DataFrame, shift: DataFrame) -> DataFrame:
-        """Influence of each component as coefficients on (1, y_1, ..., y_T), by cohort."""
-        lo = self.spec.period[0]
-        parts = F.array(
-            F.struct((F.col("t") - lo + 1).alias("idx"), F.col("scale").alias("c")),
-            F.struct((F.col("b") - lo + 1).alias("idx"), (-F.col("scale")).alias("c")),
-            F.struct(F.lit(0).alias("idx"), (-F.col("scale") * F.col("mean")).alias("c")),
-        )
-        cells = self._members().select("cohort", "g", "t", F.inline(parts))
-        weighted = cells.join(weights, ["g", "t"]).select(
-            "comp", "cohort", "idx", (F.col("w") * F.col("c")).alias("c")
-        )
-        constant = shift.select("comp", "cohort", F.lit(0).alias("idx"), F.col("h").alias("c"))
-        return weighted.unionByName(constant).groupBy("comp", "cohort", "idx").agg(F.sum("c").alias("c"))
-
     @cached_property
-    def path_draws(self) -> DataFrame:
-        """Multiplier sums of the outcome paths by cohort; every aggregation uses them."""
-        spec = self.spec
+    def path_draws(self) -> dict[int, np.ndarray]:
+        """Multiplier sums of the outcome paths by cohort (draws x p); every aggregation uses them."""
+        spec, p = self.spec, len(self.spec.years) + 1
         z = self.units.select("unit", "cohort", _path().alias("z"))
-        return settle(keyed_sums(z, "z", len(spec.years) + 1, spec.draws, spec.seed, ("cohort",)))
+        return _by_cohort(keyed_sums(z, "z", p, spec.draws, spec.seed, ("cohort",)), ("draw", "idx", "q"), (spec.draws, p), 1)
 
-    def combine(self, weights: DataFrame, shift: DataFrame) -> Combined:
-        return Loadings(self, settle(self._loadings(weights, shift)))
+    def combine(self, names: Sequence[Hashable], weights: Sequence[Weights], shift: Sequence[Shift]) -> Combined:
+        """Influence of each component as coefficients on (1, y_1, ..., y_T), by cohort."""
+        lo, p = self.spec.period[0], len(self.spec.years) + 1
+        load = {c: np.zeros((len(names), p)) for c in self.sizes}
+        w = {key: np.array([x.get(key, 0.0) for x in weights]) for key in {k for x in weights for k in x}}
+        for cohort, g, t, b, scale, mean in self._members():
+            if (g, t) in w:
+                load[cohort][:, t - lo + 1] += scale * w[g, t]
+                load[cohort][:, b - lo + 1] -= scale * w[g, t]
+                load[cohort][:, 0] -= scale * mean * w[g, t]
+        for k, terms in enumerate(shift):
+            for cohort, h in terms.items():
+                load[cohort][k, 0] += h
+        return Loadings(list(names), self, load)
 
 
 @dataclass
 class Loadings(Combined):
-    """Components as coefficients (comp, cohort, idx, c) on (1, y_1, ..., y_T)."""
+    """Components as coefficients on (1, y_1, ..., y_T), a matrix components x p for each cohort."""
 
+    names: list
     effects: MomentEffects
-    load: DataFrame
-
-    def _half(self) -> DataFrame:
-        """Coefficients times the cohort's moment matrix: (comp, cohort, idx, u)."""
-        load, moments = self.load, self.effects.moments
-        left = load.join(moments, (load["cohort"] == moments["cohort"]) & (load["idx"] == moments["i"]))
-        return left.groupBy("comp", load["cohort"].alias("cohort"), F.col("j").alias("idx")).agg(
-            F.sum(F.col("c") * F.col("m")).alias("u")
-        )
+    load: dict[int, np.ndarray]
 
-    def variances(self) -> DataFrame:
-        both = self._half().join(self.load, ["comp", "cohort", "idx"])
-        return both.groupBy("comp").agg(self._over_n2())
+    def covariance(self) -> np.ndarray:
+        total = sum(a @ self.effects.moments[c] @ a.T for c, a in self.load.items())
+        return total / float(self.effects.n) ** 2
 
-    def covariances(self) -> DataFrame:
-        half = self._half().withColumnRenamed("comp", "comp1")
-        both = half.join(self.load.withColumnRenamed("comp", "comp2"), ["cohort", "idx"])
-        return both.groupBy("comp1", "comp2").agg(self._over_n2())
-
-    def _over_n2(self) -> F.Column:
-        return (F.sum(F.col("u") * F.col("c")) / float(self.effects.n) ** 2).alias("v")
-
-    def draw_sums(self) -> DataFrame:
-        rows = self.effects.path_draws.join(self.load, ["cohort", "idx"])
-        total = F.sum(F.col("q") * F.col("c")) / float(self.effects.n) ** 0.5
-        return rows.groupBy("draw", "comp").agg(total.alias("r"))
+    def draw_sums(self) -> np.ndarray:
+        drawn = self.effects.path_draws
+        return sum(drawn[c] @ a.T for c, a in self.load.items()) / float(self.effects.n) ** 0.5
 
 
 def _path() -> F.Column:
@@ -169,71 +173,45 @@ def _path() -> F.Column:
     return F.concat(F.array(F.lit(1.0)), F.transform("y", lambda v: v - first))
 
 
-def _cell_stats(moments: DataFrame, spec: ModelSpec, sizes: dict[int, int]) -> DataFrame:
-    """Counts, means and mean squared deviations on both sides of every cell."""
-    lo, p = spec.period[0], len(spec.years) + 1
-    matrix = moments.groupBy("cohort").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((F.col("i") * p + F.col("j")).alias("k"), "m"))),
-            lambda s: s["m"],
-        ).alias("mm")
-    )
-    spark = moments.sparkSession
-    members = local_table(spark, cell_members(list(sizes), spec), MEMBER_SCHEMA)
-    t, b = F.col("t") - lo + 1, F.col("b") - lo + 1
-    at = lambda i, j: F.get("mm", i * p + j)
-    rows = members.join(matrix, "cohort").select(
-        "g",
-        "t",
-        "b",
-        "d",
-        at(F.lit(0), F.lit(0)).alias("n"),
-        (at(F.lit(0), t) - at(F.lit(0), b)).alias("s"),
-        (at(t, t) + at(b, b) - 2 * at(t, b)).alias("q"),
-    )
-    total = lambda c, d: F.sum(F.when(F.col("d") == d, F.col(c)).otherwise(0.0))
-    sums = rows.groupBy("g", "t", "b").agg(
-        *[total(c, d).alias(f"{c}{d}") for c in ("n", "s", "q") for d in (0, 1)]
-    )
-    mean = lambda d: F.try_divide(F.col(f"s{d}"), F.col(f"n{d}"))
-    var = lambda d: F.greatest(F.try_divide(F.col(f"q{d}"), F.col(f"n{d}")) - mean(d) * mean(d), F.lit(0.0))
-    return sums.select(
-        "g",
-        "t",
-        "b",
-        F.col("n1").cast("long").alias("n_treated"),
-        F.col("n0").cast("long").alias("n_control"),
-        mean(1).alias("m_treated"),
-        mean(0).alias("m_control"),
-        (F.try_divide(var(1), F.col("n1")) + F.try_divide(var(0), F.col("n0"))).alias("v"),
-    )
+def _by_cohort(
+    rows: DataFrame, names: tuple[str, str, str], shape: tuple[int, int], first: int = 0
+) -> dict[int, np.ndarray]:
+    """A matrix for each cohort from rows (cohort, i, j, value); i counts from ``first``."""
+    table = rows.toArrow()
+    cohort, i, j, value = (np.asarray(table[c]) for c in ("cohort", *names))
+    out = {int(c): np.zeros(shape) for c in np.unique(cohort)}
+    for c, matrix in out.items():
+        mine = cohort == c
+        matrix[i[mine] - first, j[mine]] = value[mine]
+    return out
 
 
-def status_column(spec: ModelSpec) -> F.Column:
-    return (
-        F.when(F.col("n_control") == 0, "no_control")
-        .when(F.col("n_treated") < spec.min_treated, "few_treated")
-        .otherwise("ok")
-    )
+def cell_status(spec: ModelSpec, n_treated: int, n_control: int) -> str:
+    return "no_control" if not n_control else "few_treated" if n_treated < spec.min_treated else "ok"
 
 
 def att_gt_moments(panel: DataFrame, spec: ModelSpec) -> MomentEffects:
     """Group-time effects without covariates, for either control group and base period."""
     units = keep(unit_paths(panel, spec.but(covariates=())))
-    moments = settle(gram(units.select("cohort", _path().alias("z")), "z", ("cohort",)))
-    sizes = {r["cohort"]: int(r["m"]) for r in moments.filter("i = 0 and j = 0").select("cohort", "m").collect()}
-    cells = settle(_cell_stats(moments, spec, sizes).withColumn("cell_status", status_column(spec)))
-    ok = F.col("cell_status") == "ok"
-    table = cells.select(
-        "g",
-        "t",
-        F.when(ok, F.col("m_treated") - F.col("m_control")).alias("att"),
-        F.when(ok & (F.col("t") != F.col("b")), F.sqrt("v")).alias("se"),
-        "n_treated",
-        "n_control",
-        "cell_status",
-    )
-    return MomentEffects(spec, units, sizes, table, moments, cells)
+    p, lo = len(spec.years) + 1, spec.period[0]
+    moments = _by_cohort(gram(units.select("cohort", _path().alias("z")), "z", ("cohort",)), ("i", "j", "m"), (p, p))
+    sizes = {c: round(float(m[0, 0])) for c, m in moments.items()}
+
+    sums: dict[tuple[int, int, int], np.ndarray] = {}  # rows: control, treated; columns: n, sum and sum of squares of dy
+    for cohort, g, t, b, _, d in cell_members(list(sizes), spec):
+        m, i, j = moments[cohort], t - lo + 1, b - lo + 1
+        total = sums.setdefault((g, t, b), np.zeros((2, 3)))
+        total[d] += m[0, 0], m[0, i] - m[0, j], m[i, i] + m[j, j] - 2 * m[i, j]
+    cells, means = [], {}
+    for (g, t, b), ((n0, s0, q0), (n1, s1, q1)) in sums.items():
+        status, att, se = cell_status(spec, round(n1), round(n0)), None, None
+        if status == "ok":
+            m0, m1 = s0 / n0, s1 / n1
+            att, means[g, t] = float(m1 - m0), (float(m0), float(m1))
+            spread = max(q0 / n0 - m0 * m0, 0.0) / n0 + max(q1 / n1 - m1 * m1, 0.0) / n1
+            se = float(spread**0.5) if t != b else None
+        cells.append(Cell(g, t, att, se, round(n1), round(n0), status))
+    return MomentEffects(spec, units, sizes, cells, moments, means)
 
 
 def did_2x2(panel: DataFrame, spec: ModelSpec, g: int, pre: int, post: int) -> DataFrame:

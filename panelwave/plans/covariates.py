@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelwave.plans.att import Combined, Effects, att_gt_moments, cohort_counts
+from panelwave.plans.att import Cell, Combined, Effects, Shift, Weights, att_gt_moments, cohort_counts
 from panelwave.plans.design import ModelSpec, cell_members, keep, unit_paths
 from panelwave.plans.moments import gram, keyed_sums
 from panelwave.session import local_table
@@ -306,12 +306,11 @@ class ScoreEffects(Effects):
 
         return units.mapInArrow(run, f"unit {units.schema['unit'].dataType.simpleString()}, g int, t int, psi double")
 
-    def combine(self, weights: DataFrame, shift: DataFrame) -> Combined:
+    def combine(self, names: Sequence[Hashable], weights: Sequence[Weights], shift: Sequence[Shift]) -> Combined:
         """Per unit, the influence of each component as an array: weighted sums over the unit's cells
         and the share term of its cohort.  The rows stay where they are; the vectors are kept, as
         errors and draws both read them."""
-        loads, names = _by_component(weights.select("comp", "g", "t", "w").collect())
-        shares, _ = _by_component(shift.select("comp", "cohort", "h").collect(), names)
+        loads, shares = ({k: np.array([x.get(k, 0.0) for x in xs]) for k in {k for x in xs for k in x}} for xs in (weights, shift))
         split = self.design.cells(self._members())
         value = influence_function(self.spec.est, self.n, self.fits)
         units, size = self.design.units, len(names)
@@ -328,51 +327,35 @@ class ScoreEffects(Effects):
                     if key in loads:
                         total[rows] += value(key, d, dy, x)[:, None] * loads[key]
                 cohort = np.asarray(batch.column("cohort"))
-                for (c,), h in shares.items():
+                for c, h in shares.items():
                     total[cohort == c] += h
                 vec = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * size), pa.array(total.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("unit").cast(kind), vec], names=["unit", "vec"])
 
         vectors = units.mapInArrow(run, f"unit {units.schema['unit'].dataType.simpleString()}, vec array<double>")
-        return UnitScores(self, keep(vectors), names)
-
-
-def _by_component(rows: Sequence[tuple], names: list[str] | None = None) -> tuple[dict[tuple, np.ndarray], list[str]]:
-    """Coefficients (component, key ..., value) as a vector over the components for each key."""
-    names = sorted({r[0] for r in rows}) if names is None else names
-    at, out = {c: i for i, c in enumerate(names)}, {}
-    for comp, *key, value in rows:
-        out.setdefault(tuple(key), np.zeros(len(names)))[at[comp]] += value
-    return out, names
+        return UnitScores(list(names), self, keep(vectors))
 
 
 @dataclass
 class UnitScores(Combined):
     """Component influence per unit: (unit, vec) with vec in the order of ``names``."""
 
+    names: list
     effects: ScoreEffects
     vectors: DataFrame
-    names: list[str]
-
-    def _name(self, position: str) -> F.Column:
-        return F.get(F.array(*[F.lit(c) for c in self.names]), F.col(position))
-
-    def variances(self) -> DataFrame:
-        n2 = float(self.effects.n) ** 2
-        square = lambda i: F.sum(F.get("vec", F.lit(i)) * F.get("vec", F.lit(i))) / n2
-        sums = [F.struct(F.lit(c).alias("comp"), square(i).alias("v")) for i, c in enumerate(self.names)]
-        return self.vectors.agg(F.array(*sums).alias("s")).select(F.inline("s"))
 
-    def covariances(self) -> DataFrame:
-        n2 = float(self.effects.n) ** 2
-        return gram(self.vectors, "vec").select(
-            self._name("i").alias("comp1"), self._name("j").alias("comp2"), (F.col("m") / n2).alias("v")
-        )
+    def covariance(self) -> np.ndarray:
+        rows = gram(self.vectors, "vec").toArrow()  # components squared
+        out = np.zeros((len(self.names), len(self.names)))
+        out[np.asarray(rows["i"]), np.asarray(rows["j"])] = np.asarray(rows["m"])
+        return out / float(self.effects.n) ** 2
 
-    def draw_sums(self) -> DataFrame:
+    def draw_sums(self) -> np.ndarray:
         spec = self.effects.spec
-        sums = keyed_sums(self.vectors, "vec", len(self.names), spec.draws, spec.seed)
-        return sums.select("draw", self._name("idx").alias("comp"), (F.col("q") / float(self.effects.n) ** 0.5).alias("r"))
+        rows = keyed_sums(self.vectors, "vec", len(self.names), spec.draws, spec.seed).toArrow()
+        out = np.zeros((spec.draws, len(self.names)))
+        out[np.asarray(rows["draw"]) - 1, np.asarray(rows["idx"])] = np.asarray(rows["q"])
+        return out / float(self.effects.n) ** 0.5
 
 
 def _cell_rows(design: Design) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
@@ -463,7 +446,7 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
         att[key] = float(eta_t - eta_c)
         found[key] = CellFit(*start[key], at, ac, bp, float(eta_t), float(eta_c), float(n1), float(w_c))
 
-    effects = ScoreEffects(spec, design.units, design.sizes, None, design, found)
+    effects = ScoreEffects(spec, design.units, design.sizes, [], design, found)
     value = influence_function(est, n, found)
 
     def squares(key, d, dy, x):
@@ -471,17 +454,15 @@ def att_gt_covariates(panel: DataFrame, spec: ModelSpec) -> ScoreEffects:
         return [psi @ psi]
 
     errors = {key: float(total[0]) ** 0.5 / n for key, total in design.sums(effects._members(), squares).items()}
-    rows, reference = [], {}
+    reference: dict = {}
     for c, g, t, b, h, d in cell_members(list(design.sizes), spec):
         reference[g, t] = reference.get((g, t), 0) + (design.sizes[c] if d == 0 else 0)
     for c, g, t, b, h, d in cell_members(list(design.sizes), spec):
         if d == 1 and t == b:
-            rows.append((g, t, 0.0, None, design.sizes[c], reference[g, t], "ok"))
+            effects.cells.append(Cell(g, t, 0.0, None, design.sizes[c], reference[g, t], "ok"))
         elif d == 1:
             n1, n0 = cells.get((g, t), (0, 0))[:2]
-            rows.append((g, t, att.get((g, t)), errors.get((g, t)), n1, n0, status.get((g, t), "no_control")))
-    schema = "g int, t int, att double, se double, n_treated long, n_control long, cell_status string"
-    effects.table = local_table(panel.sparkSession, rows, schema)
+            effects.cells.append(Cell(g, t, att.get((g, t)), errors.get((g, t)), n1, n0, status.get((g, t), "no_control")))
     return effects
 
 
