@@ -236,8 +236,8 @@ def slots(patterns: list[tuple[Pattern, int]]) -> tuple[np.ndarray, np.ndarray,
 # -------------------------------------------------------------------------------------- operator
 
 
-#: Pieces that one ranking task takes, about, if all have the same length.
-_RANKED = 1_000_000
+#: Bytes of pieces that one ranking task takes, about.
+_RANK_BYTES = 64 << 20
 
 
 def pack(
@@ -290,7 +290,8 @@ def pack(
     key, first, offset = slots(plan(counts, limit))
 
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(parts, sum(counts.values()) // _RANKED + 1)
+    weight = sum(n * (100 + (4 * length if with_ids else 0)) for length, n in counts.items())
+    salts = max(parts, weight // _RANK_BYTES + 1)
     salted = pieces.withColumn("salt", F.pmod("spread", F.lit(salts)))
     before = (
         salted.groupBy("length", "salt")
@@ -300,7 +301,8 @@ def pack(
     )
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "start")
     ranked = (
-        salted.withColumn("nth", F.row_number().over(within) - 1)
+        salted.repartition(salts, "length", "salt")
+        .withColumn("nth", F.row_number().over(within) - 1)
         .join(before, ["length", "salt"])
         .withColumn("key", F.shiftleft("length", 44) + F.col("base") + F.col("nth"))
         .select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "key")
