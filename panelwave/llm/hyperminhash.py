@@ -167,7 +167,7 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, size: int, block_
     """Links inside groups of ``members`` (grp, cid, label, left, right) between left and right.
 
     A group is cut into blocks of about ``block_bytes`` of text on either side; every block of the
-    left meets every block of the right in a cell.  Small groups share tasks of about ``block_bytes``.
+    left meets every block of the right in a cell.  Small groups share tasks of about an eighth of that.
     """
     rows = members.join(texts, "cid")
     weight = rows.groupBy("grp").agg(
@@ -184,7 +184,7 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, size: int, block_
     # Written, so that the join below is of two exchanges (split where one group is large) or a broadcast.
     cuts = stored(cuts, "cuts")
     small = cuts.where("nl * nr = 1").agg(F.sum(F.col("wl") + F.col("wr"))).first()[0] or 0
-    tasks = small // block_bytes + 1
+    tasks = small // (block_bytes // 8) + 1  # shingles and registers take many times their text
     placed = members.join(cuts, "grp").withColumns(
         {"i": F.expr("pmod(xxhash64(cid, 1), nl)"), "j": F.expr("pmod(xxhash64(cid, 2), nr)")}
     )
