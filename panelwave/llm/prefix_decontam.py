@@ -27,20 +27,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwave.llm.common import stored
 
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: A word is a run of characters other than ASCII ones that are neither digits nor letters.
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before A-Z become lower case.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same in the form that Java scans fastest: listed characters are one look-up in a table, every
+#: range is a call.  First for texts that are ASCII only.
+_ASCII_LOWER = f"[{_DIGITS}{_LOWER}]+"
+_ANY_LOWER = rf"[{_DIGITS}{_LOWER}\x{{80}}-\x{{10FFFF}}]+"
+_ASCII_RAW = f"[{_DIGITS}{_LOWER}{_UPPER}]+"
+_ANY_RAW = rf"[{_DIGITS}{_LOWER}{_UPPER}\x{{80}}-\x{{10FFFF}}]+"
 _TEXT = ["k1", "k2"]
 
 
+def _ascii_only(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def _words(text: Column) -> Column:
     """Words of a text with A-Z in lower case (null: none)."""
     body = F.coalesce(text, F.lit(""))
-    ascii_only = F.octet_length(body) == F.length(body)  # then all upper-case letters are A-Z
-    lower = F.when(ascii_only, F.lower(body)).otherwise(F.translate(body, _UPPER, _LOWER))
-    return F.regexp_extract_all(lower, F.lit(ITEM_WORD), F.lit(0))
+    plain = F.regexp_extract_all(F.lower(body), F.lit(_ASCII_LOWER), F.lit(0))  # here only A-Z have a lower case
+    other = F.regexp_extract_all(F.translate(body, _UPPER, _LOWER), F.lit(_ANY_LOWER), F.lit(0))
+    return F.when(_ascii_only(body), plain).otherwise(other)
+
+
+def _n_words(text: Column) -> Column:
+    """Number of the words, on the text as it is."""
+    body = F.coalesce(text, F.lit(""))
+    plain, other = F.regexp_count(body, F.lit(_ASCII_RAW)), F.regexp_count(body, F.lit(_ANY_RAW))
+    return F.when(_ascii_only(body), plain).otherwise(other).cast("long")
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -57,6 +72,13 @@ def _shingles(words: Column, n: Column, size: int) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), at)).otherwise(F.array().cast("array<long>"))
 
 
+def text_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(k1, k2, w, n): the words of every text.  Texts without words stay, as a filter on n would make
+    Spark look for the words once more."""
+    body = F.col(f"`{text}`")
+    return docs.select(*_text_key(body), _words(body).alias("w")).withColumn("n", F.size("w"))
+
+
 def item_windows(items: DataFrame, span: int = 10, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(win, words, len, item): windows of every item; ``win`` is the window's words joined by a space."""
     rows = items.select(
@@ -85,8 +107,7 @@ def contained_windows(
     parts = stored(distinct.select("win", "len", width.alias("width"), F.posexplode(hashes).alias("off", "h")), "shingles")
     marks = stored(parts.select("h", "width").distinct(), "marks")
 
-    read = docs.select(*_text_key(F.col(f"`{text}`")), _words(F.col(f"`{text}`")).alias("w"))
-    read = read.withColumn("n", F.size("w")).where("n > 0")
+    read = text_words(docs, text)
     # The shingles of each size stand behind those of the greater sizes.
     listed = [_shingles(F.col("w"), F.col("n"), k) for k in sizes]
     listed = F.concat(*listed) if len(listed) > 1 else listed[0]
@@ -159,8 +180,7 @@ def find_contamination(
     per_text = stored(spans.join(names, _TEXT).withColumn("n_hit", _covered(F.col("spans"))), "per_text")
 
     body = F.col(f"`{text}`")
-    n_words = F.coalesce(F.regexp_count(body, F.lit(RAW_WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), *_text_key(body), n_words.alias("n_words"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), *_text_key(body), _n_words(body).alias("n_words"))
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.join(per_text, _TEXT, "left").select(

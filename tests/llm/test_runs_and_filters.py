@@ -11,7 +11,7 @@ import pytest
 
 from panelwave.llm.filter_audit import Diagram, adjacent_swaps, audit_part, failure_masks, interaction_audit
 from panelwave.llm.lyndon_runs import collapse_runs, find_runs, lyndon_array, with_planted_runs
-from panelwave.llm.prefix_decontam import find_contamination
+from panelwave.llm.prefix_decontam import _n_words, _words, find_contamination, text_words
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -197,6 +197,24 @@ def test_contamination_without_short_items_and_without_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_contamination_words_of_any_script(spark):
+    """The fast patterns find what the definition says, in ASCII texts and in others."""
+    texts = ["", "A-z 0_9", "Éa\u00a0B \u0130X", "\x7f\x80 a", "😀A😀-\U0010ffffz", "ſK \u212a k", "Tab\tnew\nline\x00nul", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", _words(F.col("text")).alias("w"), _n_words(F.col("text")).alias("n"))
+    for text, words, n in rows.collect():
+        lower = (text or "").translate({i: i + 32 for i in range(65, 91)})
+        assert words == ITEM_WORD.findall(lower)
+        assert n == len(words)
+
+
+def test_contamination_looks_for_words_once(spark):
+    """One search of a text's words for its shingles, in the branch for ASCII or in the other."""
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    listed = text_words(df).select("k1", "n", F.posexplode(F.transform("w", lambda x: F.xxhash64(x))).alias("nth", "h"))
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and "Filter" not in plan
+
+
 def test_contamination_stays_native(spark):
     items, docs = passages(random.Random(2))
     df = spark.createDataFrame(docs, "doc_id long, text string")
