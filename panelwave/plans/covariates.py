@@ -27,6 +27,8 @@ from panelwave.plans.moments import gram, keyed_sums
 from panelwave.session import local_table
 
 P_CLIP = 1 - 1e-6
+#: Units that a task of a pass takes, about.
+UNITS_PER_TASK = 4096
 
 
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
@@ -116,7 +118,10 @@ class Design:
 
 def build_design(panel: DataFrame, spec: ModelSpec) -> Design:
     """Unit table plus location and scale of each covariate.  A covariate without any
-    variation is left out and named in ``dropped``."""
+    variation is left out and named in ``dropped``.
+
+    The passes read the kept partitions together, as many tasks as the units need: the partitions
+    are those of the shuffle that made them, which may be hundreds for a few units."""
     units = keep(unit_paths(panel, spec))
     stats = []
     for j in range(len(spec.covariates)):
@@ -134,7 +139,8 @@ def build_design(panel: DataFrame, spec: ModelSpec) -> Design:
         else:
             dropped.append(name)
     flat = F.flatten(F.array(*[F.get("x", F.lit(j)) for j in kept])) if kept else F.array().cast("array<double>")
-    units = units.withColumn("x", flat)
+    tasks = -(-sums["n"] // (len(spec.years) * UNITS_PER_TASK))  # n counts the years of the units
+    units = units.withColumn("x", flat).coalesce(tasks)
     return Design(spec, units, cohort_counts(units), centre, spread, dropped)
 
 

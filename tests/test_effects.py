@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwave.plans import eventstudy, sensitivity
+from panelwave.plans import covariates, eventstudy, sensitivity
 from panelwave.plans.aggregate import KINDS, aggregate, z_value
 from panelwave.plans.covariates import att_gt, build_design, propensity_table
 from panelwave.plans.design import ModelSpec, prepare, unit_paths
@@ -163,6 +163,24 @@ def test_propensity_on_original_scale(panel, panel_pd):
     assert [row.intercept, *row.coef] == pytest.approx(list(pi), abs=1e-7)
 
 
+def test_passes_take_tasks_by_units_not_by_shuffle_partitions(spark, panel, monkeypatch):
+    """A pass over few units is one task however many partitions the shuffles have; more units, more tasks."""
+    spec, before = SPEC.but(covariates=("x",)), spark.conf.get("spark.sql.shuffle.partitions")
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.enabled": "false"}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        design = build_design(panel, spec)
+        assert design.units.rdd.getNumPartitions() == 1
+        n = sum(design.sizes.values())
+        assert design.units.count() == n
+        monkeypatch.setattr(covariates, "UNITS_PER_TASK", 50)
+        assert build_design(panel, spec).units.rdd.getNumPartitions() == -(-n // 50)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_bad_cells_get_a_status(spark, panel):
     """A cohort of one unit with more covariates than units must not stop the run."""
     lone = panel.withColumn("start_year", F.when(F.col("unit_id") == 0, 4).otherwise(F.when(F.col("start_year") == 3, 3)))
