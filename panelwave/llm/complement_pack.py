@@ -61,23 +61,28 @@ class ChunkTokenizer:
 
     def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
         """Add chunks (sorted by hash, none of them known) to the cache."""
-        ids: list[np.ndarray | None] = [None] * len(chunks)
-        plain = [i for i, c in enumerate(chunks) if c[0] == 0x20 and 0x20 < c[-1] < 0x7F]
+        long = np.array([len(c) for c in chunks], np.int64)
+        joins = np.array([c[0] == 0x20 and 0x20 < c[-1] < 0x7F for c in chunks], bool)
+        plain, other = np.flatnonzero(joins), np.flatnonzero(~joins)
+        parts, sizes = [], []
         for some in (plain[i : i + 512] for i in range(0, len(plain), 512)):
-            got = np.array(self._encode([b"".join(chunks[i] for i in some).decode()])[0], np.uint32)
-            ends = np.cumsum([len(chunks[i]) for i in some])
-            cuts = np.searchsorted(np.cumsum(self.width[got]), ends) + 1
-            for i, part in zip(some, np.split(got, cuts[:-1])):
-                ids[i] = part
-        other = [i for i in range(len(chunks)) if ids[i] is None]
-        for i, part in zip(other, self._encode([chunks[i].decode("utf-8", "replace") for i in other])):
-            ids[i] = np.array(part, np.uint32)
+            got = np.array(self._encode([b"".join([chunks[i] for i in some.tolist()]).decode()])[0], np.uint32)
+            cuts = np.searchsorted(np.cumsum(self.width[got]), np.cumsum(long[some])) + 1
+            cuts[-1] = len(got)
+            parts.append(got), sizes.append(np.diff(cuts, prepend=0))
+        lists = self._encode([chunks[i].decode("utf-8", "replace") for i in other.tolist()])
+        parts += [np.array([x for part in lists for x in part], np.uint32)]
+        sizes += [np.array([len(part) for part in lists], np.int64)]
+        # back into the order of the chunks
+        order, each = np.append(plain, other), np.concatenate(sizes)
+        size, begin = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        size[order], begin[order] = each, np.cumsum(each) - each
+        ids = np.concatenate(parts)[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         if len(self.known) + len(chunks) > self.cached:
             self._reset()
-        size = np.array([len(x) for x in ids], np.int64)
         place = np.searchsorted(self.known, hashes)
         sizes = np.insert(np.diff(self.at), place, size)
-        self.ids = np.insert(self.ids, np.repeat(self.at[place], size), np.concatenate(ids))
+        self.ids = np.insert(self.ids, np.repeat(self.at[place], size), ids)
         self.known = np.insert(self.known, place, hashes)
         self.at = np.append(0, np.cumsum(sizes))
 
@@ -92,7 +97,7 @@ class ChunkTokenizer:
         start = start[start < len(data)]
         end = np.append(start[1:], len(data))
         h = run_hash(prefix(_TABLE[data], BYTE_BASE), start, end, BYTE_BASE)
-        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        distinct, first, which = _distinct(h)
         new = np.ones(len(distinct), bool)
         if len(self.known):
             near = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
@@ -115,6 +120,18 @@ class ChunkTokenizer:
         return out, np.append(0, np.cumsum(counts))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the first place of each, and which of them every value is."""
+    coded = pa.array(values).dictionary_encode()
+    seen, which = np.asarray(coded.dictionary), np.asarray(coded.indices)  # in order of appearance
+    first = np.empty(len(seen), np.int64)
+    first[which[::-1]] = np.arange(len(values))[::-1]
+    order = np.argsort(seen)
+    rank = np.empty(len(seen), np.int64)
+    rank[order] = np.arange(len(seen))
+    return seen[order], first[order], rank[which]
+
+
 def _boundaries(data: np.ndarray) -> np.ndarray:
     """Places of spaces between two characters that are certainly visible.
 

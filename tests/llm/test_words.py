@@ -14,7 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from panelwave.llm.blob_ledger import BASE, RULES, Rule, distinct_blobs, find_secrets, redacted, scan_blobs, summary
-from panelwave.llm.complement_pack import ChunkTokenizer, pack, plan
+from panelwave.llm.complement_pack import ChunkTokenizer, _distinct, pack, plan
 from panelwave.llm.hyperminhash import estimate, near_duplicates, registers, shingles
 from panelwave.llm.line_clean import clean_lines
 from panelwave.llm.seed_extend import remove_repeats
@@ -377,3 +377,17 @@ def test_redaction(odd):
     found, _ = find_secrets(odd.where("doc_id = 12"))
     text = odd.where("doc_id = 12").join(found, "doc_id").select(redacted(F.col("text"), F.col("found"))).first()[0]
     assert text == "[secret], [secret] and [secret]"
+
+
+def test_distinct_chunks_and_learned_ids():
+    """Distinct values as numpy gives them; ids learned in groups are those of each text by itself."""
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 5000):
+        values = rng.integers(0, 2**64, max(n // 3, 1), np.uint64)[rng.integers(0, max(n // 3, 1), n)]
+        got, want = _distinct(values), np.unique(values, return_index=True, return_inverse=True)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    texts = ["", " lead", "two  gaps", "漢字 é x", "tab\tend ", "a<|endoftext|>b c", *[f"w{i} v{i * i} z" for i in range(900)]]
+    one = ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, offset = one.encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[offset[i] : offset[i + 1]].tolist() == [*one.tokenizer.encode(text, add_special_tokens=False).ids, 0]
